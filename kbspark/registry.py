@@ -1,15 +1,5 @@
 """Queries of the knowledge-base operators over the driver's tables, and the SQL that must give the same rows."""
 
-from __future__ import annotations
+from .plans.queries import oracle_sql, queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
