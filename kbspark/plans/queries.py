@@ -277,8 +277,8 @@ def names(v: Views) -> tuple[DataFrame, DataFrame]:
 _NAMES = "WITH n AS (SELECT p_partkey AS id, lower(trim(p_name)) AS name FROM part), m AS (SELECT id, CASE id % 4 WHEN 1 THEN name || 'x' WHEN 2 THEN substr(name, 3) WHEN 3 THEN 'qqq' || name ELSE name END AS name FROM n), dm AS (SELECT DISTINCT name FROM m), dn AS (SELECT DISTINCT name FROM n), pairs AS (SELECT dm.name AS a_name, dn.name AS b_name, levenshtein(dm.name, dn.name) AS distance FROM dm, dn WHERE abs(length(dm.name) - length(dn.name)) <= 5) "
 register("fuzzy_join", lambda v: resolution.fuzzy_join(*names(v)), None, _NAMES + "SELECT 'topic' AS type, a_name, b_name, distance FROM pairs WHERE distance <= 2")
 register("ambiguous_pairs", lambda v: resolution.ambiguous_pairs(*names(v)), None, _NAMES + "SELECT 'topic' AS type, a_name, b_name, distance FROM pairs WHERE distance BETWEEN 3 AND 5")
-register("match_entities", lambda v: resolution.match_entities(names(v)[0].select(F.col("id").alias("mention_id"), "type", "name", F.lit("").alias("email")), names(v)[1].withColumn("email", F.lit(""))), None,
-         _NAMES + ", ids AS (SELECT name, min(id) AS node_id FROM n GROUP BY 1), hits AS (SELECT m.id AS mention_id, CASE WHEN distance = 0 THEN 1 ELSE 2 END AS p, distance, node_id FROM m JOIN pairs ON a_name = m.name JOIN ids ON ids.name = b_name WHERE distance <= 2), best AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY p, distance, node_id) AS r FROM hits) SELECT m.id AS mention_id, node_id, CASE p WHEN 1 THEN 'name' WHEN 2 THEN 'fuzzy' END AS method FROM m LEFT JOIN best ON mention_id = m.id AND r = 1")
+register("match_entities", lambda v: resolution.match_entities(names(v)[0].select(F.col("id").alias("mention_id"), "type", "name", F.lit("").alias("email")), names(v)[1].withColumn("email", F.lit(""))).withColumn("node_id", F.coalesce("node_id", F.lit(-1))), None,
+         _NAMES + ", ids AS (SELECT name, min(id) AS node_id FROM n GROUP BY 1), hits AS (SELECT m.id AS mention_id, CASE WHEN distance = 0 THEN 1 ELSE 2 END AS p, distance, node_id FROM m JOIN pairs ON a_name = m.name JOIN ids ON ids.name = b_name WHERE distance <= 2), best AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY p, distance, node_id) AS r FROM hits) SELECT m.id AS mention_id, coalesce(node_id, -1) AS node_id, CASE p WHEN 1 THEN 'name' WHEN 2 THEN 'fuzzy' END AS method FROM m LEFT JOIN best ON mention_id = m.id AND r = 1")
 register("add_aliases", lambda v: resolution.add_aliases(v.person.where("id % 3 = 0").select("id", F.lit("person").alias("type"), "name", F.array(F.lit("boss")).alias("aliases")), v.table("orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("node_id"), F.concat(F.lit("alias"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))).select("id", joined("aliases")), "kb_person",
          "SELECT p.id, array_to_string(['boss'] || coalesce(list_sort(list_distinct(list('alias' || o_orderkey % 3) FILTER (o_orderkey IS NOT NULL))), []), '|') AS aliases FROM kb_person p LEFT JOIN orders ON o_custkey = p.id WHERE p.id % 3 = 0 GROUP BY p.id")
 
