@@ -193,18 +193,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     return vectors, train(np.array([r.x for r in rows]).reshape(-1, INPUTS), np.array([r.y for r in rows], int))
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """All columns of docs and _score."""
-    vectors, net = fit(docs, labels, sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield b.append_column("_score", pa.array(net.scores(pooled(list(texts(b)), vectors))))
-
-    return docs.mapInArrow(run, docs.schema.add("_score", "double"))
-
-
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     vectors, net = fit(docs, labels)
 
@@ -219,5 +207,12 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without those that the classifier rejects (score below 0.5)."""
-    return scored(docs, labels, sample).where(F.col("_score") >= 0.5).drop("_score")
+    """docs, all columns, without those that the classifier rejects (score below 0.5)."""
+    vectors, net = fit(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(net.scores(pooled(list(texts(b)), vectors)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

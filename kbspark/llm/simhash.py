@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(x.as_py() or b"", shingle) for x in column], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -123,9 +123,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its smallest doc_id; of rows with that doc_id the first by text."""
-    names = docs.columns
+    """One row of each component, all columns: that of its smallest doc_id; of rows with that doc_id the first by text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     kept = groups(docs).select(F.col("component_id").alias("_kept")).distinct()
-    rows = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    return rows.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(*[F.col(f"`{c}`") for c in names]))).alias("_row")).select("_row.*")
+    rows = docs.select(row.alias("_row")).join(kept.hint("shuffle_hash"), F.col("_row.doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = F.min_by("_row", F.struct("_row.text", F.xxhash64("_row")))
+    return rows.groupBy("_row.doc_id").agg(first.alias("_row")).select("_row.*")
