@@ -231,9 +231,8 @@ def filter_vault_paths(files: DataFrame, exclude: list[str], extensions: list[st
     """Leave out paths that a glob matches as a whole, by a leading part or by one component; keep allowed suffixes."""
     parts = F.split("path", "/")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    bad = F.lit(False)
-    for g in map(glob_regex, exclude):
-        bad = bad | F.exists(F.concat(heads, parts), lambda p, g=g: p.rlike(g))
+    globs = "|".join(map(glob_regex, exclude))
+    bad = F.exists(F.concat(heads, parts), lambda p: p.rlike(globs)) if globs else F.lit(False)
     return files.where(~bad & F.concat(F.lit("."), F.lower(F.substring_index("path", ".", -1))).isin(*[e.lower() for e in extensions]))
 
 
