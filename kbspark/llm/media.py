@@ -166,7 +166,9 @@ class ArchiveReader(DataSourceReader):
         size = {i.base_name: i.size for i in store.get_file_info(fs.FileSelector(path))}
         return [Range(n, at, at + self.range) for n in names for at in range(0, size[n], self.range)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no archives
+            return
         store, path = opened(self.folder)
         uri = f"{path}/{partition.archive}"
         file = store.open_input_file(uri)
