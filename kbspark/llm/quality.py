@@ -28,6 +28,7 @@ from .common import batch_of
 
 N = 3
 BUCKETS = 1 << 16
+BLOCKS = 64
 SMOOTHING = 0.5
 #: Kept at a mean log ratio of this or more, in nats an n-gram.
 THRESHOLD = -0.5
@@ -78,7 +79,12 @@ def base(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, n) over all texts of docs."""
+    """(block, counts) over all texts of docs: BLOCKS rows, each with its part of the BUCKETS counters.
+
+    A task gives its counters as BLOCKS rows however many texts it has read; blocks are then added up as they stream by.
+    """
+    width = BUCKETS // BLOCKS
+    out = "block int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -87,21 +93,28 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 if x.is_valid and len(raw := np.frombuffer(x.as_buffer(), np.uint8)) >= N:
                     for at in range(0, len(raw) - N + 1, _STEP):
                         total += np.bincount(hashed(raw[at : at + _STEP + N - 1]), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "n": total[used]})
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "counts": [c.tobytes() for c in total.reshape(BLOCKS, width)]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": [c.tobytes() for c in sums.values()]})
 
-    part = docs.select("text").mapInArrow(run, "bucket int, n long")
-    return part.groupBy("bucket").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, out).repartition("block").mapInArrow(add, out)
 
 
 def log_ratio(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket; two tables of BUCKETS rows come to the driver."""
+    """log(p_target / p_raw) of each bucket; two tables of BUCKETS counters come to the driver."""
 
     def shares(t: DataFrame) -> tuple[np.ndarray, int]:
-        counts = np.zeros(BUCKETS)
-        for r in t.toLocalIterator():
-            counts[r.bucket] = r.n
-        return np.log((counts + SMOOTHING) / (counts.sum() + SMOOTHING * BUCKETS)), int(counts.sum())
+        counts = np.zeros((BLOCKS, BUCKETS // BLOCKS))
+        for r in t.collect():
+            counts[r.block] = np.frombuffer(r.counts, np.int64)
+        return np.log((counts.ravel() + SMOOTHING) / (counts.sum() + SMOOTHING * BUCKETS)), int(counts.sum())
 
     target, seen = shares(ngram_counts(trusted))
     return target - shares(ngram_counts(docs))[0] if seen else np.zeros(BUCKETS)
