@@ -38,6 +38,14 @@ CROWD = 64
 _BLOCK = 65_536
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _BLOCK):
+        ones += np.unpackbits(h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     words = text.lower().split()
     if not words:
@@ -48,11 +56,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     else:
         parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
         n = len(words) - shingle + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, _BLOCK):
-        ones += np.unpackbits(h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kbspark.llm import chat, classifier, components, licenses, media, mixing, packing, pii, quality, simhash, tokenizing, tokens
+from kbspark.llm import chat, classifier, components, licenses, media, mixing, packing, pii, quality, simhash, similar, tokenizing, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,6 +205,60 @@ def test_op6(docs, none):
     assert len(ids) == len(set(ids)) and 60 not in ids and 0 in ids
 
 
+def similar_by_brute_force(data):
+    """doc_id -> smallest doc_id reachable over sets of five-word shingles at 0.8 or more."""
+    sets = []
+    for i, t in data:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))))
+    root = list(range(len(sets)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            if 5 * len(sets[x][1] & sets[y][1]) >= 4 * len(sets[x][1] | sets[y][1]):
+                root[top(x)] = top(y)
+    least = {}
+    for x, (i, _) in enumerate(sets):
+        least[top(x)] = min(least.get(top(x), i), i)
+    return {i: least[top(x)] for x, (i, _) in enumerate(sets)}
+
+
+def test_op6_five_words(spark, docs, none):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(rng.choice([3, 5, 9, 120, 400]))) for _ in range(60)]
+    base = [word() for _ in range(200)]
+    crowd = []
+    for _ in range(150):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randrange(0, 3)):
+            w[at] = word()
+        crowd.append(" ".join(w))
+    chain = [[word() for _ in range(150)]]
+    for k in range(25):
+        w = list(chain[-1])
+        w[(k * 6) % 150] = word()
+        chain.append(w)
+    shared = " ".join(word() for _ in range(60))
+    texts += [*crowd, *(" ".join(w) for w in chain), *(f"{shared} {' '.join(word() for _ in range(60))}" for _ in range(40)), texts[0].upper(), None, "", " \n", texts[3]]
+    rng.shuffle(texts)
+    data = list(enumerate(texts))
+    d = spark.createDataFrame([(i, t, t) for i, t in data], "doc_id long, text string, cid string").repartition(3)
+    want = similar_by_brute_force(data)
+    assert {r.doc_id: r.component_id for r in similar.groups(d).collect()} == want
+    kept = similar.dedupe(d)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert similar.groups(none).count() == 0 and similar.dedupe(none).count() == 0
+    out = similar.dedupe(docs).collect()
+    ids = [r.doc_id for r in out]
+    assert len(ids) == len(set(ids)) and {0, 1, None} <= set(ids) and not {60, 61, 64, 65, 66} & set(ids)
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_op6_links_are_exact(spark, crowd):
     rng = random.Random(9)
