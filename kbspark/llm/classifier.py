@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, texts
+from .common import batch_of, slices, texts
 from .words import Words, each, mixed
 
 WORDS, FORMS, WIDTH = 4096, 1024, 32
@@ -79,7 +79,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     flat += [mine * (2 * WIDTH) + cell[other, k] for k in range(NONZEROS)]
             total += np.bincount(np.concatenate(flat), minlength=len(total))
 
-        for b in batches:
+        for b in slices(batches):
             each(list(texts(b)), use)
         if seen.any():
             sums = total.reshape(VOCABULARY, 2, WIDTH)
@@ -181,10 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     chosen = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = pooled(list(texts(b)), vectors)
-                yield pa.RecordBatch.from_arrays([b.column("_quality").cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+        for b in slices(batches):
+            x = pooled(list(texts(b)), vectors)
+            yield pa.RecordBatch.from_arrays([b.column("_quality").cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     # at most `sample` ids, so the broadcast is bounded; their numbers come to the driver, not their texts
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality")
@@ -197,10 +196,9 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     vectors, net = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                score = net.scores(pooled(list(texts(b)), vectors))
-                yield batch_of(_OUT, (b.column("doc_id"), b.column("held_out"), score, (score >= 0.5).astype(np.int32)))
+        for b in slices(batches):
+            score = net.scores(pooled(list(texts(b)), vectors))
+            yield batch_of(_OUT, (b.column("doc_id"), b.column("held_out"), score, (score >= 0.5).astype(np.int32)))
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -211,8 +209,7 @@ def accept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     vectors, net = fit(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(net.scores(pooled(list(texts(b)), vectors)) >= 0.5))
+        for b in slices(batches):
+            yield b.filter(pa.array(net.scores(pooled(list(texts(b)), vectors)) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,5 +41,13 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     return (x.as_py() or b"" for x in column)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Non-empty parts of batches: what a worker makes of one part stays small. A task's freed memory goes back at its end."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -326,7 +326,7 @@ def redact(docs: DataFrame) -> DataFrame:
     field = fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             new = [None if x is None else masked(x, find(x, field)[1]) for x in b.column("text").to_pylist()]
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
