@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, texts
+from .common import batch_of, short_batches, slices, texts
 from .words import Words, each, mixed
 
 WORDS, FORMS, WIDTH = 4096, 1024, 32
@@ -176,6 +176,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+    short_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
     chosen = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)

@@ -41,6 +41,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     return (x.as_py() or b"" for x in column)
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Whole texts are long, so Arrow batches get fewer rows, unless the session's owner has chosen a number of their own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Non-empty parts of batches: what a worker makes of one part stays small. A task's freed memory goes back at its end."""
     for b in batches:

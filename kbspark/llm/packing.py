@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialise, slices
-from .tokenizing import END, encoder
+from .common import batch_of, materialise, short_batches, slices
+from .tokenizing import END, REMEMBERED, encoder
 
 CAPACITY = 2048
 GROUPS = 64
@@ -42,9 +42,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, remembered).encode
         for b in slices(batches):
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -53,6 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             if rows:
                 yield batch_of(PIECES, zip(*rows, strict=True))
 
+    short_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES_SQL)
 
 
@@ -219,9 +220,9 @@ def place(cuts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, salts
     return ranked.select(*names, "_rank").mapInArrow(put, PIECES_SQL + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """Each piece of docs (doc_id, text) with its sequence and its place there."""
-    return place(materialise(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return place(materialise(pieces(docs, tokenizer, capacity, remembered), "pieces"), capacity)
 
 
 def query(docs: DataFrame, tokenizer: str) -> DataFrame:

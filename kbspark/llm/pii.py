@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices
+from .common import batch_of, short_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -262,6 +262,7 @@ def train(features: np.ndarray, labels: np.ndarray, bigrams: np.ndarray, agreed:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, tokens: int = TOKENS) -> Field:
+    short_batches(docs.sparkSession)
     chosen = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-#: Words and pieces that a worker remembers at most, each.
+#: Words and pieces that a worker remembers at most, each; about 150 bytes an entry, kept as long as the worker lives.
 REMEMBERED = 600_000
 #: Longer pieces are encoded each time, so what is remembered stays small.
 LONGEST = 32
@@ -33,7 +33,8 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.model = Tokenizer.from_file(path).model
         self.find = regex.compile(PATTERN).findall
         self.alphabet = byte_alphabet()
@@ -46,7 +47,7 @@ class Encoder:
             shown = piece.encode().decode("latin-1").translate(self.alphabet)
             ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(piece) <= LONGEST:
-                if len(self.pieces) >= REMEMBERED:
+                if len(self.pieces) >= self.remembered:
                     self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
@@ -60,7 +61,7 @@ class Encoder:
             raise _Uneven
         ids = self._piece(" " + word) if word.isalpha() else self._chunk(" " + word)
         if len(word) <= LONGEST:
-            if len(self.words) >= REMEMBERED:
+            if len(self.words) >= self.remembered:
                 self.words.clear()
             self.words[word] = ids
         return ids
@@ -86,6 +87,6 @@ class _Uneven(Exception):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker process."""
-    return Encoder(path)
+    return Encoder(path, remembered)
