@@ -17,8 +17,9 @@ WEIGHTS = (0.6, 0.3, 0.1)
 MAX_CONNECTIONS = 5
 OVERFETCH = 2
 EXCERPT = 200
-#: Queries that are held against each batch of chunks at once in the matrix form.
+#: Queries and chunks in a block of the matrix form.
 QUERY_BLOCK = 1024
+CHUNK_BLOCK = 8192
 
 
 def filter_chunks(chunks: DataFrame, source_types: list[str] | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -40,35 +41,51 @@ def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
-def cosine_topk_blocks(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """The same by matrix products: queries in blocks, top k of each Arrow batch, then of all. Rows that move: k a query and batch."""
+def packed(rows: DataFrame, key: str, n: int, size: int, name: str) -> DataFrame:
+    """Rows (key, vector) dealt into blocks of about `size` of n: the block's number under `name`, its rows as a list."""
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size)))).cast("int").alias(name)).agg(F.collect_list(F.struct(F.col(key).alias("id"), "vector")).alias(f"_{name}"))
+
+
+def block_of(rows: pa.ListArray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of one packed block, by id."""
+    own = rows[at].values
+    ids, vectors = own.field("id").to_numpy(zero_copy_only=False), own.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], vectors[order]
+
+
+def best_of_block(chunks: tuple[np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray], k: int, step: int = 128) -> Iterator[pa.RecordBatch]:
+    """The k best chunks of a block for each query of a block, `step` queries at once; of equal scores the smaller chunk_id."""
+    (own, c), (names, q) = chunks, queries
+    length, n = np.linalg.norm(c, axis=1), min(k, len(own))
+    for at in range(0, len(names), step):
+        part = q[at : at + step]
+        norm = np.linalg.norm(part, axis=1)[:, None] * length
+        s = np.round(np.divide(part @ c.T, norm, out=np.zeros_like(norm), where=norm > 0), 9)
+        least = np.partition(s, len(own) - n, axis=1)[:, len(own) - n, None]
+        above, equal = s > least, s == least
+        row, column = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= n - above.sum(axis=1)[:, None])))
+        yield pa.RecordBatch.from_pydict({"query_id": names[at + row], "chunk_id": own[column], "score": s[row, column]})
+
+
+def cosine_topk_blocks(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
+    """The same by matrix products: each block of queries meets each block of chunks by the block's number; top k of each pair, then of all.
+
+    Only the two row counts reach the driver. Query blocks are repeated for each block of chunks; k rows a query and block of chunks come back.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    out = None
-    ids = [r.query_id for r in queries.select("query_id").distinct().orderBy("query_id").collect()]  # a stated query set
-    for at in range(0, len(ids), block):
-        part = queries.where(F.col("query_id").isin(*ids[at : at + block])).orderBy("query_id").collect()
-        q = np.array([r.vector for r in part], np.float64).reshape(len(part), -1)
-        names = np.array([r.query_id for r in part], np.int64)
-
-        def run(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, names: np.ndarray = names) -> Iterator[pa.RecordBatch]:
-            length = np.linalg.norm(q, axis=1)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                c = np.array(b.column("vector").to_pylist(), np.float64)
-                norm = np.linalg.norm(c, axis=1)[:, None] * length
-                s = np.round(np.divide(c @ q.T, norm, out=np.zeros_like(norm), where=norm > 0), 9)
-                own = b.column("chunk_id").to_numpy(zero_copy_only=False)
-                n = min(k, len(own))
-                best = np.argsort(-s[np.argsort(own)], axis=0, kind="stable")[:n]  # ties by chunk_id
-                own_sorted, s_sorted = np.sort(own), s[np.argsort(own)]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, n), "chunk_id": own_sorted[best.T.ravel()], "score": np.take_along_axis(s_sorted, best, 0).T.ravel()})
-
-        rows = chunks.select("chunk_id", "vector").mapInArrow(run, "query_id long, chunk_id long, score double")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return cosine_topk(chunks, queries, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from best_of_block(block_of(b.column("_part"), i), block_of(b.column("_block"), i), k)
+
+    n = chunks.select("chunk_id").count()
+    c = packed(chunks, "chunk_id", n, chunk_block, "part")
+    q = packed(queries, "query_id", queries.select("query_id").count(), block, "block")
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // chunk_block)) - 1))))
+    out = c.join(q, "part").select("_part", "_block").mapInArrow(run, "query_id long, chunk_id long, score double")
     return top(out, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
@@ -105,7 +122,7 @@ def best_chunk_per_document(scored: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, queries: DataFrame, k: int, factor: int = OVERFETCH) -> DataFrame:
-    hits = cosine_topk(chunks, queries, factor * k)
+    hits = cosine_topk_blocks(chunks, queries, factor * k)
     return hits.join(chunks.drop("vector"), "chunk_id")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import chunking, contradictions, conversations, graph, normalise, proactive, resolution, schedule, search, sync
 from ..streaming import jobs
-from .views import MEETING_AS_OF, SCHEDULE_AS_OF, SOURCE_TYPES, Views, with_views
+from .views import EVERY_QUERY, MEETING_AS_OF, SCHEDULE_AS_OF, SOURCE_TYPES, SQL, Views, with_views
 
 Query = Callable[[Views], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,3 +303,18 @@ register("activity_windows", lambda v: jobs.activity_windows(stamped(v), "1 day"
 register("activity_sessions", lambda v: jobs.activity_sessions(stamped(v), "1 hour").withColumn("start", F.unix_micros("start")), None, "WITH e AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT user_id, min(epoch_us(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, g")
 register("debounce_changes", lambda v: jobs.debounce_batch(stamped(v).select((F.col("user_id") % 20).alias("path"), "ts", F.col("event_type").alias("event")), 600).withColumn("start", F.unix_micros("start")), None,
          "WITH e AS (SELECT user_id % 20 AS path, ts, event_type AS event FROM events), f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY path ORDER BY ts, event) < 600000000 THEN 0 ELSE 1 END AS f FROM e), s AS (SELECT *, sum(f) OVER (PARTITION BY path ORDER BY ts, event ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT path, min(epoch_us(ts)) AS start, last(event ORDER BY ts, event) AS event, count(*) AS n FROM s GROUP BY path, g")
+
+# --- whole inputs -------------------------------------------------------------------------------------------------
+# Queries above are held to SQL that takes a part of their input; these take all of it.
+
+
+def widened(run: Query) -> Query:
+    def whole(v: Views) -> DataFrame:
+        v.query = v.every_query
+        return run(v)
+
+    return whole
+
+
+for _name in ("hybrid_search", "cosine_topk", "cosine_topk_blocks", "post_filter_sources", "recency_minmax", "retrieval_entities", "retrieval_relationships", "facet_source_types", "facet_months", "facet_entities", "facet_tags", "build_prompts"):
+    register(f"{_name}_all", widened(QUERIES[_name]), None, ORACLES[_name].replace(SQL["kb_query"], EVERY_QUERY) if _name in ORACLES else None)

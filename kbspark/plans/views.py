@@ -43,6 +43,11 @@ class Views:
     def query(self) -> DataFrame:
         return self.table("embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
+    @cached_property
+    def every_query(self) -> DataFrame:
+        """The whole query set of a search: every row whose id is divisible by 100."""
+        return self.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
     @cached_property
     def tagged_with(self) -> DataFrame:
         return self.table("embeddings").select(F.expr("vec_id div 3").alias("from_id"), F.col("label").cast("long").alias("to_id")).distinct()
@@ -180,6 +185,8 @@ SQL = {
     "facts_old": "SELECT id AS entity_id, unnest(['status', 'due_date', 'assignee_id', 'description']) AS field, unnest([status, strftime(due_date, '%Y-%m-%d'), assignee_id::VARCHAR, description]) AS value FROM kb_action_item",
     "facts_new": "SELECT id AS entity_id, id % 1000 AS source_doc_id, unnest(['status', 'due_date', 'assignee_id', 'description']) AS field, unnest(['done', strftime(due_date, '%Y-%m-%d'), (assignee_id + 1)::VARCHAR, 'changed']) AS value FROM kb_action_item WHERE id % 10 = 0",
 }
+#: The whole query set, in the place of kb_query.
+EVERY_QUERY = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0"
 #: What a view is made of, besides tables.
 _NEEDS = {"kb_chunk": ["kb_document"], "facts_old": ["kb_action_item"], "facts_new": ["kb_action_item"],
           "edges": ["tagged_with", "related_to", "assigned_to", "blocks", "attended", "mentioned_in"], "nodes": ["kb_person", "kb_topic", "kb_action_item", "kb_meeting", "kb_document"]}
