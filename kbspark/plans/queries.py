@@ -318,3 +318,5 @@ def widened(run: Query) -> Query:
 
 for _name in ("hybrid_search", "cosine_topk", "cosine_topk_blocks", "post_filter_sources", "recency_minmax", "retrieval_entities", "retrieval_relationships", "facet_source_types", "facet_months", "facet_entities", "facet_tags", "build_prompts"):
     register(f"{_name}_all", widened(QUERIES[_name]), None, ORACLES[_name].replace(SQL["kb_query"], EVERY_QUERY) if _name in ORACLES else None)
+register("add_aliases_all", lambda v: resolution.add_aliases(v.person.select("id", F.lit("person").alias("type"), "name", F.array(F.lit("boss")).alias("aliases")), v.table("orders").select(F.col("o_custkey").alias("node_id"), F.concat(F.lit("alias"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))).select("id", joined("aliases")), "kb_person",
+         "SELECT p.id, array_to_string(['boss'] || coalesce(list_sort(list_distinct(list('alias' || o_orderkey % 3) FILTER (o_orderkey IS NOT NULL))), []), '|') AS aliases FROM kb_person p LEFT JOIN orders ON o_custkey = p.id GROUP BY p.id")

@@ -32,3 +32,10 @@ def test_every_query_is_searched(spark, tmp_path):
     v = np.array([x[1] for x in e], np.float32).astype(np.float64)
     v /= np.linalg.norm(v, axis=1)[:, None]
     assert got == {i: {k + 1: c for k, c in enumerate(np.lexsort((np.arange(2300), -np.round(v @ v[i], 9)))[:10].tolist())} for i in range(0, 2300, 100)}
+
+
+def test_every_person_and_order_is_taken(spark, tmp_path):
+    spark.createDataFrame([(i, f"p{i}") for i in range(7)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 7) for k in range(21)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.id: r.aliases for r in registry.queries()["add_aliases_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: "boss|alias0|alias1|alias2" for i in range(7)}
