@@ -320,3 +320,8 @@ for _name in ("hybrid_search", "cosine_topk", "cosine_topk_blocks", "post_filter
     register(f"{_name}_all", widened(QUERIES[_name]), None, ORACLES[_name].replace(SQL["kb_query"], EVERY_QUERY) if _name in ORACLES else None)
 register("add_aliases_all", lambda v: resolution.add_aliases(v.person.select("id", F.lit("person").alias("type"), "name", F.array(F.lit("boss")).alias("aliases")), v.table("orders").select(F.col("o_custkey").alias("node_id"), F.concat(F.lit("alias"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))).select("id", joined("aliases")), "kb_person",
          "SELECT p.id, array_to_string(['boss'] || coalesce(list_sort(list_distinct(list('alias' || o_orderkey % 3) FILTER (o_orderkey IS NOT NULL))), []), '|') AS aliases FROM kb_person p LEFT JOIN orders ON o_custkey = p.id GROUP BY p.id")
+register("notes_from_relational_all", lambda v: normalise.notes_from_relational(
+    v.document.select(F.col("id").alias("pk"), "title", (F.col("id") % 20).alias("folder_pk"), (F.col("id") * 3600).alias("created"), (F.col("id") * 7200).alias("modified"), (F.col("id") % 9 == 0).alias("deleted")), v.document.select(F.col("id").alias("note_pk"), F.when(F.col("id") % 50 != 1, F.col("content")).alias("body"))).select("id", "folder", F.md5("body").alias("digest"), F.unix_seconds("created").alias("created")), "kb_document",
+    "SELECT d.id, coalesce(nullif(trim(f.title, ' '), ''), 'Notes') AS folder, CASE WHEN d.id % 50 <> 1 THEN md5(d.content) END AS digest, d.id * 3600 + 978307200 AS created FROM kb_document d LEFT JOIN kb_document f ON f.id = d.id % 20 WHERE d.id % 9 <> 0")
+register("route_commands_all", lambda v: conversations.route_commands(v.message.withColumn("q", F.concat(F.when(F.col("timestamp") == 0, "/search ").when(F.col("timestamp") == 1, "/graph ").otherwise(""), F.col("content"))), F.col("q")).select("session_id", "timestamp", "route", F.md5("argument").alias("digest")), "kb_message",
+         "SELECT session_id, timestamp, CASE timestamp WHEN 0 THEN 'search' WHEN 1 THEN 'graph' ELSE 'chat' END AS route, md5(content) AS digest FROM kb_message")

@@ -1,5 +1,6 @@
 """Queries over whole inputs, on small hand-made tables."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -39,3 +40,14 @@ def test_every_person_and_order_is_taken(spark, tmp_path):
     spark.createDataFrame([(k, k % 7) for k in range(21)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.id: r.aliases for r in registry.queries()["add_aliases_all"](spark, str(tmp_path)).collect()}
     assert got == {i: "boss|alias0|alias1|alias2" for i in range(7)}
+
+
+def test_whole_bodies_and_messages(spark, tmp_path):
+    text = [f"{i} " + "long text " * 20 for i in range(60)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(text)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i // 3, i % 3, "user", t) for i, t in enumerate(text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    notes = {r.id: r.digest for r in registry.queries()["notes_from_relational_all"](spark, str(tmp_path)).collect()}
+    assert notes == {i: None if i % 50 == 1 else digest(t) for i, t in enumerate(text) if i % 9}
+    routed = {(r.session_id, r.timestamp): (r.route, r.digest) for r in registry.queries()["route_commands_all"](spark, str(tmp_path)).collect()}
+    assert routed == {(i // 3, i % 3): (("search", "graph", "chat")[i % 3], digest(t)) for i, t in enumerate(text)}
