@@ -7,7 +7,7 @@ it, and BANDS bands of one MinHash row each miss that with probability (1 - 0.09
 are verified by exact shingle containment in the text around the window.
 
 A window's MinHash can equal a template's only if its least shingle is a template's shingle. So only windows with such
-shingles are hashed, which changes no result. Templates are a parameter of bounded size (they travel with the task).
+shingles of its size class are hashed, which changes no result. Templates are a parameter of bounded size (they travel with the task).
 
 One row for each document and template that reaches CONTAINMENT, where no other template has more of the same place:
 doc_id, license, containment, start_word, n_words (the
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from .words import PUNCTUATION, Words, mixed, pieces
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 64
-SIZES = (2, 8, 32, 128, 512, 2048)
-#: Short public licence notices, as their licences ask for them to be written.
-TEMPLATES = {
+SIZES = (2, 8, 32, 128, 512, 2048, 8192, 32768)
+#: Public licence notices in several wordings, headers of programs and files.
+NOTICES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -45,7 +46,33 @@ TEMPLATES = {
     "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "MIT-distributed": "Distributed under the MIT License.",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "MIT-terms": "under the terms of the MIT license",
+    "Apache-2.0-released": "Released under the Apache License, Version 2.0.",
+    "Apache-2.0-distributed": "Distributed under the Apache License, Version 2.0.",
+    "Apache-2.0-short": "Licensed under the Apache License 2.0.",
+    "BSD-licensed": "Licensed under the BSD License.",
+    "BSD-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "GPL-3.0-released": "Released under the GNU General Public License v3.0.",
+    "GPL-3.0-licensed": "Licensed under the GNU GPL v3.",
+    "GPL-2.0-released": "Released under the GNU General Public License v2.0.",
+    "GPL-2.0-licensed": "Licensed under the GNU GPL v2.",
+    "MPL-2.0-licensed": "Licensed under the Mozilla Public License 2.0.",
+    "CC-BY-NC-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
 }
+#: Whole licences and the BSD disclaimer; each file's name is the template's.
+TEMPLATES = NOTICES | {f.name.removesuffix(".txt"): f.read_text() for f in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 _OUT = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("containment", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("n_matches", pa.int64())])
 _SQL = "doc_id long, license string, containment double, start_word long, n_words long, n_matches long"
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS, np.uint64) | np.uint64(1)
@@ -65,6 +92,22 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return mixed(shingles[:, None] * _FACTORS).min(axis=0)
 
 
+def best_stretch(hits: np.ndarray, codes: np.ndarray, n: int) -> tuple[float, int, int, np.ndarray]:
+    """(containment, first word, words, hits) of the first stretch of 2n words with the most of n shingles; codes: which one a hit is."""
+    best, at, code, count, distinct, j = (0, 0, 0), hits.tolist(), codes.tolist(), [0] * n, 0, 0
+    for i, first in enumerate(at):
+        while j < len(at) and at[j] < first + 2 * n:
+            distinct += not count[code[j]]
+            count[code[j]] += 1
+            j += 1
+        if distinct > best[0]:
+            best = (distinct, i, j)
+        count[code[i]] -= 1
+        distinct -= not count[code[i]]
+    share, i, j = best
+    return (share / n, at[i], at[j - 1] + SHINGLE - at[i], hits[i:j]) if share else (0.0, 0, 0, hits)
+
+
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.sets: dict[str, np.ndarray] = {}
@@ -77,25 +120,27 @@ class Templates:
             size = next((s for s in SIZES if len(own) <= s // 2), SIZES[-1])
             for band, value in enumerate(minhashes(own).tolist()):
                 self.bands[size][band, value].append(name)
+        self.of = {s: np.unique(np.concatenate([np.zeros(0, np.uint64), *(self.sets[k] for k in {k for names in b.values() for k in names})])) for s, b in self.bands.items()}
         self.all = np.unique(np.concatenate([*self.sets.values(), np.zeros(0, np.uint64)]))
-        # a first look at 16 bits spares most shingles the search
-        self.quick = np.zeros(1 << 16, bool)
-        self.quick[(self.all >> np.uint64(48)).astype(np.int64)] = True
+        # a first look at 22 bits spares most shingles the search
+        self.quick = np.zeros(1 << 22, bool)
+        self.quick[(self.all >> np.uint64(42)).astype(np.int64)] = True
 
     def marks(self, shingles: np.ndarray) -> np.ndarray:
         """Positions of shingles that some template has."""
-        likely = np.flatnonzero(self.quick[(shingles >> np.uint64(48)).astype(np.int64)])
+        likely = np.flatnonzero(self.quick[(shingles >> np.uint64(42)).astype(np.int64)])
         return likely[np.isin(shingles[likely], self.all)]
 
     def scan(self, shingles: np.ndarray, marks: np.ndarray) -> list[tuple[str, float, int, int, int]]:
         """(template, containment, first word, words, stretches) for the shingles of one text; marks from marks()."""
-        found: dict[str, list[tuple[float, int, int]]] = defaultdict(list)
+        found: dict[str, list[tuple[float, int, int, np.ndarray]]] = defaultdict(list)
         for size, bands in self.bands.items():
             if not bands:
                 continue
             step = max(1, size // 2)
             seen: dict[str, set[int]] = defaultdict(set)
-            for at in sorted({max(0, w) * step for m in (marks // step).tolist() for w in (m - 1, m)}):
+            own = marks[np.isin(shingles[marks], self.of[size])]  # other windows cannot equal a template of this class
+            for at in sorted({max(0, w) * step for m in np.unique(own // step).tolist() for w in (m - 1, m)}):
                 window = shingles[at : at + size]
                 for band, value in enumerate(minhashes(window).tolist()):
                     for name in bands.get((band, value), ()):
@@ -107,20 +152,16 @@ class Templates:
                     lo, hi = max(0, at - size), min(len(shingles), at + 2 * size)
                     hits = marks[(marks >= lo) & (marks < hi)]
                     hits = hits[np.isin(shingles[hits], own)]
-                    best = (0.0, 0, 0)
-                    for i, first in enumerate(hits.tolist()):
-                        inside = hits[i:][hits[i:] < first + 2 * len(own)]
-                        share = len(np.unique(shingles[inside])) / len(own)
-                        if share > best[0]:
-                            best = (share, first, int(inside[-1]) + SHINGLE - first)
+                    best = best_stretch(hits, np.searchsorted(own, shingles[hits]), len(own))
                     if best[0] >= CONTAINMENT:
                         found[name].append(best)
-        rows = []
+        rows, places = [], {}
         for name, stretches in found.items():
-            share, first, n = min(stretches, key=lambda s: (-s[0], s[1]))
+            share, first, n, places[name] = min(stretches, key=lambda s: (-s[0], s[1]))
             rows.append((name, share, first, n, len({s[1] for s in stretches})))
-        # a notice that another template fits better, at the same place, is not this one's
-        better = lambda r: any(o[1] > r[1] and o[2] < r[2] + r[3] and r[2] < o[2] + o[3] for o in rows)
+        # a notice that another template has more of, at the same place, is not this one's: part of a body, or a like text
+        held = {r[0]: (round(r[1] * len(self.sets[r[0]])), r[1]) for r in rows}
+        better = lambda r: any(held[o[0]] > held[r[0]] and 2 * np.isin(places[r[0]], places[o[0]]).sum() >= len(places[r[0]]) for o in rows)
         return sorted(r for r in rows if not better(r))
 
 
