@@ -1,8 +1,9 @@
 """Operator 5: quality classifier: random-indexing word vectors, pooled, and a calibrated two-layer numpy network.
 
 Random indexing: every word, and every word form (classes of its first and last characters), has a fixed sparse ternary
-index vector drawn from its hash. A word's vector is the sum of its neighbours' index vectors over the whole corpus;
+index vector drawn from its full hash. A word's vector is the sum of its neighbours' index vectors over the whole corpus;
 tasks add them up in VOCABULARY hashed rows and Spark sums the rows, so the model's size is fixed and every text counts.
+Words that share a row share its sum, weighted by their counts; the vectors that they give to neighbours stay their own.
 A document is pooled to the means of its words' and forms' vectors and the shares of words equal to the one or two
 before. A two-layer network, trained on the driver on at most SAMPLE labelled documents (those of smallest id hash, the
 bound that the contract allows), gives a logit; a temperature fitted on a fifth of them that training did not see
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, short_batches, slices, texts
 from .words import Words, each, mixed
 
-WORDS, FORMS, WIDTH = 4096, 1024, 32
+WORDS, FORMS, WIDTH = 1 << 16, 1024, 32
 VOCABULARY = WORDS + FORMS
 NONZEROS = 2
 SAMPLE = 12_000
@@ -40,30 +41,33 @@ _CLASS = np.array([ord("a") if chr(b).islower() or b >= 128 else ord("A") if chr
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def rows_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Row of each word and of its form in the vocabulary."""
+def form_hashes(w: Words) -> np.ndarray:
     cls = _CLASS[w.raw]
     last = w.stops - 1
     form = cls[w.starts]
     for at in (np.minimum(w.starts + 1, last), last, np.maximum(last - 1, w.starts), np.maximum(last - 2, w.starts)):
         form = form * np.uint64(257) + cls[at]
-    return (w.hashes % np.uint64(WORDS)).astype(np.int64), (WORDS + mixed(form * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(FORMS)).astype(np.int64)
+    return mixed(form * np.uint64(0x9E3779B97F4A7C15))
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzeros of each row's index vector."""
-    rng = np.random.default_rng(SEED)
-    places = np.argsort(rng.random((VOCABULARY, WIDTH)), axis=1)[:, :NONZEROS]
-    return places, rng.integers(0, 2, (VOCABULARY, NONZEROS)) * 2 - 1
+def rows_of(words: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each word and of its form in the vocabulary, from their hashes."""
+    return (words % np.uint64(WORDS)).astype(np.int64), (WORDS + forms % np.uint64(FORMS)).astype(np.int64)
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """NONZEROS cells of each hash's index vector; those of the second half count as negative."""
+    h = mixed((hashes ^ np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15))
+    first = h % np.uint64(WIDTH)
+    second = (first + np.uint64(1) + (h >> np.uint64(16)) % np.uint64(WIDTH - 1)) % np.uint64(WIDTH)
+    sign = [(h >> np.uint64(at)) % np.uint64(2) * np.uint64(WIDTH) for at in (40, 41)]
+    return np.stack([first + sign[0], second + sign[1]]).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The vocabulary's vectors from all texts of docs; VOCABULARY rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
-        # a negative sign counts in the second half of a row
-        cell = places + np.where(signs < 0, WIDTH, 0)
         total, seen = np.zeros(VOCABULARY * 2 * WIDTH, np.int64), np.zeros(VOCABULARY, np.int64)
 
         def use(owners: list[int], w: Words) -> None:
@@ -72,11 +76,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 return
             same = w.part[1:] == w.part[:-1]
             flat = []
-            for rows in rows_of(w):
-                a, b = rows[:-1][same], rows[1:][same]
+            hashes = (w.hashes, form_hashes(w))
+            for rows, own in zip(rows_of(*hashes), hashes, strict=True):
+                cell = index_vectors(own)
+                a, b = np.flatnonzero(same), np.flatnonzero(same) + 1
                 for mine, other in ((a, b), (b, a)):
-                    seen += np.bincount(mine, minlength=VOCABULARY)
-                    flat += [mine * (2 * WIDTH) + cell[other, k] for k in range(NONZEROS)]
+                    seen += np.bincount(rows[mine], minlength=VOCABULARY)
+                    flat += [rows[mine] * (2 * WIDTH) + cell[k, other] for k in range(NONZEROS)]
             total += np.bincount(np.concatenate(flat), minlength=len(total))
 
         for b in slices(batches):
@@ -89,7 +95,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     names = [f"v{k}" for k in range(WIDTH)]
     part = docs.select("text").mapInArrow(run, "row int, seen long, " + ", ".join(f"{n} long" for n in names))
-    out = np.zeros((VOCABULARY, WIDTH))
+    out = np.zeros((VOCABULARY, WIDTH), np.float32)
     for r in part.groupBy("row").agg(*[F.sum(n).alias(n) for n in ("seen", *names)]).toLocalIterator():
         out[r.row] = np.array(r[2:]) / r.seen
     return out
@@ -98,14 +104,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(batch: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """INPUTS numbers for each text."""
     sums, n = np.zeros((len(batch), INPUTS)), np.zeros(len(batch))
-    vectors = vectors.astype(np.float32)
 
     def use(owners: list[int], w: Words) -> None:
         if not len(w.hashes):
             return
         owner = np.array(owners)[w.part]
         first = np.flatnonzero(np.diff(owner, prepend=-1))
-        words, forms = rows_of(w)
+        words, forms = rows_of(w.hashes, form_hashes(w))
         whose = owner[first]
         sums[whose, :WIDTH] += np.add.reduceat(vectors[words], first, axis=0)
         sums[whose, WIDTH : 2 * WIDTH] += np.add.reduceat(vectors[forms], first, axis=0)

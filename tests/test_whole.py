@@ -7,7 +7,8 @@ from collections import defaultdict
 import numpy as np
 
 from kbspark import registry
-from kbspark.llm import licenses
+from kbspark.llm import classifier, licenses
+from kbspark.llm.words import Words
 from kbspark.operators import search
 
 
@@ -72,3 +73,17 @@ def test_license_bodies_with_changed_words(spark):
         got[r.doc_id].add(r.license)
     assert all(k in got[i] for i, k in enumerate(bodies)), got
     assert got[100] == {"GPL-3.0-or-later"} and got[101] == {"LGPL-2.1-or-later"} and got[102] == {"MIT-distributed"} and 103 not in got
+
+
+def test_words_of_one_row_have_their_own_index_vectors():
+    w = Words([" ".join(f"word{i}" for i in range(20_000)).encode()])
+    forms = classifier.form_hashes(w)
+    rows, _ = classifier.rows_of(w.hashes, forms)
+    cells = classifier.index_vectors(w.hashes)
+    assert ((cells >= 0) & (cells < 2 * classifier.WIDTH)).all() and (cells[0] % classifier.WIDTH != cells[1] % classifier.WIDTH).all()
+    assert len(np.unique(rows)) > 15_000
+    order = np.argsort(rows, kind="stable")
+    pairs = np.flatnonzero(rows[order][1:] == rows[order][:-1])
+    assert len(pairs) > 1000
+    same = (cells[:, order[pairs]] == cells[:, order[pairs + 1]]).all(axis=0)
+    assert same.mean() < 0.01
