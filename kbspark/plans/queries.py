@@ -325,3 +325,4 @@ register("notes_from_relational_all", lambda v: normalise.notes_from_relational(
     "SELECT d.id, coalesce(nullif(trim(f.title, ' '), ''), 'Notes') AS folder, CASE WHEN d.id % 50 <> 1 THEN md5(d.content) END AS digest, d.id * 3600 + 978307200 AS created FROM kb_document d LEFT JOIN kb_document f ON f.id = d.id % 20 WHERE d.id % 9 <> 0")
 register("route_commands_all", lambda v: conversations.route_commands(v.message.withColumn("q", F.concat(F.when(F.col("timestamp") == 0, "/search ").when(F.col("timestamp") == 1, "/graph ").otherwise(""), F.col("content"))), F.col("q")).select("session_id", "timestamp", "route", F.md5("argument").alias("digest")), "kb_message",
          "SELECT session_id, timestamp, CASE timestamp WHEN 0 THEN 'search' WHEN 1 THEN 'graph' ELSE 'chat' END AS route, md5(content) AS digest FROM kb_message")
+register("debounce_changes_all", lambda v: jobs.debounce_batch(stamped(v).select(F.col("user_id").alias("path"), "ts", F.col("event_type").alias("event")), 600).withColumn("start", F.unix_micros("start")), None, ORACLES["debounce_changes"].replace("user_id % 20 AS path", "user_id AS path"))

@@ -87,3 +87,8 @@ def test_words_of_one_row_have_their_own_index_vectors():
     assert len(pairs) > 1000
     same = (cells[:, order[pairs]] == cells[:, order[pairs + 1]]).all(axis=0)
     assert same.mean() < 0.01
+
+
+def test_each_user_has_bursts(spark, tmp_path):
+    spark.sql("select id as event_id, timestamp_seconds(id) as ts, id as user_id, 'view' as event_type from range(60)").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted((r.path, r.start, r.n) for r in registry.queries()["debounce_changes_all"](spark, str(tmp_path)).collect()) == [(i, i * 1_000_000, 1) for i in range(60)]
