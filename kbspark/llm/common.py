@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import opened
+
 #: A word is a run of anything but ASCII white space; bytes.split() cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,16 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path under the folder that the cluster shares; a default only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/kbspark-{label}-{uuid.uuid4().hex}"
+    """A new path under the folder that the cluster shares. Only a local session, whose tasks are this machine's, has a default."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/kbspark-{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write and reread: lineage ends in a table that every executor can read again."""
+    """Write and reread: lineage ends in a table that every executor can read again. forget() deletes it."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written = path
+    return written
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for t in tables:
+        store, path = opened(t._written)
+        store.delete_dir(path)
 
 
 def n_words(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 
 def _step(links: DataFrame, large: bool) -> DataFrame:
@@ -24,17 +24,13 @@ def _step(links: DataFrame, large: bool) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, label: str = "links", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, label: str = "links") -> DataFrame:
     """links (u, v) of comparable ids -> (u, v): each node but the smallest of its component, with the smallest."""
     now = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     state = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = state(now)
-    if not before[0]:
-        return now
-    for _ in range(rounds):
-        now = materialise(_step(_step(now, True), False), label)
-        after = state(now)
-        if after == before:
-            return now
-        before = after
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+    before, after = None, state(now)
+    while after[0] and after != before:
+        last, now = now, materialise(_step(_step(now, True), False), label)
+        before, after = after, state(now)
+        forget(last)
+    return now

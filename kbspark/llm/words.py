@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Bytes of text that are hashed at once; longer texts are cut at white space where they have any.
+#: Bytes of text that are hashed at once; longer texts are cut at white space, never inside a word.
 PIECE = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _PLACE = _RNG.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -24,15 +26,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(text number, part) lists of about PIECE bytes; a long text comes in parts, each cut after white space."""
+    """(text number, part) lists of about PIECE bytes; a long text comes in parts that end at white space."""
     owners, parts, held = [], [], 0
     for i, text in enumerate(texts):
         at = 0
         while at < len(text) or not at:
             stop = at + PIECE
             if stop < len(text):
-                cut = max(text.rfind(b" ", at, stop), text.rfind(b"\n", at, stop))
-                stop = cut + 1 if cut > at else stop
+                gap = _GAP.search(text, stop)
+                stop = gap.end() if gap else len(text)
             owners.append(i)
             parts.append(text[at:stop])
             held += len(parts[-1])

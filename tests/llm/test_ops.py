@@ -259,6 +259,61 @@ def test_op6_five_words(spark, docs, none):
     assert len(ids) == len(set(ids)) and {0, 1, None} <= set(ids) and not {60, 61, 64, 65, 66} & set(ids)
 
 
+def alike_by_brute_force(texts):
+    """Positions -> least position reachable, by products of 0/1 rows over all shingles."""
+    sets = [similar.shingles(t.encode()) for t in texts]
+    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    x = np.zeros((len(sets), len(names)), np.float32)
+    x[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
+    n = x.sum(axis=1)
+    link = 9 * (x @ x.T) >= 4 * (n[:, None] + n)
+    root = np.arange(len(sets))
+    while True:
+        new = np.where(link, root, len(sets)).min(axis=1)
+        new = new[new]
+        if (new == root).all():
+            return root, link
+        root = new
+
+
+def crowd_of(rng, n):
+    """Copies of one text with 0 to 30 % of the words changed in few or many places, and texts that share a passage."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(160)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(160), rng.randrange(0, 12)):
+            w[at] = word()
+        out.append(" ".join(w))
+    return out + [" ".join(base[:100] + [word() for _ in range(60)]) for _ in range(n // 4)]
+
+
+def test_op6_one_crowd(spark):
+    texts = list(dict.fromkeys(crowd_of(random.Random(12), 1500)))
+    root, link = alike_by_brute_force(texts)
+    assert (link.sum() - len(texts)) / 2 < 0.5 * len(texts) ** 2 and len(set(root.tolist())) > 400
+    got = similar.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root.tolist()))
+
+
+def test_op6_block_joins_groups():
+    rng = random.Random(13)
+    texts = list(dict.fromkeys(crowd_of(rng, 120)))
+    sets = [similar.shingles(t.encode()) for t in texts]
+    root, _ = alike_by_brute_force(texts)
+    every = np.arange(len(sets))
+    for references in (1, 8):
+        links = similar.joined(every, every, every, sets, references)
+        top = list(range(len(sets)))
+        for u, v in links:
+            assert similar.alike(len(np.intersect1d(sets[u], sets[v])), len(sets[u]) + len(sets[v]))
+            lo, hi = sorted((top[u], top[v]))
+            top = [lo if x == hi else x for x in top]
+        assert len(links) < len(sets) and top == root.tolist()
+    assert similar.joined(every, every, root, sets) == []
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_op6_links_are_exact(spark, crowd):
     rng = random.Random(9)
