@@ -5,8 +5,10 @@ the driver plans on it and never sees a document. The plan: full pieces fill a s
 are large: in descending order they are cut into GROUPS groups of equal cardinality and rounded up to the longest of
 each; configurations of these few sizes are optimised by column generation (the cutting-stock linear programme) and
 rounded down. Actual lengths take the slots, group by group. What is left over, and all small lengths, go best fit, in
-descending order, into what the actual lengths leave open. Sequences that look alike are planned as one run, so the
-plan's size depends on the capacity and on GROUPS, not on the corpus.
+descending order, into what the actual lengths leave open. Where small lengths are too few for that room, the sequences
+with more room than a limit are dissolved before and their lengths go best fit too; of the plans with the limits of ROOM
+the one with the fewest sequences stays. Sequences that look alike are planned as one run, so the plan's size depends on the capacity and on GROUPS, not on
+the corpus.
 
 Documents then find their place by length and rank among equals. Ranks are counted in (length, salt) buckets, so that
 one length with a third of all pieces is spread over SALTS buckets.
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, materialise, short_batches, slices
-from .tokenizing import END, REMEMBERED, encoder
+from .tokenizing import encoder
 
 CAPACITY = 2048
 GROUPS = 64
+#: Sequences of the groups with more room than this are dissolved; the best of these plans stays.
+ROOM = (CAPACITY, 64, 32, 16, 8, 4, 2, 1, 0)
 SALTS = 64
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,14 +46,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of each piece of each row of docs (doc_id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, remembered).encode
+        known = encoder(tokenizer)
         for b in slices(batches):
             rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = encode(text.as_py() or "") + END
-                rows += ((doc_id, k, at, n, zlib.crc32(memoryview(ids)[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)))
+            for doc_id, own in zip(b.column("doc_id").to_pylist(), known.documents(b.column("text")), strict=True):
+                rows += ((doc_id, k, at, n, zlib.crc32(own[at : at + n])) for k, (at, n) in enumerate(cut(len(own), capacity)))
             if rows:
                 yield batch_of(PIECES, zip(*rows, strict=True))
 
@@ -101,21 +106,50 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return used
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> np.ndarray:
-    """Rows (length, first rank, first sequence, pieces of this length in a sequence, offset of the first of them)."""
-    rows: list[tuple[int, int, int, int, int]] = []
-    ranks: dict[int, int] = defaultdict(int)
-    n_sequences = 0
-    if full := histogram.get(capacity, 0):
-        rows.append((capacity, 0, 0, 1, 0))
-        n_sequences = full
-    large = sorted((n for n in histogram if capacity // 8 < n < capacity), reverse=True)
-    total = sum(histogram[n] for n in large)
+#: Open room -> runs of like sequences that have it: (their pieces as (length, how many), how many sequences).
+Runs = dict[int, list[tuple[tuple[tuple[int, int], ...], int]]]
+
+
+def best_fit(left: dict[int, int], runs: Runs, capacity: int) -> Runs:
+    """runs with all lengths of left put in, longest first, each where it leaves the least room."""
+    runs = defaultdict(list, {gap: list(r) for gap, r in runs.items() if r})
+    has = np.zeros(capacity + 1, dtype=bool)
+    has[list(runs)] = True
+    for length in sorted(left, reverse=True):
+        count = left[length]
+        while count > 0:
+            fit = np.flatnonzero(has[length:])
+            if not len(fit):
+                runs[capacity].append(((), -(-count // (capacity // length))))
+                has[capacity] = True
+                continue
+            gap = length + int(fit[0])
+            held, n = runs[gap].pop()
+            fits = gap // length
+            times = min(n, count // fits)
+            put, times = (fits, times) if times else (count, 1)
+            if n > times:
+                runs[gap].append((held, n - times))
+            has[gap] = bool(runs[gap])
+            runs[gap - put * length].append(((*held, (length, put)), times))
+            has[gap - put * length] = True
+            count -= put * times
+    return runs
+
+
+def n_sequences(runs: Runs) -> int:
+    return sum(n for r in runs.values() for _, n in r)
+
+
+def grouped(left: dict[int, int], capacity: int, groups: int) -> Runs:
+    """Sequences of large lengths by linear grouping; their lengths are taken out of left."""
+    large = sorted((n for n in left if capacity // 8 < n < capacity), reverse=True)
+    total = sum(left[n] for n in large)
     # a group: runs [length, count] of its members, longest first
     members: list[list[list[int]]] = []
-    each, room = -(-total // groups) if total else 0, 0
+    each, room = -(-total // groups), 0
     for n in large:
-        count = histogram[n]
+        count = left[n]
         while count:
             if not room:
                 members.append([])
@@ -126,70 +160,66 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     merged: dict[int, list[list[int]]] = {}
     for g in members:
         merged.setdefault(g[0][0], []).extend(g)
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    if merged:
-        sizes = np.array(sorted(merged))
-        runs = [merged[int(s)] for s in sizes]
-        demand = np.array([sum(n for _, n in r) for r in runs], dtype=float)
-        for column, copies in configurations(sizes, demand, capacity):
-            slots = [g for g in range(len(sizes)) for _ in range(int(column[g]))]
-            taken = []  # for each slot, runs of actual lengths for its copies
-            for g in slots:
-                need, own = copies, []
-                while need:
-                    run = runs[g][0]
-                    k = min(need, run[1])
-                    own.append((run[0], k))
-                    need, run[1] = need - k, run[1] - k
-                    if not run[1]:
-                        runs[g].pop(0)
-                taken.append(own)
-            at, done = [0] * len(slots), [0] * len(slots)
-            left = copies
-            while left:  # sequences that hold the same lengths
-                n = min(own[at[i]][1] - done[i] for i, own in enumerate(taken))
-                fill = 0
-                for i, own in enumerate(taken):
-                    length = own[at[i]][0]
-                    rows.append((length, ranks[length], n_sequences, 1, fill))
-                    ranks[length] += n
-                    fill += length
-                    done[i] += n
-                    if done[i] == own[at[i]][1]:
-                        at[i], done[i] = at[i] + 1, 0
-                gaps[capacity - fill].append((n_sequences, n))
-                n_sequences, left = n_sequences + n, left - n
-    open_gaps = np.zeros(capacity + 1, dtype=bool)
-    for gap in gaps:
-        open_gaps[gap] = True
-    for length in sorted((n for n in histogram if n < capacity), reverse=True):
-        count = histogram[length] - ranks[length]
-        while count > 0:
-            fit = np.flatnonzero(open_gaps[length:])
-            if not len(fit):
-                n = -(-count // (capacity // length))
-                gaps[capacity].append((n_sequences, n))
-                open_gaps[capacity] = True
-                n_sequences += n
-                continue
-            gap = length + int(fit[0])
-            first, n = gaps[gap].pop()
-            fits = gap // length
-            used, rest = min(n, count // fits), 0
-            if used:
-                rows.append((length, ranks[length], first, fits, capacity - gap))
-                gaps[gap - fits * length].append((first, used))
-                open_gaps[gap - fits * length] = True
-            elif rest := count:
-                rows.append((length, ranks[length], first, rest, capacity - gap))
-                gaps[gap - rest * length].append((first, 1))
-                open_gaps[gap - rest * length] = True
-            done = used * fits + rest
-            if n > (kept := used or 1):
-                gaps[gap].append((first + kept, n - kept))
-            open_gaps[gap] = bool(gaps[gap])
-            ranks[length] += done
-            count -= done
+    runs: Runs = defaultdict(list)
+    if not merged:
+        return runs
+    sizes = np.array(sorted(merged))
+    queues = [merged[int(s)] for s in sizes]
+    demand = np.array([sum(n for _, n in q) for q in queues], dtype=float)
+    for column, copies in configurations(sizes, demand, capacity):
+        slots = [g for g in range(len(sizes)) for _ in range(int(column[g]))]
+        taken = []  # for each slot, runs of actual lengths for its copies
+        for g in slots:
+            need, own = copies, []
+            while need:
+                run = queues[g][0]
+                k = min(need, run[1])
+                own.append((run[0], k))
+                need, run[1] = need - k, run[1] - k
+                if not run[1]:
+                    queues[g].pop(0)
+            taken.append(own)
+        at, done = [0] * len(slots), [0] * len(slots)
+        while copies:  # sequences that hold the same lengths
+            n = min(own[at[i]][1] - done[i] for i, own in enumerate(taken))
+            held = tuple((own[at[i]][0], 1) for i, own in enumerate(taken))
+            for i, own in enumerate(taken):
+                left[held[i][0]] -= n
+                done[i] += n
+                if done[i] == own[at[i]][1]:
+                    at[i], done[i] = at[i] + 1, 0
+            runs[capacity - sum(length for length, _ in held)].append((held, n))
+            copies -= n
+    return runs
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> np.ndarray:
+    """Rows (length, first rank, first sequence, pieces of this length in a sequence, offset of the first of them)."""
+    short = {length: n for length, n in histogram.items() if length < capacity}
+    fewest, runs = -(-sum(length * n for length, n in short.items()) // capacity), None
+    planned = grouped(dict(short), capacity, groups)
+    for most in ROOM:
+        if runs is None or n_sequences(runs) > fewest:
+            kept = {gap: r for gap, r in planned.items() if gap <= most}
+            left = dict(short)
+            for held, n in (x for r in kept.values() for x in r):
+                for length, put in held:
+                    left[length] -= put * n
+            again = best_fit(left, kept, capacity)
+            runs = again if runs is None else min(runs, again, key=n_sequences)
+    if full := histogram.get(capacity, 0):
+        runs[0].append((((capacity, 1),), full))
+    rows: list[tuple[int, int, int, int, int]] = []
+    ranks: dict[int, int] = defaultdict(int)
+    first = 0
+    for gap in sorted(runs):
+        for held, n in runs[gap]:
+            at = 0
+            for length, put in held:
+                rows.append((length, ranks[length], first, put, at))
+                ranks[length] += put * n
+                at += put * length
+            first += n
     out = np.array(rows, dtype=np.int64).reshape(-1, 5)
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
@@ -220,9 +250,9 @@ def place(cuts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, salts
     return ranked.select(*names, "_rank").mapInArrow(put, PIECES_SQL + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Each piece of docs (doc_id, text) with its sequence and its place there."""
-    return place(materialise(pieces(docs, tokenizer, capacity, remembered), "pieces"), capacity)
+    return place(materialise(pieces(docs, tokenizer, capacity), "pieces"), capacity)
 
 
 def query(docs: DataFrame, tokenizer: str) -> DataFrame:

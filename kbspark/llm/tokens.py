@@ -1,14 +1,15 @@
 """Operator 9: token ids in shard files of independent zstandard frames with a trailing seek table.
 
-A shard holds a range of doc_ids in ascending order. Frames are ordinary zstandard frames of FRAME_TOKENS ids or more
-(a document never spans two), each with the format's own content checksum. After them a skippable frame holds the seek
-table: for each frame its compressed and raw size and xxh64 of the raw ids, for each document its doc_id, token count
-and frame. The last 24 bytes find the table and carry its checksum. Readers thus fetch and decompress only the frames
-of the documents that they want; any zstandard tool can still decompress a whole shard.
+A shard holds a range of doc_ids in ascending order, one ordinary zstandard frame for each document, with the format's own
+content checksum. After them a skippable frame holds the seek table: doc_id, token count, packed size and xxh64 of the raw
+ids of each. The last 24 bytes find the table and carry its checksum. Readers thus fetch and decompress only the documents
+that they want; any zstandard tool can still decompress a whole shard. Ids are stored in 16 bits where the tokenizer's
+vocabulary fits, else in 32; an id that does not fit is an error.
 
 Shards are written by tasks under names of their own and count only once the driver has their row, so a lost executor's
 half-written shard is never read. Nulls: null text is an empty document (just the end id); a null doc_id comes first.
-Repeated doc_ids are stored as often as they come, ordered by text. An empty table makes no shard and an empty result.
+Repeated doc_ids are stored as often as they come, ordered by a hash of the text, then text, so that many rows of one
+doc_id are spread over shards. An empty table makes no shard and an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,54 +26,46 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, shared_dir
+from .common import batch_of, shared_dir, short_batches, slices
 from .files import opened
-from .tokenizing import END, encoder
+from .tokenizing import encoder
 
-FRAME_TOKENS = 65_536
 LEVEL = 3
 #: Skippable frames of the zstandard format begin with this; the second value marks this file format.
-SKIPPABLE, MAGIC = 0x184D2A5E, 0x4B42544B
+SKIPPABLE, MAGIC = 0x184D2A5E, 0x4B42544C
 FOOTER = struct.Struct("<QQII")  # table bytes, xxh64 of the table, bytes of an id, magic
+#: Neighbouring frames are fetched together up to so many bytes.
+FETCH = 8 << 20
 SHARD = "shard int, path string, n_docs long, n_tokens long"
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 class ShardWriter:
-    def __init__(self, out, width: int = 2):
+    """width: bytes of an id."""
+
+    def __init__(self, out, width: int):
         self.out, self.kind, self.width = out, f"<u{width}", width
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
-        self.frames: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int, int, int]] = []
-        self.waiting: list[bytes] = []
-        self.tokens = self.total = 0
-
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """ids: little-endian 32-bit."""
-        n = len(ids) // 4
-        self.docs.append((doc_id or 0, doc_id is None, n, len(self.frames)))
-        self.waiting.append(np.frombuffer(ids, "<u4").astype(self.kind).tobytes())
-        self.tokens, self.total = self.tokens + n, self.total + n
-        if self.tokens >= FRAME_TOKENS:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.waiting:
-            raw = b"".join(self.waiting)
-            packed = self.packer.compress(raw)
-            self.out.write(packed)
-            self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw)))
-            self.waiting, self.tokens = [], 0
+        self.docs: list[tuple[int, int, int, int, int]] = []
+        self.total = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"an id of {ids.max()} takes more than {self.width} bytes")
+        raw = ids.astype(self.kind).tobytes()
+        packed = self.packer.compress(raw)
+        self.out.write(packed)
+        self.docs.append((doc_id or 0, doc_id is None, len(ids), len(packed), xxhash.xxh64_intdigest(raw) - (1 << 63)))
+        self.total += len(ids)
 
     def close(self) -> None:
-        self.flush()
-        docs = np.array(self.docs, dtype="<i8").reshape(-1, 4)
-        table = struct.pack("<QQ", len(self.frames), len(docs)) + np.array(self.frames, dtype="<u8").tobytes() + zstandard.compress(docs.T.tobytes(), LEVEL)
+        docs = np.array(self.docs, dtype="<i8").reshape(-1, 5)
+        table = struct.pack("<Q", len(docs)) + zstandard.compress(docs.T.tobytes(), LEVEL)
         self.out.write(struct.pack("<II", SKIPPABLE, len(table) + FOOTER.size) + table + FOOTER.pack(len(table), xxhash.xxh64_intdigest(table), self.width, MAGIC))
 
 
 class ShardReader:
-    """Opens a shard by its table; frames(i, ...) reads and decompresses only those."""
+    """Opens a shard by its table; documents are read and decompressed as they are asked for."""
 
     def __init__(self, uri: str):
         store, path = opened(uri)
@@ -82,55 +75,59 @@ class ShardReader:
         table = self.file.read_at(n, size - FOOTER.size - n)
         if magic != MAGIC or xxhash.xxh64_intdigest(table) != digest:
             raise OSError(f"{uri}: the seek table is damaged")
-        n_frames, n_docs = struct.unpack_from("<QQ", table)
-        self.frames = np.frombuffer(table, "<u8", 3 * n_frames, 16).reshape(-1, 3)
-        self.at = np.concatenate([[0], np.cumsum(self.frames[:, 0].astype(np.int64))])
-        self.ids, self.null, self.sizes, self.frame_of = np.frombuffer(zstandard.decompress(table[16 + 24 * n_frames :]), "<i8").reshape(4, n_docs)
-        first = np.searchsorted(self.frame_of, np.arange(n_frames))
-        before = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        self.start = before
-        self.offset = before - before[first][self.frame_of] if n_docs else before  # in its frame, in ids
+        (n_docs,) = struct.unpack_from("<Q", table)
+        self.ids, self.null, self.sizes, self.packed, self.digests = np.frombuffer(zstandard.decompress(table[8:]), "<i8").reshape(5, n_docs)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.at = np.cumsum(self.packed) - self.packed
         self.unpacker = zstandard.ZstdDecompressor()
 
-    def frame(self, i: int) -> np.ndarray:
-        packed, raw_size, digest = (int(x) for x in self.frames[i])
-        raw = self.unpacker.decompress(self.file.read_at(packed, int(self.at[i])), max_output_size=raw_size)
-        if xxhash.xxh64_intdigest(raw) != digest:
-            raise OSError(f"frame {i} is damaged")
-        return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
+    def read(self, places: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of the documents at ascending places; runs of neighbours are fetched together."""
+        held, first = b"", 0
+        for k, i in enumerate(places.tolist()):
+            at, n = int(self.at[i]), int(self.packed[i])
+            if at + n > first + len(held):
+                stop = k
+                while stop + 1 < len(places) and places[stop + 1] == places[stop] + 1 and self.at[places[stop + 1]] + self.packed[places[stop + 1]] - at <= FETCH:
+                    stop += 1
+                last = int(places[stop])
+                held, first = self.file.read_at(int(self.at[last] + self.packed[last]) - at, at), at
+            raw = self.unpacker.decompress(held[at - first : at - first + n], max_output_size=int(self.sizes[i]) * self.width)
+            if xxhash.xxh64_intdigest(raw) - (1 << 63) != self.digests[i]:
+                raise OSError(f"the frame of document {i} is damaged")
+            yield np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
     def documents(self, wanted: list[int]) -> Iterator[tuple[int, np.ndarray]]:
         """(doc_id, ids) of the wanted documents that the shard holds."""
         hits = np.flatnonzero(np.isin(self.ids, wanted) & (self.null == 0))
-        for i in np.unique(self.frame_of[hits]):
-            ids = self.frame(int(i))
-            for d in hits[self.frame_of[hits] == i]:
-                yield int(self.ids[d]), ids[self.offset[d] : self.offset[d] + self.sizes[d]]
+        yield from zip(self.ids[hits].tolist(), self.read(hits), strict=True)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) -> list:
     """Encode docs (doc_id, text) into shards under folder; returns a row for each shard, in order of doc_id."""
     folder = folder or shared_dir(docs.sparkSession, "tokens")
+    short_batches(docs.sparkSession)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        k, encode, file = TaskContext.get().partitionId(), encoder(tokenizer).encode, None
-        for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                if file is None:
-                    uri = f"{folder}/{k:06d}-{uuid.uuid4().hex}.tok"
-                    store, path = opened(uri)
-                    store.create_dir(path.rpartition("/")[0], recursive=True)
-                    file = store.open_output_stream(path)
-                    out = ShardWriter(file)
-                out.add(doc_id, encode(text.as_py() or "") + END)
+        k, known, file = TaskContext.get().partitionId(), encoder(tokenizer), None
+        for b in slices(batches):
+            if file is None:
+                uri = f"{folder}/{k:06d}-{uuid.uuid4().hex}.tok"
+                store, path = opened(uri)
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                file = store.open_output_stream(path)
+                out = ShardWriter(file, 2 if known.n_ids <= 1 << 16 else 4)
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), known.documents(b.column("text")), strict=True):
+                out.add(doc_id, ids)
         if file is not None:
             out.close()
             file.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "path": [uri], "n_docs": [len(out.docs)], "n_tokens": [out.total]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return sorted(ordered.mapInArrow(shard, SHARD).collect())  # a row for each partition
 
 
@@ -143,15 +140,11 @@ def read_tokens(spark: SparkSession, shards: list) -> DataFrame:
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 r = ShardReader(path)
-                crcs, last, ids = [], -1, None
-                for f, at, n in zip(r.frame_of.tolist(), r.offset.tolist(), r.sizes.tolist(), strict=True):
-                    if f != last:
-                        last, ids = f, r.frame(f)
-                    crcs.append(zlib.crc32(ids[at : at + n]))
+                crcs = [zlib.crc32(ids) for ids in r.read(np.arange(len(r.ids)))]
                 names = [None if gone else i for i, gone in zip(r.ids.tolist(), r.null.tolist(), strict=True)]
                 yield batch_of(OUT, (names, r.start + base, r.sizes, crcs))
 
-    return spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(docs: DataFrame, tokenizer: str) -> DataFrame:
