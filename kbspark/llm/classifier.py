@@ -4,15 +4,16 @@ Random indexing: every word, and every word form (classes of its first and last
 index vector drawn from its full hash. A word's vector is the sum of its neighbours' index vectors over the whole corpus;
 tasks add them up in VOCABULARY hashed rows and Spark sums the rows, so the model's size is fixed and every text counts.
 Words that share a row share its sum, weighted by their counts; the vectors that they give to neighbours stay their own.
-A document is pooled to the means of its words' and forms' vectors and the shares of words equal to the one or two
-before. A two-layer network, trained on the driver on at most SAMPLE labelled documents (those of smallest id hash, the
+A document is pooled to the means of its words' and forms' vectors, the mean of its words' own index vectors of DIRECT
+numbers, which no rows are shared for, and the shares of words equal to the one or two before. A two-layer network, trained on the driver on at most SAMPLE labelled documents (those of smallest id hash, the
 bound that the contract allows), gives a logit; a temperature fitted on a fifth of them that training did not see
 calibrates it.
 
 Only documents with crc32(doc_id as text) mod 3 other than 1 teach; labels, lang, source and doc_id are no inputs.
 
 Nulls: null text is empty and pools to zeros (it has a score). Null doc_ids and labels do not teach and null doc_ids are
-not held out. Repeated labels of a document count as the smaller one; repeated rows are scored each. Without two classes
+not held out. Repeated labels of a document count as the smaller one; of rows with one doc_id the text of the smallest MD5
+teaches; repeated rows are scored each. Without two classes
 of labels all scores are the share of ones (0.5 if none). An empty table gives no rows.
 """
 
@@ -32,12 +33,16 @@ from .words import Words, each, mixed
 WORDS, FORMS, WIDTH = 1 << 16, 1024, 32
 VOCABULARY = WORDS + FORMS
 NONZEROS = 2
+#: Numbers of a word's own index vector, and how many of them are not zero.
+DIRECT, DIRECT_NONZEROS = 256, 4
+BLOCKS = 65
 SAMPLE = 12_000
 HIDDEN = 16
 EPOCHS = 60
 SEED = 7
-INPUTS = 2 * WIDTH + 2
+INPUTS = 2 * WIDTH + 2 + DIRECT
 _CLASS = np.array([ord("a") if chr(b).islower() or b >= 128 else ord("A") if chr(b).isupper() else ord("0") if chr(b).isdigit() else b for b in range(256)], np.uint64)
+_BLOCKS = pa.schema([("block", pa.int32()), ("used", pa.binary()), ("sums", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
@@ -64,48 +69,77 @@ def index_vectors(hashes: np.ndarray) -> np.ndarray:
     return np.stack([first + sign[0], second + sign[1]]).astype(np.int64)
 
 
+def direct_cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """DIRECT_NONZEROS cells, and their signs, of each word's index vector of DIRECT numbers."""
+    h = mixed((hashes ^ np.uint64(SEED + 1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    cells = np.stack([(h >> np.uint64(12 * k)) % np.uint64(DIRECT) for k in range(DIRECT_NONZEROS)]).astype(np.int64)
+    signs = np.stack([(h >> np.uint64(60 + k)) % np.uint64(2) for k in range(DIRECT_NONZEROS)]).astype(np.float64)
+    return cells, 1 - 2 * signs
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The vocabulary's vectors from all texts of docs; VOCABULARY rows come to the driver."""
+    """The vocabulary's vectors from all texts of docs; VOCABULARY rows come to the driver.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(VOCABULARY * 2 * WIDTH, np.int64), np.zeros(VOCABULARY, np.int64)
+    A task gives the rows that it has used as BLOCKS values, however many texts it has read; blocks are then added up.
+    """
+    size = VOCABULARY // BLOCKS
+    out = "block int, used binary, sums binary"
 
-        def use(owners: list[int], w: Words) -> None:
-            nonlocal total, seen
-            if len(w.hashes) < 2:
-                return
-            same = w.part[1:] == w.part[:-1]
-            flat = []
-            hashes = (w.hashes, form_hashes(w))
-            for rows, own in zip(rows_of(*hashes), hashes, strict=True):
-                cell = index_vectors(own)
-                a, b = np.flatnonzero(same), np.flatnonzero(same) + 1
-                for mine, other in ((a, b), (b, a)):
-                    seen += np.bincount(rows[mine], minlength=VOCABULARY)
-                    flat += [rows[mine] * (2 * WIDTH) + cell[k, other] for k in range(NONZEROS)]
-            total += np.bincount(np.concatenate(flat), minlength=len(total))
+    def as_blocks(sums: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        for k, part in enumerate(sums.reshape(BLOCKS, size, WIDTH + 1)):
+            used = np.flatnonzero(part[:, WIDTH])
+            if len(used):
+                yield k, used.astype(np.int32).tobytes(), part[used].tobytes()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(VOCABULARY * 2 * WIDTH, np.int64), np.zeros(VOCABULARY, np.int64)
         for b in slices(batches):
-            each(list(texts(b)), use)
-        if seen.any():
-            sums = total.reshape(VOCABULARY, 2, WIDTH)
-            used = np.flatnonzero(seen)
-            values = (sums[:, 0] - sums[:, 1])[used]
-            yield pa.RecordBatch.from_pydict({"row": used.astype(np.int32), "seen": seen[used]} | {f"v{k}": values[:, k] for k in range(WIDTH)})
+            last: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+            def use(owners: list[int], w: Words) -> None:
+                nonlocal last, seen, total
+                # the last word before comes first again, as it may be a neighbour in the same text
+                owner, *hashes = (np.concatenate(x) for x in zip(last, (np.array(owners)[w.part], w.hashes, form_hashes(w)), strict=True))
+                last = [owner[-1:], *(h[-1:] for h in hashes)]
+                a = np.flatnonzero(owner[1:] == owner[:-1])
+                flat = [np.zeros(0, np.int64)]
+                for rows, own in zip(rows_of(*hashes), hashes, strict=True):
+                    cell = index_vectors(own)
+                    for mine, other in ((a, a + 1), (a + 1, a)):
+                        seen += np.bincount(rows[mine], minlength=VOCABULARY)
+                        flat += [rows[mine] * (2 * WIDTH) + cell[k, other] for k in range(NONZEROS)]
+                total += np.bincount(np.concatenate(flat), minlength=len(total))
 
-    names = [f"v{k}" for k in range(WIDTH)]
-    part = docs.select("text").mapInArrow(run, "row int, seen long, " + ", ".join(f"{n} long" for n in names))
-    out = np.zeros((VOCABULARY, WIDTH), np.float32)
-    for r in part.groupBy("row").agg(*[F.sum(n).alias(n) for n in ("seen", *names)]).toLocalIterator():
-        out[r.row] = np.array(r[2:]) / r.seen
-    return out
+            each(list(texts(b)), use)
+        signed = total.reshape(VOCABULARY, 2, WIDTH)
+        rows = list(as_blocks(np.concatenate([signed[:, 0] - signed[:, 1], seen[:, None]], axis=1)))
+        if rows:
+            yield batch_of(_BLOCKS, zip(*rows, strict=True))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, used, values in zip(*(b.column(c).to_pylist() for c in _BLOCKS.names), strict=True):
+                own = sums.setdefault(k, np.zeros((size, WIDTH + 1), np.int64))
+                own[np.frombuffer(used, np.int32)] += np.frombuffer(values, np.int64).reshape(-1, WIDTH + 1)
+        rows = [(k, np.flatnonzero(x[:, WIDTH]).astype(np.int32).tobytes(), x[x[:, WIDTH] > 0].tobytes()) for k, x in sums.items()]
+        if rows:
+            yield batch_of(_BLOCKS, zip(*rows, strict=True))
+
+    vectors = np.zeros((BLOCKS, size, WIDTH), np.float32)
+    for r in docs.select("text").mapInArrow(run, out).repartition("block").mapInArrow(add, out).toLocalIterator():
+        values = np.frombuffer(r.sums, np.int64).reshape(-1, WIDTH + 1)
+        vectors[r.block, np.frombuffer(r.used, np.int32)] = values[:, :WIDTH] / values[:, WIDTH:]
+    return vectors.reshape(VOCABULARY, WIDTH)
 
 
 def pooled(batch: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """INPUTS numbers for each text."""
     sums, n = np.zeros((len(batch), INPUTS)), np.zeros(len(batch))
+    last = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
 
     def use(owners: list[int], w: Words) -> None:
+        nonlocal last
         if not len(w.hashes):
             return
         owner = np.array(owners)[w.part]
@@ -114,10 +148,17 @@ def pooled(batch: list[bytes], vectors: np.ndarray) -> np.ndarray:
         whose = owner[first]
         sums[whose, :WIDTH] += np.add.reduceat(vectors[words], first, axis=0)
         sums[whose, WIDTH : 2 * WIDTH] += np.add.reduceat(vectors[forms], first, axis=0)
+        # the two words before come first again, for repeats over the cut of a long text
+        owners_before, hashes = (np.concatenate(x) for x in zip(last, (owner, w.hashes), strict=True))
+        held, last = len(last[0]), [owners_before[-2:], hashes[-2:]]
         for k in (1, 2):
-            again = np.zeros(len(owner))
-            again[k:] = (w.hashes[k:] == w.hashes[:-k]) & (owner[k:] == owner[:-k])
-            sums[whose, 2 * WIDTH + k - 1] += np.add.reduceat(again, first)
+            again = np.zeros(len(hashes))
+            again[k:] = (hashes[k:] == hashes[:-k]) & (owners_before[k:] == owners_before[:-k])
+            sums[whose, 2 * WIDTH + k - 1] += np.add.reduceat(again[held:], first)
+        low = int(owner[0])
+        for cell, sign in zip(*direct_cells(w.hashes), strict=True):
+            own = np.bincount((owner - low) * DIRECT + cell, sign, (int(owner[-1]) - low + 1) * DIRECT)
+            sums[low : int(owner[-1]) + 1, 2 * WIDTH + 2 :] += own.reshape(-1, DIRECT)
         n[whose] += np.diff(np.append(first, len(owner)))
 
     each(batch, use)
@@ -193,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     # at most `sample` ids, so the broadcast is bounded; their numbers come to the driver, not their texts
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality")
-    rows = known.dropDuplicates(["doc_id"]).select("text", "_quality").mapInArrow(run, "y int, x array<double>").collect()
+    one = known.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"), F.any_value("_quality").alias("_quality"))
+    rows = one.select("text", "_quality").mapInArrow(run, "y int, x array<double>").collect()
     rows.sort()
     return vectors, train(np.array([r.x for r in rows]).reshape(-1, INPUTS), np.array([r.y for r in rows], int))
 
