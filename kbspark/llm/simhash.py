@@ -5,11 +5,13 @@ table: its Hamming distances to PIVOTS reference fingerprints. If two fingerprin
 their rows differs by more than d, so a pair whose largest coordinate difference exceeds the limit is discarded without
 a look at the bits; survivors are verified by XOR and bit count.
 
-A pivot table alone would have to meet every pair. Pairs are met under keys that lose none: of five blocks of bits two
-differing bits leave three untouched, so linked fingerprints agree on one of the ten choices of three blocks (38 bits or
-more; chance meetings stay rare at 10^11 fingerprints). A key with more than CROWD fingerprints is not joined with
-itself. Its members go an exact way whose groups are bounded: two fingerprints differ in two bits or fewer just when
-some bit string is within one bit of both, so each is sent to its 65 such strings, where at most 65 fingerprints meet.
+The table is the index too: fingerprints meet in overlapping buckets of a few of its coordinates, in which no two within
+the limit part. Distances to random references lie close together, so buckets of all coordinates together would still hold
+most fingerprints; a second key splits them and loses no pair: of five blocks of bits two differing bits leave three
+untouched, so linked fingerprints agree on one of the ten choices of three blocks (38 bits or more). A key with more than
+CROWD fingerprints is split by buckets of further coordinates. What is crowded still goes an exact way whose groups are
+bounded: two fingerprints differ in two bits or fewer just when some bit string is within one bit of both, so each is sent
+to its 65 such strings, where at most 65 fingerprints meet.
 
 Nulls: null text has no words and fingerprint zero, like any text without words; these link as any other. doc_id may
 repeat (each row is returned) or be null (a component of null ids alone has a null component_id). An empty table gives
@@ -35,6 +37,8 @@ SHINGLE = 3
 DISTANCE = 2
 PIVOTS = 24
 CROWD = 64
+#: Coordinates whose buckets are part of every key, and those that split crowded keys.
+INDEX = ((0, 1), (2, 3, 4, 5))
 _BLOCK = 65_536
 
 
@@ -93,23 +97,45 @@ def near(a: str, b: str, distance: int, pivots: int) -> Column:
     return pruned & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= distance)
 
 
+def coordinate(i: int) -> Column:
+    """Of the pivot table: the fingerprint's distance to reference i."""
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(references(i + 1)[i])))
+
+
+def buckets(i: int, distance: int) -> Column:
+    """Overlapping buckets of coordinate i: coordinates that differ by the distance or less share one."""
+    p, width = coordinate(i), 2 * distance + 1
+    own = F.floor(p / width).cast("int")
+    return F.when(p % width >= width - distance, F.array(own, own + 1)).otherwise(F.array(own))
+
+
+def _met(rows: DataFrame, label: str) -> DataFrame:
+    """rows (key, fp) with n, the number of rows that share the key; keys of one row are left out."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialise(rows.join(sizes, "key"), label)
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, pivots: int = PIVOTS, crowd: int = CROWD) -> DataFrame:
     """distinct (fp) -> (u, v) that join all fingerprints within the distance, directly or through others that are."""
     if distance != 2:
         raise ValueError("the exact way for crowded keys is for a distance of 2")
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(distance))])
-    keyed = distinct.select("fp", F.inline(keys))
-    sizes = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(keyed.join(sizes, ["k", "key"]), "keys")
-    table = met.where(F.col("n") <= crowd).select("k", "key", "fp", *[F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("tinyint").alias(f"p{i}") for i, r in enumerate(references(pivots))])
-    a, b = table.alias("a"), table.alias("b")
-    same = (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = a.join(b, same & near("a", "b", distance, pivots)).select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
-    crowded = met.where(F.col("n") > crowd).select("fp").distinct()
+    blocks = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(_masks(distance))])
+    rows, found = distinct.select("fp", F.inline(blocks)).select(F.struct("k", "bits").alias("key"), "fp"), None
+    for level, own in enumerate(INDEX):
+        for i in own:
+            rows = rows.select("key", "fp", F.explode(buckets(i, distance)).alias("bucket")).select(F.struct("key", "bucket").alias("key"), "fp")
+        met = _met(rows, f"keys{level}")
+        table = met.where(F.col("n") <= crowd).select("key", "fp", *[coordinate(i).cast("tinyint").alias(f"p{i}") for i in range(pivots)])
+        a, b = table.alias("a"), table.alias("b")
+        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+        pairs = a.join(b, same & near("a", "b", distance, pivots)).select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
+        found = pairs if found is None else found.unionByName(pairs)
+        rows = met.where(F.col("n") > crowd).select("key", "fp")
+    crowded = rows.select("fp").distinct()
     flips = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)], F.col("fp"))
     beside = crowded.select("fp", F.explode(flips).alias("between")).groupBy("between").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = beside.select(F.array_min("all").alias("v"), F.explode("all").alias("u")).where("u <> v").select("u", "v")
-    return pairs.unionByName(stars)
+    return found.unionByName(stars)
 
 
 def groups(docs: DataFrame) -> DataFrame:
