@@ -9,9 +9,8 @@ are verified by exact shingle containment in the text around the window.
 A window's MinHash can equal a template's only if its least shingle is a template's shingle. So only windows with such
 shingles of its size class are hashed, which changes no result. Templates are a parameter of bounded size (they travel with the task).
 
-One row for each document and template that reaches CONTAINMENT, where no other template has more of the same place:
-doc_id, license, containment, start_word, n_words (the
-span of its best stretch), n_matches. Null or short texts give no rows; null or repeated doc_ids are kept as they come;
+One row for each document and template that reaches CONTAINMENT in some stretch of which no other template has more:
+doc_id, license, containment, start_word, n_words (the span of its best such stretch), n_matches (such stretches). Null or short texts give no rows; null or repeated doc_ids are kept as they come;
 of equal stretches the first is told; an empty table gives no rows.
 """
 
@@ -20,6 +19,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from importlib import resources
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from .words import PUNCTUATION, Words, mixed, pieces
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 64
-SIZES = (2, 8, 32, 128, 512, 2048, 8192, 32768)
+SIZE, GROWTH = 2, 4  # of the smallest class; each further one holds windows so many times as long, up to the longest template
 #: Public licence notices in several wordings, headers of programs and files.
 NOTICES = {
     "MIT": "Released under the MIT License.",
@@ -108,16 +108,28 @@ def best_stretch(hits: np.ndarray, codes: np.ndarray, n: int) -> tuple[float, in
     return (share / n, at[i], at[j - 1] + SHINGLE - at[i], hits[i:j]) if share else (0.0, 0, 0, hits)
 
 
+class Stretch(NamedTuple):
+    """A part of a text that holds a share of a template: its first word, words, and the places of the shared shingles."""
+
+    name: str
+    share: float
+    first: int
+    n: int
+    hits: np.ndarray
+
+
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.sets: dict[str, np.ndarray] = {}
-        self.bands: dict[int, dict[tuple[int, int], list[str]]] = {s: defaultdict(list) for s in SIZES}
+        self.bands: dict[int, dict[tuple[int, int], list[str]]] = defaultdict(lambda: defaultdict(list))
         for name, text in templates.items():
             own = np.unique(shingle_hashes(Words([text.encode()], PUNCTUATION, fold=True).hashes))
             if not len(own):
                 raise ValueError(f"{name}: a template needs {SHINGLE} words")
             self.sets[name] = own
-            size = next((s for s in SIZES if len(own) <= s // 2), SIZES[-1])
+            size = SIZE
+            while len(own) > size // 2:
+                size *= GROWTH
             for band, value in enumerate(minhashes(own).tolist()):
                 self.bands[size][band, value].append(name)
         self.of = {s: np.unique(np.concatenate([np.zeros(0, np.uint64), *(self.sets[k] for k in {k for names in b.values() for k in names})])) for s, b in self.bands.items()}
@@ -131,12 +143,10 @@ class Templates:
         likely = np.flatnonzero(self.quick[(shingles >> np.uint64(42)).astype(np.int64)])
         return likely[np.isin(shingles[likely], self.all)]
 
-    def scan(self, shingles: np.ndarray, marks: np.ndarray) -> list[tuple[str, float, int, int, int]]:
-        """(template, containment, first word, words, stretches) for the shingles of one text; marks from marks()."""
-        found: dict[str, list[tuple[float, int, int, np.ndarray]]] = defaultdict(list)
+    def stretches(self, shingles: np.ndarray, marks: np.ndarray) -> list[Stretch]:
+        """Of each template the stretches of a text that hold enough of it; marks from marks()."""
+        found: dict[tuple[str, int], Stretch] = {}
         for size, bands in self.bands.items():
-            if not bands:
-                continue
             step = max(1, size // 2)
             seen: dict[str, set[int]] = defaultdict(set)
             own = marks[np.isin(shingles[marks], self.of[size])]  # other windows cannot equal a template of this class
@@ -149,20 +159,37 @@ class Templates:
                 own = self.sets[name]
                 for at in sorted(windows):
                     # the stretch may go on in the next window
-                    lo, hi = max(0, at - size), min(len(shingles), at + 2 * size)
-                    hits = marks[(marks >= lo) & (marks < hi)]
+                    lo, hi = np.searchsorted(marks, (max(0, at - size), at + 2 * size))
+                    hits = marks[lo:hi]
                     hits = hits[np.isin(shingles[hits], own)]
-                    best = best_stretch(hits, np.searchsorted(own, shingles[hits]), len(own))
-                    if best[0] >= CONTAINMENT:
-                        found[name].append(best)
-        rows, places = [], {}
-        for name, stretches in found.items():
-            share, first, n, places[name] = min(stretches, key=lambda s: (-s[0], s[1]))
-            rows.append((name, share, first, n, len({s[1] for s in stretches})))
-        # a notice that another template has more of, at the same place, is not this one's: part of a body, or a like text
-        held = {r[0]: (round(r[1] * len(self.sets[r[0]])), r[1]) for r in rows}
-        better = lambda r: any(held[o[0]] > held[r[0]] and 2 * np.isin(places[r[0]], places[o[0]]).sum() >= len(places[r[0]]) for o in rows)
-        return sorted(r for r in rows if not better(r))
+                    share, first, n, hits = best_stretch(hits, np.searchsorted(own, shingles[hits]), len(own))
+                    if share >= CONTAINMENT:
+                        found.setdefault((name, first), Stretch(name, share, first, n, hits))
+        return sorted(found.values(), key=lambda s: (s.first, s.name))
+
+    def scan(self, shingles: np.ndarray, marks: np.ndarray) -> list[tuple[str, float, int, int, int]]:
+        """(template, containment, first word, words, stretches) for the shingles of one text, best stretch of each template.
+
+        A stretch goes where another template has more of its own at the same place: then it is part of a body, or a like text.
+        """
+        found = self.stretches(shingles, marks)
+        weight = [(round(s.share * len(self.sets[s.name])), s.share) for s in found]
+        beaten, open_ = [False] * len(found), []
+        for i, s in enumerate(found):
+            open_ = [j for j in open_ if found[j].first + found[j].n > s.first]
+            for j in open_:
+                o = found[j]
+                if o.name != s.name:
+                    both = int(np.isin(s.hits, o.hits).sum())
+                    beaten[i] |= weight[j] > weight[i] and 2 * both >= len(s.hits)
+                    beaten[j] |= weight[i] > weight[j] and 2 * both >= len(o.hits)
+            open_.append(i)
+        rows: dict[str, list[Stretch]] = defaultdict(list)
+        for s, worse in zip(found, beaten, strict=True):
+            if not worse:
+                rows[s.name].append(s)
+        best = {name: min(own, key=lambda s: (-s.share, s.first)) for name, own in rows.items()}
+        return sorted((name, s.share, s.first, s.n, len(rows[name])) for name, s in best.items())
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
