@@ -49,6 +49,8 @@ ROUNDS, UNDAMPED = 24, 4
 #: How unlikely other labels of a token of a base span are, as a logarithm.
 GIVEN = 30.0
 SURE = 0.9
+#: How features, labels, chain and skip links travel.
+_KINDS = (np.uint16, np.int8, np.int32, np.int32)
 _OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 _SQL = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
 Span = tuple[str, int, int]
@@ -425,16 +427,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows = [[a.astype(np.int32).tobytes() for a in r] for r in lessons([(doc_id, x)])]
+                rows = [[a.astype(kind).tobytes() for a, kind in zip(r, _KINDS, strict=True)] for r in lessons([(doc_id, x)])]
                 if rows:
                     yield pa.RecordBatch.from_pydict({"doc_id": [doc_id] * len(rows), "k": list(range(len(rows)))} | {c: pa.array([r[j] for r in rows], pa.binary()) for j, c in enumerate(("x", "y", "chain", "skip"))})
 
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")  # `sample` ids at most
     least = known.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"))  # of a repeated doc_id, whatever the order of rows
     rows = sorted(least.mapInArrow(run, "doc_id long, k long, x binary, y binary, chain binary, skip binary").collect(), key=lambda r: (r.doc_id, r.k))
-    parts = [[np.frombuffer(v, np.int32).astype(np.int64) for v in r[2:]] for r in rows]
+    parts = [[np.frombuffer(v, kind) for v, kind in zip(r[2:], _KINDS, strict=True)] for r in rows]
     first = np.cumsum([0, *(len(p[1]) for p in parts)])
-    joined = lambda k: np.concatenate([np.zeros(0, np.int64), *((p[k] + (first[i] if k > 1 else 0)) for i, p in enumerate(parts))])
+    joined = lambda k: np.concatenate([np.zeros(0, _KINDS[k]), *((p[k] + first[i] if k > 1 else p[k]) for i, p in enumerate(parts))])
     return train(joined(0).reshape(-1, N_FEATURES), joined(1), joined(2).reshape(-1, 2), joined(3).reshape(-1, 2))
 
 

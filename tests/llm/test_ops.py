@@ -6,6 +6,7 @@ import io
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kbspark.llm import chat, classifier, components, licenses, media, mixing, packing, pii, quality, simhash, similar, tokenizing, tokens
+from kbspark.llm import chat, classifier, components, licenses, media, mixing, packing, pii, quality, simhash, similar, tokenizing, tokens, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,6 +70,11 @@ def test_op1_equals_sql_and_meets_targets(spark, docs, none, tmp_path):
     total = sum(r["size"] for r in got)
     assert sum({r.source_size: r.target for r in got}.values()) == pytest.approx(total)
     assert all(r.taken <= 3 * r["size"] for r in got) and mixing.query(none).count() == 0
+    taken, source = collections.Counter(), dict(zip([r[0] for r in rows()], [r[3] for r in rows()]))
+    for r in got:
+        taken[source[r.doc_id], r.target] += r.taken
+    longest = max(len(WORD.findall(r[1] or "")) for r in rows())
+    assert all(abs(n - target) <= longest for (_, target), n in taken.items())
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() > 0 and mixing.mix(none).count() == 0
 
@@ -164,6 +170,53 @@ def test_op4(spark, none):
     assert got[103, "MIT"].start_word == 0 and got[103, "MIT"].n_words == 5
 
 
+def words_of(text):
+    return licenses.shingle_hashes(words.Words([(text or "").encode()], words.PUNCTUATION, fold=True).hashes)
+
+
+def test_op4_equals_brute_force_containment():
+    """All given documents, and texts that hold bodies and notices with changed words: templates in whatever stretch holds enough."""
+    known, rng = licenses.Templates(licenses.TEMPLATES), random.Random(31)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    for name, body in licenses.TEMPLATES.items():
+        for share in (0.0, 0.01, 0.03, 0.06):
+            w = [prose(rng, 1) if rng.random() < share else x for x in body.split()]
+            texts.append(f"{prose(rng, rng.randrange(200))} {' '.join(w)} {prose(rng, 50)}")
+    texts += [" ".join(licenses.TEMPLATES[k] for k in rng.sample(sorted(licenses.TEMPLATES), 4)) for _ in range(10)]
+    n = missed = 0
+    for t in texts:
+        h = words_of(t)
+        marks = known.marks(h)
+        got = {s.name for s in known.stretches(h, marks)}
+        want = set()
+        for name, own in known.sets.items():
+            hits = np.flatnonzero(np.isin(h, own))
+            if len(hits) and licenses.best_stretch(hits, np.searchsorted(own, h[hits]), len(own))[0] >= licenses.CONTAINMENT:
+                want.add(name)
+        assert got <= want
+        n, missed = n + len(want), missed + len(want - got)
+    assert n > 200 and missed <= 0.002 * n, (n, missed)
+
+
+def test_op4_each_stretch_by_itself(spark):
+    """A notice beside a like one elsewhere in the text; a template longer than all given ones."""
+    two, three = (licenses.TEMPLATES[k] for k in ("GPL-2.0", "GPL-3.0"))
+    text = f"{two.partition(' ')[2]} {prose(random.Random(1), 300)} {three}"
+    got = {r.license: r for r in licenses.query(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert set(got) == {"GPL-2.0", "GPL-3.0"} and got["GPL-2.0"].containment == 0.875 and got["GPL-3.0"].containment == 1
+    long = prose(random.Random(2), 40_000)
+    r = licenses.scan(spark.createDataFrame([(1, f"x y z {long} end"), (2, "x")], "doc_id long, text string"), {"long": long}).collect()
+    assert [(x.doc_id, x.license, x.start_word) for x in r] == [(1, "long", 3)]
+
+
+def test_words_are_never_cut():
+    """Long texts with tabs alone, or no white space at all, have as many words as bytes.split() finds."""
+    for text in (b"ab\t" * 800_000, b"w" * (3 << 20), (b"x" * 70_000 + b"\x0b") * 40, b"\n" * (2 << 20) + b"a b"):
+        found = []
+        words.each([b"first", text, b"last one"], lambda owners, w: found.append(len(w.hashes)))
+        assert sum(found) == len(text.split()) + 3
+
+
 def test_op4_long_text_in_pieces(spark):
     rng = random.Random(3)
     long = prose(rng, 300_000) + " Licensed under the Apache License, Version 2.0. " + prose(rng, 10)
@@ -359,6 +412,27 @@ def test_op7(spark, tmp_path):
     assert chat.query(spark, df.limit(0)).count() == 1
 
 
+def test_op7_masks_and_many_turns(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"é{i} <| \\") for i in range(6001)] + [(2, 0, "assistant", "b"), (2, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    took = time.time()
+    got = {r.conv_id: r for r in chat.query(spark, df).collect()}
+    assert time.time() - took < 30 and set(got) == {-1, 1, 2}
+    assert got[1].n_turns == 6001 and got[1].loss_chars == sum(len(t) for _, i, _, t in rows[:6001] if i % 2)
+    assert got[2].loss_sha256 == hashlib.sha256(b"ba").hexdigest()
+    f = chat.format_conversations(df.where("conv_id = 2 or turn < 9"))
+    examples = {(r.conv_id, r.example): r for r in chat.expand(f).collect()}
+    for r in chat.replies(f).collect():
+        e = examples[r.conv_id, r.example]
+        assert (r.reply is None) == (e.loss_start is None) and (r.formatted is None or r.formatted == e.formatted)
+        if r.reply is not None:
+            assert chat_unescaped(e.formatted[e.loss_start : e.loss_stop]) == r.reply and e.formatted[e.loss_stop :] == "<|im_end|>\n"
+
+
+def chat_unescaped(t):
+    return re.sub(r"\\([\\|])", r"\1", t)
+
+
 def ids_of(t, library):
     return [*library.encode(t or "", add_special_tokens=False).ids, 0]
 
