@@ -230,14 +230,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = pooled(list(texts(b)), vectors)
-            yield pa.RecordBatch.from_arrays([b.column("_quality").cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("_quality").cast(pa.int32()), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], names=["y", "x"])
 
     # at most `sample` ids, so the broadcast is bounded; their numbers come to the driver, not their texts
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality")
     one = known.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"), F.any_value("_quality").alias("_quality"))
-    rows = one.select("text", "_quality").mapInArrow(run, "y int, x array<double>").collect()
+    rows = one.select("text", "_quality").mapInArrow(run, "y int, x binary").collect()
     rows.sort()
-    return vectors, train(np.array([r.x for r in rows]).reshape(-1, INPUTS), np.array([r.y for r in rows], int))
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, INPUTS)
+    return vectors, train(x.astype(np.float64), np.array([r.y for r in rows], int))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
