@@ -107,7 +107,8 @@ def _layout(placed: DataFrame, seed: int) -> DataFrame:
 
 def _ranked(placed: DataFrame, starts: DataFrame) -> DataFrame:
     key = ["_key", "_none", "_class", "_salt"]
-    return placed.join(starts, key).withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy(*key).orderBy("_size", "_id", "_md5")))
+    # buckets grow with the sources, so they are not broadcast; ranks need the rows of a bucket together anyhow
+    return placed.join(starts.hint("merge"), key).withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy(*key).orderBy("_size", "_id", "_md5")))
 
 
 def systematic_copies(docs: DataFrame, carry: list[str], seed: int = SEED, salts: int = SALTS) -> DataFrame:
