@@ -122,14 +122,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             for k, used, values in zip(*(b.column(c).to_pylist() for c in _BLOCKS.names), strict=True):
                 own = sums.setdefault(k, np.zeros((size, WIDTH + 1), np.int64))
                 own[np.frombuffer(used, np.int32)] += np.frombuffer(values, np.int64).reshape(-1, WIDTH + 1)
-        rows = [(k, np.flatnonzero(x[:, WIDTH]).astype(np.int32).tobytes(), x[x[:, WIDTH] > 0].tobytes()) for k, x in sums.items()]
+        rows = [(k, np.flatnonzero(x[:, WIDTH]).astype(np.int32).tobytes(), mean(x[x[:, WIDTH] > 0]).tobytes()) for k, x in sums.items()]
         if rows:
             yield batch_of(_BLOCKS, zip(*rows, strict=True))
 
+    def mean(sums: np.ndarray) -> np.ndarray:
+        return (sums[:, :WIDTH] / sums[:, WIDTH:]).astype(np.float32)
+
     vectors = np.zeros((BLOCKS, size, WIDTH), np.float32)
-    for r in docs.select("text").mapInArrow(run, out).repartition("block").mapInArrow(add, out).toLocalIterator():
-        values = np.frombuffer(r.sums, np.int64).reshape(-1, WIDTH + 1)
-        vectors[r.block, np.frombuffer(r.used, np.int32)] = values[:, :WIDTH] / values[:, WIDTH:]
+    for r in docs.select("text").mapInArrow(run, out).repartition("block").mapInArrow(add, out).collect():
+        vectors[r.block, np.frombuffer(r.used, np.int32)] = np.frombuffer(r.sums, np.float32).reshape(-1, WIDTH)
     return vectors.reshape(VOCABULARY, WIDTH)
 
 
@@ -195,8 +197,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
     held, own = order[: len(y) // 5], order[len(y) // 5 :]
     if len(set(y[own])) < 2:
         held, own = order, order
-    centre, scale = x[own].mean(axis=0), x[own].std(axis=0) + 1e-6
-    z = (x[own] - centre) / scale
+    centre, scale = x[own].mean(axis=0, dtype=float), x[own].std(axis=0, dtype=float) + 1e-6
+    z = ((x[own] - centre) / scale).astype(np.float32)
     p = [rng.normal(0, INPUTS**-0.5, (INPUTS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(())]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     t = y[own].astype(float)
@@ -237,8 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     one = known.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"), F.any_value("_quality").alias("_quality"))
     rows = one.select("text", "_quality").mapInArrow(run, "y int, x binary").collect()
     rows.sort()
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, INPUTS)
-    return vectors, train(x.astype(np.float64), np.array([r.y for r in rows], int))
+    x, y = np.zeros((len(rows), INPUTS), np.float32), np.array([r.y for r in rows], int)
+    while rows:  # what has been copied goes at once
+        x[len(rows) - 1] = np.frombuffer(rows.pop().x, np.float32)
+    return vectors, train(x, y)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -435,6 +435,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     least = known.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"))  # of a repeated doc_id, whatever the order of rows
     rows = sorted(least.mapInArrow(run, "doc_id long, k long, x binary, y binary, chain binary, skip binary").collect(), key=lambda r: (r.doc_id, r.k))
     parts = [[np.frombuffer(v, kind) for v, kind in zip(r[2:], _KINDS, strict=True)] for r in rows]
+    del rows
     first = np.cumsum([0, *(len(p[1]) for p in parts)])
     joined = lambda k: np.concatenate([np.zeros(0, _KINDS[k]), *((p[k] + first[i] if k > 1 else p[k]) for i, p in enumerate(parts))])
     return train(joined(0).reshape(-1, N_FEATURES), joined(1), joined(2).reshape(-1, 2), joined(3).reshape(-1, 2))
