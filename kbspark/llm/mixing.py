@@ -93,16 +93,16 @@ def _layout(placed: DataFrame, seed: int) -> DataFrame:
     prior = lambda *by: Window.partitionBy(*by)
     running = (Window.unboundedPreceding, -1)
     classes = classes.withColumn("class_start", F.coalesce(F.sum("class_n").over(prior("_key", "_none").orderBy("_class").rowsBetween(*running)), F.lit(0)))
-    starts = buckets.join(classes.select("_key", "_none", "_class", "class_start"), ["_key", "_none", "_class"]).withColumn(
+    starts = buckets.join(classes.select("_key", "_none", "_class", "class_start").hint("merge"), ["_key", "_none", "_class"]).withColumn(
         "_start", F.col("class_start") + F.coalesce(F.sum("n").over(prior("_key", "_none", "_class").orderBy("_salt").rowsBetween(*running)), F.lit(0)))
-    starts = materialise(starts.join(targets, ["_key", "_none"]).select(*key, "_start", "_source_size", "_target", "_rate", "_first"), "starts")
+    starts = materialise(starts.join(targets.hint("merge"), ["_key", "_none"]).select(*key, "_start", "_source_size", "_target", "_rate", "_first"), "starts")
     offsets = [F.pmod(F.col("_first") + F.lit(k / OFFSETS), F.lit(1.0)) for k in range(OFFSETS)]
     ranked = _ranked(placed, starts)
     taken = [F.sum((_crossed(F.col("_rank"), x) - _crossed(F.col("_rank") - 1, x)) * F.col("_size")) for x in offsets]
     misses = [F.struct(F.abs(t - F.first("_target")).alias("miss"), F.lit(k).alias("k")) for k, t in enumerate(taken)]
     best = ranked.groupBy("_key", "_none").agg(F.least(*misses).getField("k").alias("_k"))
     # a row for each bucket and one for each source
-    return starts.join(best, ["_key", "_none"]).withColumn("_offset", F.pmod(F.col("_first") + F.col("_k") / OFFSETS, F.lit(1.0))).drop("_first", "_k")
+    return starts.join(best.hint("merge"), ["_key", "_none"]).withColumn("_offset", F.pmod(F.col("_first") + F.col("_k") / OFFSETS, F.lit(1.0))).drop("_first", "_k")
 
 
 def _ranked(placed: DataFrame, starts: DataFrame) -> DataFrame:
