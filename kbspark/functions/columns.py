@@ -25,34 +25,47 @@ def parse_offset_timestamp(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2"))
 
 
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+#: Links, embeds and tags of notes.
+LINK, EMBED, TAG = r"(?<!!)\[\[([^\[\]]+?)\]\]", r"!\[\[([^\[\]|]+?)(?:\|[^\[\]]*?)?\]\]", r"(?U)(?<!\S)#([\w/][\w/.-]*)"
+
+
 def masked_code(text: Column) -> Column:
-    """Fenced and inline code gives way to a blank."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", " "), r"`[^`\n]*`", " ")
+    """Code fenced by ``` or ~~~, then inline code (over line breaks too), gives way to a blank."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```|~~~.*?~~~", " "), r"`[^`]*`", " ")
 
 
 def extract_wikilinks(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(masked_code(text), F.lit(r"(?<!!)\[\[([^\]]+)\]\]"), 1), lambda x: F.trim(F.split(x, r"\|")[0]))
+    """Targets of links outside code; blank ones are left out."""
+    return F.filter(F.transform(F.regexp_extract_all(masked_code(text), F.lit(LINK), 1), lambda x: stripped(F.split(x, r"\|")[0])), lambda x: x != "")
 
 
 def extract_embeds(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(masked_code(text), F.lit(r"!\[\[([^\]]+)\]\]"), 1), lambda x: F.trim(F.split(x, r"\|")[0]))
+    """Targets of embeds, in code too."""
+    return F.regexp_extract_all(text, F.lit(EMBED), 1)
 
 
 def extract_tags(text: Column, front_matter: Column) -> Column:
-    inline = F.regexp_extract_all(masked_code(text), F.lit(r"(?:^|(?<=\s))#([A-Za-z][\w/-]*)"), 1)
+    """Tags of the front matter, then those in the text outside code; each once."""
+    inline = F.regexp_extract_all(masked_code(text), F.lit(TAG), 1)
     return F.array_distinct(F.concat(F.coalesce(front_matter, F.array().cast("array<string>")), inline))
 
 
 def extract_callouts(text: Column) -> Column:
     """Array of (type, title)."""
-    p = F.lit(r"(?m)^>\s*\[!(\w+)\][^\S\n]*([^\n]*)$")
-    return F.transform(F.arrays_zip(F.regexp_extract_all(text, p, 1).alias("a"), F.regexp_extract_all(text, p, 2).alias("b")), lambda x: F.struct(F.upper(x["a"]).alias("type"), F.trim(x["b"]).alias("title")))
+    p = F.lit(r"(?Umd)^>\s*\[!(\w+)\][ \t]*(.*?)[ \t]*$")
+    return F.transform(F.arrays_zip(F.regexp_extract_all(text, p, 1).alias("a"), F.regexp_extract_all(text, p, 2).alias("b")), lambda x: F.struct(F.upper(x["a"]).alias("type"), x["b"].alias("title")))
 
 
 def strip_note_syntax(text: Column) -> Column:
-    t = F.regexp_replace(text, r"!\[\[[^\]]+\]\]", "")
-    t = F.regexp_replace(t, r"\[\[(?:[^\]|]*\|)*([^\]|]+)\]\]", "$1")
-    return F.trim(F.regexp_replace(t, r"(^|\s)#([A-Za-z][\w/-]*)", "$1$2"))
+    """Without embeds; links give way to what they show, tags to their words."""
+    t = F.regexp_replace(text, EMBED, "")
+    t = F.regexp_replace(t, r"(?U)(?<!!)\[\[(?=[^\[\]])(?:[^\[\]|]*\|)*\s*([^\[\]|]*?)\s*\]\]", "$1")
+    return stripped(F.regexp_replace(t, TAG, "$1"))
 
 
 def percent_encoded(text: Column) -> Column:
@@ -85,7 +98,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays in doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in doubles; 0 if either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))

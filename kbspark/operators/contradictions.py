@@ -26,10 +26,13 @@ def detect_contradictions(existing: DataFrame, incoming: DataFrame) -> DataFrame
     return j.select(key.alias("id"), "entity_id", F.col("field").alias("field_name"), "old_value", F.col("value").alias("new_value"), "source_doc_id", "contradiction_type")
 
 
-def existing_properties(items: DataFrame) -> DataFrame:
-    """Comparable facts of action items; blanks are left out."""
+def existing_properties(items: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Stored facts of action items, and of projects (id, description) their description; blanks are left out."""
     f = F.inline(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in (("status", F.col("status")), ("due_date", F.date_format("due_date", "yyyy-MM-dd")), ("assignee_id", F.col("assignee_id").cast("string")))]))
-    return items.select(F.col("id").alias("entity_id"), f).where(F.trim("value") != "")
+    facts = items.select(F.col("id").alias("entity_id"), f)
+    if projects is not None:
+        facts = facts.unionByName(projects.select(F.col("id").alias("entity_id"), F.lit("description").alias("field"), F.col("description").alias("value")))
+    return facts.where(F.trim("value") != "")
 
 
 def persist_contradictions(table: DataFrame, new: DataFrame) -> DataFrame:

@@ -69,9 +69,17 @@ def path_query(edges: DataFrame, first: str, second: str) -> DataFrame:
     return a.join(b, ["_l", "via_id"]).select("from_id", "via_id", "to_id")
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_stats(nodes: DataFrame, edges: DataFrame, chunks: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """what, n: nodes of each label, edges of each type, and totals of documents, entities and relationships; of chunks and
+    of each source type where their tables are given."""
+    totals = nodes.select(F.when(F.col("label") == "Document", "documents").otherwise("entities").alias("what")).unionByName(edges.select(F.lit("relationships").alias("what")))
+    if chunks is not None:
+        totals = totals.unionByName(chunks.select(F.lit("chunks").alias("what")))
+    if documents is not None:
+        totals = totals.unionByName(documents.select(F.concat(F.lit("source:"), F.col("source_type")).alias("what")))
+    totals = totals.groupBy("what").agg(F.count(F.lit(1)).alias("n"))
     n = nodes.groupBy(F.concat(F.lit("node:"), F.col("label")).alias("what")).agg(F.count(F.lit(1)).alias("n"))
-    return n.unionByName(edges.groupBy(F.concat(F.lit("edge:"), F.col("rel_type")).alias("what")).agg(F.count(F.lit(1)).alias("n")))
+    return totals.unionByName(n).unionByName(edges.groupBy(F.concat(F.lit("edge:"), F.col("rel_type")).alias("what")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def top_connected(edges: DataFrame, n: int = 20) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import document_id, extract_embeds, extract_tags, extract_wikilinks, parse_offset_timestamp, percent_encoded, strip_note_syntax
+from ..functions.columns import document_id, extract_embeds, extract_tags, extract_wikilinks, parse_offset_timestamp, percent_encoded, strip_note_syntax, stripped
 
 COLUMNS = ["id", "content", "title", "source_type", "source_id", "author", "participants", "tags", "url", "created_at", "updated_at", "synced_at", "custom"]
 
@@ -39,13 +39,17 @@ def _map(**values: Column) -> Column:
 
 
 def parse_vtt_segments(transcripts: DataFrame) -> DataFrame:
-    """transcripts (meeting_id, text) -> meeting_id, seq, speaker, start, stop, text of each cue with text."""
+    """transcripts (meeting_id, text) -> meeting_id, seq, speaker, start, stop, text of each cue with text.
+
+    The first closed voice anywhere in a cue is its speaker and text; a cue without one is whole and of Unknown.
+    """
     t = transcripts.select("meeting_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), r"\n{2,}")).alias("seq", "cue"))
-    time = r"(?:^|\n)(\d{1,2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{1,2}:\d{2}:\d{2}\.\d{3})[^\n]*\n(.+)"
+    time = r"(?:^|\n)(\d{2}:\d{2}:\d{2}\.\d{3})[^\S\n]+-->[^\S\n]+(\d{2}:\d{2}:\d{2}\.\d{3})[^\n]*\n(.+)"
     part = lambda k: F.regexp_extract("cue", f"(?s){time}", k)
-    voice = lambda k: F.regexp_extract("body", r"(?s)^<v ([^>]*)>(.*?)(?:</v>)?\s*$", k)
-    t = t.select("meeting_id", "seq", part(1).alias("start"), part(2).alias("stop"), F.trim(part(3)).alias("body")).where("start <> ''")
-    return t.select("meeting_id", "seq", or_else(voice(1), "Unknown").alias("speaker"), "start", "stop", F.trim(F.when(F.col("body").startswith("<v "), voice(2)).otherwise(F.col("body"))).alias("text")).where("text <> ''")
+    spoken = r"(?s)<v\s+([^>]+)>(.*?)</v>"
+    voice = lambda k, other: F.when(F.col("body").rlike(spoken), stripped(F.regexp_extract("body", spoken, k))).otherwise(other)
+    t = t.select("meeting_id", "seq", part(1).alias("start"), part(2).alias("stop"), stripped(part(3)).alias("body")).where("start <> ''")
+    return t.select("meeting_id", "seq", voice(1, F.lit("Unknown")).alias("speaker"), "start", "stop", voice(2, F.col("body")).alias("text")).where("text <> ''")
 
 
 def transcript_text(segments: DataFrame) -> DataFrame:
@@ -77,13 +81,16 @@ def meetings_to_documents(meetings: DataFrame, transcripts: DataFrame, as_of: st
 
 
 def filter_mail(mails: DataFrame, folders: DataFrame | None = None, allow: list[str] | None = None, exclude: list[str] | None = None, sender_domains: list[str] | None = None, date_from: str | None = None) -> DataFrame:
-    """mails (folder_id, sender, received): allow-list, then exclude-list, sender's domain, and date (unreadable dates pass)."""
+    """mails (folder_id, sender, received): allow-list, then exclude-list, sender's domain, and date (unreadable dates pass).
+
+    With a list of domains a mail without a sender's address goes.
+    """
     m = mails.join(F.broadcast(folders.select("folder_id", F.col("name").alias("_f"))), "folder_id", "left") if folders is not None else mails.withColumn("_f", F.lit(None).cast("string"))
     name = F.coalesce("_f", F.lit(""))
     m = m.where(name.isin(*allow)) if allow else m
     m = m.where(~name.isin(*exclude)) if exclude else m
     if sender_domains:
-        m = m.where(F.col("sender").isNull() | (F.contains("sender", F.lit("@")) & F.substring_index("sender", "@", -1).isin(*sender_domains)))
+        m = m.where(F.coalesce(F.contains("sender", F.lit("@")) & F.substring_index("sender", "@", -1).isin(*sender_domains), F.lit(False)))
     if date_from:
         m = m.where(F.coalesce(parse_offset_timestamp(F.col("received").cast("string")) >= F.lit(date_from).cast("timestamp"), F.lit(True)))
     return m.drop("_f")
@@ -94,18 +101,19 @@ def limit_mail(mails: DataFrame, order: list[Column], n: int = 500) -> DataFrame
 
 
 def mail_threads(mails: DataFrame) -> DataFrame:
-    """mails (conversation_id, mail_id, received ts, sender, recipients, subject, body) -> a row for each thread.
+    """mails (conversation_id, mail_id, received ts, received_text, sender, recipients, subject, body) -> a row for each thread.
 
+    received_text is the date as it came, for the text. The title is the last mail's subject, or "No Subject".
     A thread is one document, so its mails meet in one row. Rows without a conversation are left out.
     """
     m = mails.where(F.coalesce(F.trim(F.col("conversation_id").cast("string")) != "", F.lit(False)))
-    text = F.concat(F.lit("From: "), F.coalesce("sender", F.lit("")), F.lit("\nDate: "), F.coalesce(F.date_format("received", "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.lit("\nSubject: "), F.coalesce("subject", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
+    text = F.concat(F.lit("From: "), F.coalesce("sender", F.lit("")), F.lit("\nDate: "), F.coalesce("received_text", F.lit("")), F.lit("\nSubject: "), F.coalesce("subject", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
     people = F.concat(F.array("sender"), F.coalesce("recipients", F.array().cast("array<string>")))
     t = m.groupBy("conversation_id").agg(
         F.min("received").alias("created_at"), F.max("received").alias("updated_at"), F.count(F.lit(1)).alias("email_count"), F.max_by("subject", F.struct("received", "mail_id")).alias("_s"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("received", "mail_id", text.alias("t")))), lambda x: x.t), "\n\n---\n\n").alias("content"),
         F.array_sort(F.array_distinct(_strings(F.flatten(F.collect_list(people))))).alias("participants"))
-    subject = F.regexp_replace(F.ltrim(F.coalesce("_s", F.lit(""))), r"^(Re|RE|Fwd|FWD|Fw): ", "")
+    subject = F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif("_s", F.lit("")), F.lit("No Subject")), r"(?U)^\s+", ""), r"^(Re|RE|Fwd|FWD|Fw): ", "")
     return t.select("conversation_id", F.concat(F.lit("Email: "), subject).alias("title"), "content", "participants", "created_at", "updated_at", "email_count")
 
 

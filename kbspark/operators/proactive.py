@@ -12,6 +12,8 @@ from .sync import insert_if_absent, top
 #: Fixed values.
 RELATED_THRESHOLD = 0.7
 TITLE_LENGTH = 40
+#: Kinds of entities as titles name them.
+FRIENDLY = {"Person": "person", "Project": "project", "Topic": "topic", "Decision": "decision", "ActionItem": "action item", "Meeting": "meeting", "Document": "document"}
 TICKETS, NOTES, MAILS = ("jira_issue",), ("obsidian_note", "apple_note"), ("outlook_email",)
 
 
@@ -72,22 +74,27 @@ def meeting_prep_notifications(meetings: DataFrame, context: DataFrame, persons:
     items = context.where("part = 'item'").groupBy("meeting_id").agg(F.count(F.lit(1)).alias("_n"))
     m = meetings.select(F.col("id").alias("meeting_id"), "title").join(names, "meeting_id", "left").join(items, "meeting_id", "left")
     text = F.concat_ws("; ", F.concat(F.lit("Attendees: "), F.col("_who")), F.format_string("%d open action items", F.col("_n")))
-    n = m.select(F.concat(F.lit("meeting_prep_"), F.col("meeting_id").cast("string")).alias("id"), F.lit("meeting_prep").alias("type"), "title", F.when(F.col("_who").isNull() & F.col("_n").isNull(), "Meeting starting soon").when(F.col("_n").isNull(), F.concat(F.lit("Attendees: "), F.col("_who"))).otherwise(text).alias("summary"), F.lit("high").alias("priority"))
+    n = m.select(F.concat(F.lit("meeting_prep_"), F.col("meeting_id").cast("string")).alias("id"), F.lit("meeting_prep").alias("type"), F.concat(F.lit("Upcoming: "), F.coalesce(F.nullif("title", F.lit("")), F.lit("Meeting"))).alias("title"), F.when(F.col("_who").isNull() & F.col("_n").isNull(), "Meeting starting soon").when(F.col("_n").isNull(), F.concat(F.lit("Attendees: "), F.col("_who"))).otherwise(text).alias("summary"), F.lit("high").alias("priority"), F.to_json(F.struct(F.col("meeting_id").cast("string").alias("meeting_id"))).alias("data"))
     return n.join(existing.select("id"), "id", "left_anti")
 
 
 def related_notifications(alerts: DataFrame, documents: DataFrame) -> DataFrame:
     j = alerts.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
-    return j.select(F.concat(F.lit("related_"), F.col("document_id").cast("string")).alias("id"), F.lit("related_content").alias("type"), "title", "summary", F.lit("low").alias("priority"), F.to_json(F.struct("document_id", "strength", "others")).alias("data"))
+    return j.select(F.concat(F.lit("related_"), F.col("document_id").cast("string")).alias("id"), F.lit("related_content").alias("type"), F.concat(F.lit("Related content: "), F.coalesce("title", F.lit(""))).alias("title"), "summary", F.lit("low").alias("priority"),
+                    F.to_json(F.struct(F.col("document_id").alias("new_doc_id"), F.col("others").alias("related_doc_ids"), F.col("strength").alias("connection_strength"))).alias("data"))
 
 
 def contradiction_notifications(contradictions: DataFrame, nodes: DataFrame, documents: DataFrame, existing: DataFrame) -> DataFrame:
+    """A medium notification for each contradiction that has none yet: what changed, on which entity, told by which document."""
     short = F.when(F.length("name") > TITLE_LENGTH, F.concat(F.substring("name", 1, TITLE_LENGTH - 3), F.lit("..."))).otherwise(F.col("name"))
     labels = entity_labels(nodes).select(F.col("id").alias("entity_id"), "name", "label")
-    d = documents.select(F.col("id").alias("source_doc_id"), F.col("title").alias("source_title"))
+    d = documents.select(F.col("id").alias("source_doc_id"), F.col("title").alias("source_title"), "source_type", "source_id")
     c = contradictions.join(labels, "entity_id", "left").join(d, "source_doc_id", "left")
-    title = F.when(F.col("name").isNull(), F.concat(F.lit("Conflict on "), F.col("field_name"))).otherwise(F.concat(F.lit("'"), F.col("field_name"), F.lit("' conflict on '"), short, F.lit("' ("), F.col("label"), F.lit(")")))
-    n = c.select(F.concat(F.lit("contradiction_"), F.col("id")).alias("id"), title.alias("title"), "source_title", F.lit("medium").alias("priority"))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in FRIENDLY.items() for x in pair])[F.col("label")], F.lower("label"))
+    title = F.when(F.col("name").isNull(), F.format_string("Contradiction: '%s' on unknown entity", "field_name")).otherwise(F.format_string("'%s' conflict on '%s' (%s)", F.col("field_name"), short, kind))
+    summary = F.format_string("Field '%s' changed from '%s' to '%s'", "field_name", "old_value", "new_value")
+    data = F.to_json(F.struct(F.col("id").alias("contradiction_id"), "entity_id", "field_name", "source_type", "source_id", "source_title"))
+    n = c.select(F.concat(F.lit("contradiction_"), F.col("id")).alias("id"), F.lit("contradiction").alias("type"), title.alias("title"), summary.alias("summary"), F.lit("medium").alias("priority"), data.alias("data"))
     return n.join(existing.select("id"), "id", "left_anti")
 
 

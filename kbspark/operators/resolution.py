@@ -10,6 +10,8 @@ from ..functions.columns import document_id, normalise_name
 #: Kinds of entities and relationships.
 ENTITY_TYPES = ("person", "project", "topic", "decision", "action_item", "meeting")
 RELATIONS = ("ATTENDED", "MENTIONED_IN", "ASSIGNED_TO", "RELATED_TO", "DECIDED_IN", "WORKS_ON", "TAGGED_WITH", "FOLLOWED_UP_BY", "OWNS", "BLOCKS")
+#: Names that share a segment at most before they meet under leftovers instead.
+CROWD = 256
 EXTRACTION = ("entities array<struct<type:string,name:string,properties:map<string,string>,confidence:double,source_span:string>>, "
               "relationships array<struct<source_entity:string,relationship_type:string,target_entity:string,confidence:double,context:string>>, confidence double, _bad string")
 
@@ -42,11 +44,26 @@ def _segments(name: str, parts: int):
     return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(i.alias("no"), F.substring(F.col(name), F.floor(i * n / parts).cast("int") + 1, F.floor((i + 1) * n / parts).cast("int") - F.floor(i * n / parts).cast("int")).alias("seg")))
 
 
+def _leftovers(name: str, most: int):
+    """What a name gives when up to `most` of its letters are taken out."""
+    out = every = F.array(F.col(name))
+    without = lambda x: F.transform(F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    for _ in range(most):
+        out = F.array_distinct(F.flatten(F.transform(out, without)))
+        every = F.concat(every, out)
+    return F.array_distinct(every)
+
+
 def fuzzy_join(a: DataFrame, b: DataFrame, max_dist: int = 2, min_dist: int = 0) -> DataFrame:
     """a (type, name) and b (type, name) -> type, a_name, b_name, distance: all pairs of distinct names of a type within max_dist.
 
     b's names are cut into max_dist + 1 segments; of two names within the distance one segment of b stands unchanged in
     a, moved by at most max_dist, and lengths differ by at most max_dist. Shorter names than segments meet by length.
+    A segment that more than CROWD names of b share (a common prefix, say) is no key. For distances of 2 or less its names
+    meet under what is left of both after at most max_dist letters are taken out, which two names within the distance
+    always share and few others do. For larger distances, where such leftovers would be too many, it stays a key: there
+    names that share most of their letters are mostly within the distance, so the result is as large.
+    Null names and types match nothing; repeated names are one; empty inputs give no rows.
     """
     parts = max_dist + 1
     left, right = a.select("type", F.col("name").alias("a_name")).distinct(), b.select("type", F.col("name").alias("b_name")).distinct()
@@ -56,7 +73,14 @@ def fuzzy_join(a: DataFrame, b: DataFrame, max_dist: int = 2, min_dist: int = 0)
     probe = probe.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(max_dist)))).withColumn("shift", F.explode(offsets))
     begin, end = F.floor(F.col("no") * F.col("len") / parts).cast("int"), F.floor((F.col("no") + 1) * F.col("len") / parts).cast("int")
     probe = probe.where(begin + F.col("shift") >= 0).select("type", "a_name", "len", "no", F.substring("a_name", begin + F.col("shift") + 1, end - begin).alias("seg")).distinct()
-    pairs = probe.join(cuts, ["type", "len", "no", "seg"]).select("type", "a_name", "b_name")
+    key = ["type", "len", "no", "seg"]
+    if max_dist > 2:
+        pairs = probe.join(cuts, key).select("type", "a_name", "b_name")
+    else:
+        crowded = cuts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).drop("_n")
+        pairs = probe.join(cuts.join(crowded, key, "left_anti"), key).select("type", "a_name", "b_name")
+        less = lambda df, name: df.join(crowded, key, "left_semi").select("type", name).distinct().select("type", name, F.explode(_leftovers(name, max_dist)).alias("left"))
+        pairs = pairs.unionByName(less(probe, "a_name").join(less(cuts, "b_name"), ["type", "left"]).select("type", "a_name", "b_name"))
     short = right.where(F.length("b_name") < parts).select("type", "b_name", F.length("b_name").alias("len"))
     pairs = pairs.unionByName(left.withColumn("len", F.explode(F.transform(offsets, lambda d: F.length("a_name") + d))).join(short, ["type", "len"]).select("type", "a_name", "b_name")).distinct()
     d = pairs.withColumn("distance", F.levenshtein("a_name", "b_name", max_dist))
@@ -89,22 +113,23 @@ def match_entities(mentions: DataFrame, nodes: DataFrame, max_dist: int = 2) ->
     return m.select("mention_id").join(best, "mention_id", "left").select("mention_id", F.col("b.node_id").alias("node_id"), F.col("b.method").alias("method"))
 
 
-def resolve_new(spark: SparkSession, names: DataFrame, checkpoint, max_dist: int = 2, rounds: int = 50) -> DataFrame:
+def resolve_new(spark: SparkSession, names: DataFrame, checkpoint, max_dist: int = 2) -> DataFrame:
     """names (type, name) without a node -> type, name, canonical: least name of each chain of names within max_dist.
 
     The batch form of matching one document after another: it does not depend on their order, so a chain of near names
-    becomes one entity. `checkpoint(df)` cuts lineage after each round; rounds follow the longest chain.
+    becomes one entity. `checkpoint(df)` cuts lineage after each round. Each name takes the least label of its neighbours,
+    then the label that this one has itself, so rounds follow the logarithm of a chain in order; they end at the fixed point.
     """
     own = names.select("type", normalise_name(F.col("name")).alias("name")).distinct()
     near = checkpoint(fuzzy_join(own, own, max_dist).where("a_name <> b_name").select("type", "a_name", "b_name"))
     label = checkpoint(own.withColumn("canonical", F.col("name")))
-    for _ in range(rounds):
+    while True:
         least = near.join(label.withColumnRenamed("name", "b_name"), ["type", "b_name"]).groupBy("type", F.col("a_name").alias("name")).agg(F.min("canonical").alias("other"))
         moved = checkpoint(label.join(least, ["type", "name"], "left").select("type", "name", F.least("canonical", "other").alias("canonical"), (F.coalesce(F.col("other") < F.col("canonical"), F.lit(False))).alias("moved")))
-        label = moved.drop("moved")
         if moved.where("moved").isEmpty():
-            return label
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+            return moved.drop("moved")
+        further = moved.select("type", F.col("name").alias("canonical"), F.col("canonical").alias("further"))
+        label = checkpoint(moved.join(further, ["type", "canonical"], "left").select("type", "name", F.coalesce("further", "canonical").alias("canonical")))
 
 
 def assign_entity_ids(resolved: DataFrame) -> DataFrame:
@@ -121,20 +146,26 @@ def add_aliases(nodes: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def build_nodes(entities: DataFrame, as_of: str) -> DataFrame:
-    """entities (entity_id, type, name, properties) -> node rows with the defaults of their type."""
+    """entities (entity_id, type, name, properties) -> node rows with the defaults of their type.
+
+    The name is a decision's summary, an action item's description and a meeting's title too. keywords that are no JSON list give none.
+    """
     p = lambda k, d="": F.coalesce(F.col("properties")[k], F.lit(d))
+    none = F.array().cast("array<string>")
     t, of = F.lit(as_of).cast("timestamp"), lambda *k: F.col("type").isin(*k)
     return entities.select(
-        F.col("entity_id").alias("id"), "type", "name", F.when(of("person"), p("email")).alias("email"), F.when(of("project", "action_item"), p("description")).alias("description"),
-        F.when(of("action_item"), p("status", "open")).alias("status"), F.when(of("action_item"), p("assignee")).alias("assignee_id"),
+        F.col("entity_id").alias("id"), "type", "name", F.when(of("person"), p("email")).alias("email"), F.when(of("project"), p("description")).when(of("action_item"), F.col("name")).alias("description"),
+        F.when(of("action_item"), p("status", "open")).alias("status"), F.when(of("action_item"), p("assignee_id")).alias("assignee_id"),
+        F.when(of("decision"), F.col("name")).alias("summary"), F.when(of("decision"), p("context")).alias("context"), F.when(of("meeting"), F.col("name")).alias("title"),
+        F.when(of("topic"), F.coalesce(F.from_json(F.col("properties")["keywords"], "array<string>"), none)).alias("keywords"), F.when(of("person", "project"), none).alias("aliases"),
         F.when(of("meeting"), F.coalesce(F.col("properties")["duration_minutes"].try_cast("int"), F.lit(0))).alias("duration_minutes"),
         F.when(of("person"), t).alias("first_seen"), F.when(of("person"), t).alias("last_seen"))
 
 
 def build_edges(relationships: DataFrame, name_to_id: DataFrame, schema: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two names are entities of the same document and whose end types fit the relation; one a (relation, from, to)."""
-    n = name_to_id.select("doc_id", normalise_name(F.col("name")).alias("_n"), "id")
-    r = relationships.withColumns({"_s": normalise_name(F.col("source_entity")), "_t": normalise_name(F.col("target_entity"))})
+    """Edges whose two names, exactly as written, are entities of the same document and whose end types fit the relation; one a (relation, from, to)."""
+    n = name_to_id.select("doc_id", F.col("name").alias("_n"), "id")
+    r = relationships.withColumns({"_s": F.col("source_entity"), "_t": F.col("target_entity")})
     e = r.join(n.select("doc_id", F.col("_n").alias("_s"), F.col("id").alias("from_id")), ["doc_id", "_s"]).join(n.select("doc_id", F.col("_n").alias("_t"), F.col("id").alias("to_id")), ["doc_id", "_t"])
     kinds = nodes.select("id", "type")
     e = e.join(kinds.select(F.col("id").alias("from_id"), F.col("type").alias("from_label")), "from_id").join(kinds.select(F.col("id").alias("to_id"), F.col("type").alias("to_label")), "to_id")

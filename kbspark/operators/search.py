@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cosine
+from ..functions.columns import dot
 from .sync import top
 
 #: Weights and cuts of the ranking.
@@ -20,6 +20,7 @@ EXCERPT = 200
 #: Queries and chunks in a block of the matrix form.
 QUERY_BLOCK = 1024
 CHUNK_BLOCK = 8192
+SQL_BLOCK = 64
 
 
 def filter_chunks(chunks: DataFrame, source_types: list[str] | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -34,22 +35,39 @@ def filter_chunks(chunks: DataFrame, source_types: list[str] | None = None, date
 
 
 def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: exact top k of each query. The set of queries is broadcast only while small."""
+    """query_id, chunk_id, score, rank: exact top k of each query, in DataFrame functions alone.
+
+    Queries are packed into blocks that meet each part of the chunks by its number; nothing is broadcast or crossed.
+    Norms are taken once a row. Only the two row counts reach the driver. A null or empty vector has a score of 0.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    scored = chunks.select("chunk_id", "vector").join(queries.select("query_id", F.col("vector").alias("_q")), F.lit(True)).select("query_id", "chunk_id", F.round(cosine(F.col("vector"), F.col("_q")), 9).alias("score"))
+    parts = max(1, -(-chunks.select("chunk_id").count() // CHUNK_BLOCK))
+    blocks = max(1, -(-queries.select("query_id").count() // SQL_BLOCK))
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm")
+    c = chunks.select("chunk_id", "vector", norm, F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"))
+    q = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("query_id", F.col("vector").alias("_q"), norm.alias("_n"))).alias("block"))
+    q = q.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    score = F.coalesce(F.try_divide(dot(F.col("vector"), F.col("_q")), F.col("norm") * F.col("_n")), F.lit(0.0))
+    scored = c.join(q, "part").select("chunk_id", "vector", "norm", F.inline("block")).select("query_id", "chunk_id", F.round(score, 9).alias("score"))
     return top(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
 def packed(rows: DataFrame, key: str, n: int, size: int, name: str) -> DataFrame:
     """Rows (key, vector) dealt into blocks of about `size` of n: the block's number under `name`, its rows as a list."""
+    rows = rows.select(key, F.coalesce("vector", F.array().cast(rows.schema["vector"].dataType)).alias("vector"))
     return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size)))).cast("int").alias(name)).agg(F.collect_list(F.struct(F.col(key).alias("id"), "vector")).alias(f"_{name}"))
 
 
 def block_of(rows: pa.ListArray, at: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors) of one packed block, by id."""
     own = rows[at].values
-    ids, vectors = own.field("id").to_numpy(zero_copy_only=False), own.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+    ids, lists = own.field("id").to_numpy(zero_copy_only=False), own.field("vector")
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = int(sizes.max(initial=0))
+    vectors = np.zeros((len(own), width))
+    vectors[np.arange(width) < sizes[:, None]] = flat  # vectors that are null or shorter end in zeros
     order = np.argsort(ids, kind="stable")
     return ids[order], vectors[order]
 
@@ -57,6 +75,8 @@ def block_of(rows: pa.ListArray, at: int) -> tuple[np.ndarray, np.ndarray]:
 def best_of_block(chunks: tuple[np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray], k: int, step: int = 128) -> Iterator[pa.RecordBatch]:
     """The k best chunks of a block for each query of a block, `step` queries at once; of equal scores the smaller chunk_id."""
     (own, c), (names, q) = chunks, queries
+    width = max(c.shape[1], q.shape[1])  # a block may hold null vectors alone
+    c, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (c, q))
     length, n = np.linalg.norm(c, axis=1), min(k, len(own))
     for at in range(0, len(names), step):
         part = q[at : at + step]
@@ -122,8 +142,9 @@ def best_chunk_per_document(scored: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, queries: DataFrame, k: int, factor: int = OVERFETCH) -> DataFrame:
+    """The nearest chunks with all but their vectors and texts, which few rows need in the end."""
     hits = cosine_topk_blocks(chunks, queries, factor * k)
-    return hits.join(chunks.drop("vector"), "chunk_id")
+    return hits.join(chunks.drop("vector", "text"), "chunk_id")
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 10, source_types: list[str] | None = None) -> DataFrame:
@@ -133,7 +154,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, edges: DataFrame, k: in
     if source_types and not one:
         c = post_filter_sources(c, source_types)
     c = combined_score(recency_minmax(c.join(graph_boost(edges), "document_id", "left")))
-    return attributions(best_chunk_per_document(c, k))
+    best = best_chunk_per_document(c, k)
+    return attributions(best.join(chunks.select("chunk_id", "text"), "chunk_id"))
 
 
 def attributions(ranked: DataFrame, excerpt: int = EXCERPT) -> DataFrame:

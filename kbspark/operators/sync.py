@@ -92,11 +92,13 @@ def first_since(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def split_delta(mails: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(live mails, conversation ids to delete, tombstones that name no conversation)."""
+def split_delta(mails: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(live mails, conversation ids to delete, with those stored before; tombstones that name no conversation)."""
     dead = mails.where(F.col("removed").isNotNull())
     named = F.coalesce(F.trim("conversation_id") != "", F.lit(False))
-    return mails.where(F.col("removed").isNull()), dead.where(named).select("conversation_id").distinct(), dead.where(~named)
+    gone = dead.where(named).select("conversation_id")
+    gone = gone if stored is None else gone.unionByName(stored.select("conversation_id"))
+    return mails.where(F.col("removed").isNull()), gone.distinct(), dead.where(~named)
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

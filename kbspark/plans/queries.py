@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import chunking, contradictions, conversations, graph, normalise, proactive, resolution, schedule, search, sync
 from ..streaming import jobs
-from .views import EVERY_QUERY, MEETING_AS_OF, SCHEDULE_AS_OF, SOURCE_TYPES, SQL, Views, with_views
+from .views import MEETING_AS_OF, SCHEDULE_AS_OF, SOURCE_TYPES, Views, with_views
 
 Query = Callable[[Views], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,8 +108,8 @@ register("merge_entities", lambda v: graph.merge_entities(v.nodes, v.edges, merg
          "+ p AS (SELECT a.id AS source, a.id - 1 AS target FROM kb_person a JOIN kb_person b ON b.id = a.id - 1 WHERE a.id % 50 = 0) SELECT DISTINCT rel_type, from_label, coalesce(f.target, from_id) AS from_id, to_label, coalesce(t.target, to_id) AS to_id FROM edges LEFT JOIN p f ON from_label = 'Person' AND f.source = from_id LEFT JOIN p t ON to_label = 'Person' AND t.source = to_id")
 register("merged_nodes", lambda v: graph.merge_entities(v.nodes, v.edges, merge_pairs(v))[0], "nodes kb_person", "SELECT * FROM nodes WHERE NOT (label = 'Person' AND id % 50 = 0 AND id - 1 IN (SELECT id FROM kb_person))")
 register("subgraph", lambda v: graph.subgraph(v.nodes, v.edges, ["Person", "Meeting"])[1], "edges nodes", "SELECT *, rel_type || ':' || from_id || ':' || to_id AS link_id FROM edges e WHERE from_label IN ('Person', 'Meeting') AND to_label IN ('Person', 'Meeting') AND EXISTS (SELECT 1 FROM nodes n WHERE n.label = e.from_label AND n.id = e.from_id) AND EXISTS (SELECT 1 FROM nodes n WHERE n.label = e.to_label AND n.id = e.to_id)")
-register("path_query", lambda v: graph.path_query(v.edges, "MENTIONED_IN", "TAGGED_WITH"), "edges", "SELECT a.from_id, a.to_id AS via_id, b.to_id FROM edges a JOIN edges b ON a.to_label = b.from_label AND a.to_id = b.from_id WHERE a.rel_type = 'MENTIONED_IN' AND b.rel_type = 'TAGGED_WITH'")
-register("graph_stats", lambda v: graph.graph_stats(v.nodes, v.edges), "nodes edges", "SELECT 'node:' || label AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'edge:' || rel_type, count(*) FROM edges GROUP BY 1")
+register("path_query", lambda v: graph.path_query(v.relation("MENTIONED_IN").unionByName(v.relation("TAGGED_WITH")), "MENTIONED_IN", "TAGGED_WITH"), "mentioned_in tagged_with", "SELECT a.from_id, a.to_id AS via_id, b.to_id FROM mentioned_in a JOIN tagged_with b ON a.to_id = b.from_id")
+register("graph_stats", lambda v: graph.graph_stats(v.nodes, v.edges, v.chunk, v.document), "nodes edges kb_chunk", "SELECT CASE label WHEN 'Document' THEN 'documents' ELSE 'entities' END AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'relationships', count(*) FROM edges UNION ALL SELECT 'chunks', count(*) FROM kb_chunk UNION ALL SELECT 'source:' || source_type, count(*) FROM kb_document GROUP BY 1 UNION ALL SELECT 'node:' || label AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'edge:' || rel_type, count(*) FROM edges GROUP BY 1")
 register("top_connected", lambda v: graph.top_connected(v.edges), "edges", "SELECT label, id, count(*) AS degree FROM (SELECT from_label AS label, from_id AS id FROM edges UNION ALL SELECT to_label, to_id FROM edges) GROUP BY ALL ORDER BY degree DESC, label, id LIMIT 20")
 register("ingest_growth", lambda v: graph.ingest_growth(v.document).withColumn("period", F.date_format("period", "yyyy-MM-dd")), "kb_document", "SELECT strftime(created_at, '%Y-%m-%d') AS period, count(*) AS n, sum(count(*)) OVER (ORDER BY strftime(created_at, '%Y-%m-%d'))::BIGINT AS total FROM kb_document GROUP BY 1")
 register("activity_feed", lambda v: graph.activity_feed({"document": v.document.select("id", F.col("created_at").alias("at")), "meeting": v.meeting.select("id", F.col("date").alias("at"))}).drop("at"), "kb_document kb_meeting", "SELECT kind, id FROM (SELECT 'document' AS kind, id, created_at AS made FROM kb_document UNION ALL SELECT 'meeting', id, date FROM kb_meeting) ORDER BY made DESC, kind, id LIMIT 20")
@@ -183,8 +183,8 @@ ctx AS (SELECT meeting_id, part, id, rank FROM (SELECT *, row_number() OVER (PAR
 _CTX = "kb_meeting attended mentioned_in kb_document assigned_to kb_action_item kb_person"
 register("meeting_context", context, _CTX, _CONTEXT + "SELECT * FROM ctx")
 register("meeting_prep_notifications", lambda v: proactive.meeting_prep_notifications(proactive.upcoming_meetings(v.meeting, MEETING_AS_OF, LEAD), context(v), v.person, v.meeting.where("id % 7 = 0").select(F.concat(F.lit("meeting_prep_"), F.col("id").cast("string")).alias("id"))), _CTX,
-         _CONTEXT + ", n AS (SELECT meeting_id, string_agg(name, ', ' ORDER BY name) AS w FROM ctx JOIN kb_person p ON p.id = ctx.id WHERE part = 'attendee' AND rank <= 3 GROUP BY 1), c AS (SELECT meeting_id, count(*) AS k FROM ctx WHERE part = 'item' GROUP BY 1) SELECT 'meeting_prep_' || up.id AS id, 'meeting_prep' AS type, title, CASE WHEN w IS NULL AND k IS NULL THEN 'Meeting starting soon' ELSE concat_ws('; ', 'Attendees: ' || w, k || ' open action items') END AS summary, 'high' AS priority FROM up LEFT JOIN n ON n.meeting_id = up.id LEFT JOIN c ON c.meeting_id = up.id WHERE up.id % 7 <> 0")
-register("related_notifications", lambda v: proactive.related_notifications(proactive.related_alerts(related(v, 0.02)), v.document).drop("data"), "edges kb_document", _RELATED + "SELECT 'related_' || document_id AS id, 'related_content' AS type, title, 'Connected to ' || n || ' existing document(s) via shared entities' AS summary, 'low' AS priority FROM (SELECT document_id, count(*) AS n FROM related WHERE score >= 0.02 GROUP BY 1) JOIN kb_document d ON d.id = document_id")
+         _CONTEXT + ", n AS (SELECT meeting_id, string_agg(name, ', ' ORDER BY name) AS w FROM ctx JOIN kb_person p ON p.id = ctx.id WHERE part = 'attendee' AND rank <= 3 GROUP BY 1), c AS (SELECT meeting_id, count(*) AS k FROM ctx WHERE part = 'item' GROUP BY 1) SELECT 'meeting_prep_' || up.id AS id, 'meeting_prep' AS type, 'Upcoming: ' || coalesce(nullif(title, ''), 'Meeting') AS title, CASE WHEN w IS NULL AND k IS NULL THEN 'Meeting starting soon' ELSE concat_ws('; ', 'Attendees: ' || w, k || ' open action items') END AS summary, 'high' AS priority, '{\"meeting_id\":\"' || up.id || '\"}' AS data FROM up LEFT JOIN n ON n.meeting_id = up.id LEFT JOIN c ON c.meeting_id = up.id WHERE up.id % 7 <> 0")
+register("related_notifications", lambda v: proactive.related_notifications(proactive.related_alerts(related(v, 0.02)), v.document).withColumn("data", F.regexp_replace("data", ",\"connection_strength.*", "")), "edges kb_document", _RELATED + "SELECT 'related_' || document_id AS id, 'related_content' AS type, 'Related content: ' || coalesce(title, '') AS title, 'Connected to ' || n || ' existing document(s) via shared entities' AS summary, 'low' AS priority, '{\"new_doc_id\":' || document_id || ',\"related_doc_ids\":[' || o || ']' AS data FROM (SELECT document_id, count(*) AS n, string_agg(other_id, ',' ORDER BY score DESC, other_id) FILTER (r <= 5) AS o FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, other_id) AS r FROM related WHERE score >= 0.02) GROUP BY 1) JOIN kb_document d ON d.id = document_id")
 register("list_notifications", lambda v: proactive.list_notifications(v.notification, True, 20, 10).select("id", "type"), "kb_notification", "SELECT id, type FROM kb_notification WHERE NOT read ORDER BY created_at DESC, id LIMIT 20 OFFSET 10")
 register("unread_count", lambda v: proactive.unread_count(v.notification), "kb_notification", "SELECT count(*) FILTER (NOT read) AS unread FROM kb_notification")
 register("mark_read", lambda v: proactive.mark_read(v.notification, v.notification.where("id % 3 = 0").select("id")).select("id", "read"), "kb_notification", "SELECT id, read OR id % 3 = 0 AS read FROM kb_notification")
@@ -216,8 +216,8 @@ register("persist_contradictions", lambda v: contradictions.persist_contradictio
 register("list_contradictions", lambda v: contradictions.list_contradictions(contradiction_table(v), True, 50).select("id"), _FACTS, _CONTRADICTIONS + "SELECT id FROM c WHERE NOT resolved ORDER BY detected_at DESC, id LIMIT 50")
 register("resolve_contradictions", lambda v: contradictions.resolve_contradictions(contradiction_table(v), contradiction(v).where("entity_id % 30 = 0").select("id"), MEETING_AS_OF)[0].select("id", "resolved"), _FACTS, _CONTRADICTIONS + "SELECT id, resolved OR entity_id % 30 = 0 AS resolved FROM c")
 register("auto_resolve_latest", lambda v: contradictions.auto_resolve_latest(contradiction_table(v)).select("id", "severity"), _FACTS, _CONTRADICTIONS + "SELECT id, CASE contradiction_type WHEN 'date' THEN 'high' WHEN 'status' THEN 'medium' ELSE 'low' END AS severity FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY detected_at DESC, id) AS r FROM c) WHERE r = 1")
-register("contradiction_notifications", lambda v: proactive.contradiction_notifications(contradiction(v), v.nodes.where("label = 'ActionItem'"), v.document, contradiction(v).where("entity_id % 20 = 0").select(F.concat(F.lit("contradiction_"), F.col("id")).alias("id"))), "facts_old facts_new kb_action_item kb_document",
-         _CONTRADICTIONS + "SELECT 'contradiction_' || c.id AS id, '''' || field_name || ''' conflict on ''' || CASE WHEN length(a.description) > 40 THEN substr(a.description, 1, 37) || '...' ELSE a.description END || ''' (ActionItem)' AS title, d.title AS source_title, 'medium' AS priority FROM c JOIN kb_action_item a ON a.id = entity_id LEFT JOIN kb_document d ON d.id = source_doc_id WHERE entity_id % 20 <> 0")
+register("contradiction_notifications", lambda v: proactive.contradiction_notifications(contradiction(v), v.nodes.where("label = 'ActionItem'"), v.document, contradiction(v).where("entity_id % 20 = 0").select(F.concat(F.lit("contradiction_"), F.col("id")).alias("id"))).withColumn("source_title", F.get_json_object("data", "$.source_title")).drop("data"), "facts_old facts_new kb_action_item kb_document",
+         _CONTRADICTIONS + "SELECT 'contradiction_' || c.id AS id, 'contradiction' AS type, 'Field ''' || field_name || ''' changed from ''' || old_value || ''' to ''' || new_value || '''' AS summary, '''' || field_name || ''' conflict on ''' || CASE WHEN length(a.description) > 40 THEN substr(a.description, 1, 37) || '...' ELSE a.description END || ''' (action item)' AS title, d.title AS source_title, 'medium' AS priority FROM c JOIN kb_action_item a ON a.id = entity_id LEFT JOIN kb_document d ON d.id = source_doc_id WHERE entity_id % 20 <> 0")
 
 # --- sync ---------------------------------------------------------------------------------------------------------
 
@@ -244,11 +244,11 @@ register("validate_documents", lambda v: sync.validate_documents(v.document.with
          "SELECT id, concat_ws('|', CASE WHEN trim(content, ' ') = '' THEN 'empty content' END, CASE WHEN trim(title, ' ') = '' THEN 'empty title' END, CASE WHEN id % 7 = 0 THEN 'unknown source_type' END, CASE WHEN id % 11 = 0 THEN 'updated before created' END) AS reasons FROM kb_document")
 register("source_url", lambda v: v.document.select("id", C.source_url(F.lit(None).cast("string"), F.col("source_type"), F.concat(F.col("source_id"), F.lit("/a b*~.md")), "obsidian://open?file=").alias("url")), "kb_document", "SELECT id, CASE WHEN source_type = 'obsidian_note' THEN 'obsidian://open?file=' || source_id || '%2Fa%20b%2A~.md' END AS url FROM kb_document")
 register("limit_mail", lambda v: normalise.limit_mail(v.mail, [F.col("received"), F.col("conversation_id"), F.col("mail_id")]).select("conversation_id", "mail_id"), "kb_mail", "SELECT conversation_id, mail_id FROM kb_mail ORDER BY received, conversation_id, mail_id LIMIT 500")
-register("mail_threads", lambda v: normalise.mail_threads(v.mail.withColumn("recipients", F.array(F.lit("list")))).select("conversation_id", "title", F.md5("content").alias("digest"), joined("participants"), "email_count"), "kb_mail",
-         "SELECT conversation_id, 'Email: ' || regexp_replace(ltrim(arg_max(subject, received), ' '), '^(Re|RE|Fwd|FWD|Fw): ', '') AS title, md5(string_agg('From: ' || sender || chr(10) || 'Date: ' || strftime(received, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Subject: ' || subject || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY received, mail_id)) AS digest, array_to_string(list_sort(list_distinct(list(sender) || ['list'])), '|') AS participants, count(*) AS email_count FROM kb_mail GROUP BY 1")
+register("mail_threads", lambda v: normalise.mail_threads(v.mail.withColumns({"recipients": F.array(F.lit("list")), "received_text": F.date_format("received", "yyyy-MM-dd'T'HH:mm:ss'Z'")})).select("conversation_id", "title", F.md5("content").alias("digest"), joined("participants"), "email_count"), "kb_mail",
+         "SELECT conversation_id, 'Email: ' || regexp_replace(ltrim(coalesce(nullif(arg_max(subject, received), ''), 'No Subject'), ' '), '^(Re|RE|Fwd|FWD|Fw): ', '') AS title, md5(string_agg('From: ' || sender || chr(10) || 'Date: ' || strftime(received, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'Subject: ' || subject || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY received, mail_id)) AS digest, array_to_string(list_sort(list_distinct(list(sender) || ['list'])), '|') AS participants, count(*) AS email_count FROM kb_mail GROUP BY 1")
 register("notes_from_relational", lambda v: normalise.notes_from_relational(
-    v.document.select(F.col("id").alias("pk"), "title", (F.col("id") % 20).alias("folder_pk"), (F.col("id") * 3600).alias("created"), (F.col("id") * 7200).alias("modified"), (F.col("id") % 9 == 0).alias("deleted")), v.document.where("id % 2 = 0").select(F.col("id").alias("note_pk"), F.substring("content", 1, 20).alias("body"))).select("id", "folder", "body", F.unix_seconds("created").alias("created")), "kb_document",
-    "SELECT d.id, coalesce(nullif(trim(f.title, ' '), ''), 'Notes') AS folder, substr(d.content, 1, 20) AS body, d.id * 3600 + 978307200 AS created FROM kb_document d LEFT JOIN kb_document f ON f.id = d.id % 20 WHERE d.id % 9 <> 0 AND d.id % 2 = 0")
+    v.document.select(F.col("id").alias("pk"), "title", (F.col("id") % 20).alias("folder_pk"), (F.col("id") * 3600).alias("created"), (F.col("id") * 7200).alias("modified"), (F.col("id") % 9 == 0).alias("deleted")), v.document.select(F.col("id").alias("note_pk"), F.col("content").alias("body"))).select("id", "folder", F.md5("body").alias("body"), F.unix_seconds("created").alias("created")), "kb_document",
+    "SELECT d.id, coalesce(nullif(trim(f.title, ' '), ''), 'Notes') AS folder, md5(d.content) AS body, d.id * 3600 + 978307200 AS created FROM kb_document d LEFT JOIN kb_document f ON f.id = d.id % 20 WHERE d.id % 9 <> 0")
 register("html_to_text", lambda v: v.table("pages").select("page_id", F.sha2(normalise.html_to_text(F.col("html")), 256).alias("digest"), F.length(normalise.html_to_text(F.col("html"))).alias("n_chars")))
 register("html_notes_to_documents", lambda v: normalise.html_notes_to_documents(v.table("pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"), F.col("html").alias("body"), F.lit("Web").alias("folder"), F.lit("2024-01-01T00:00:00Z").alias("created"), F.lit("2024-01-02T00:00:00Z").alias("modified")), MEETING_AS_OF).select("id", "title", "source_id", F.length("content").alias("n_chars")))
 
@@ -279,14 +279,14 @@ register("fuzzy_join", lambda v: resolution.fuzzy_join(*names(v)), None, _NAMES
 register("ambiguous_pairs", lambda v: resolution.ambiguous_pairs(*names(v)), None, _NAMES + "SELECT 'topic' AS type, a_name, b_name, distance FROM pairs WHERE distance BETWEEN 3 AND 5")
 register("match_entities", lambda v: resolution.match_entities(names(v)[0].select(F.col("id").alias("mention_id"), "type", "name", F.lit("").alias("email")), names(v)[1].withColumn("email", F.lit(""))).withColumn("node_id", F.coalesce("node_id", F.lit(-1))), None,
          _NAMES + ", ids AS (SELECT name, min(id) AS node_id FROM n GROUP BY 1), hits AS (SELECT m.id AS mention_id, CASE WHEN distance = 0 THEN 1 ELSE 2 END AS p, distance, node_id FROM m JOIN pairs ON a_name = m.name JOIN ids ON ids.name = b_name WHERE distance <= 2), best AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY p, distance, node_id) AS r FROM hits) SELECT m.id AS mention_id, coalesce(node_id, -1) AS node_id, CASE p WHEN 1 THEN 'name' WHEN 2 THEN 'fuzzy' END AS method FROM m LEFT JOIN best ON mention_id = m.id AND r = 1")
-register("add_aliases", lambda v: resolution.add_aliases(v.person.where("id % 3 = 0").select("id", F.lit("person").alias("type"), "name", F.array(F.lit("boss")).alias("aliases")), v.table("orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("node_id"), F.concat(F.lit("alias"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))).select("id", joined("aliases")), "kb_person",
-         "SELECT p.id, array_to_string(['boss'] || coalesce(list_sort(list_distinct(list('alias' || o_orderkey % 3) FILTER (o_orderkey IS NOT NULL))), []), '|') AS aliases FROM kb_person p LEFT JOIN orders ON o_custkey = p.id WHERE p.id % 3 = 0 GROUP BY p.id")
+register("add_aliases", lambda v: resolution.add_aliases(v.person.select("id", F.lit("person").alias("type"), "name", F.array(F.lit("boss")).alias("aliases")), v.table("orders").select(F.col("o_custkey").alias("node_id"), F.concat(F.lit("alias"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))).select("id", joined("aliases")), "kb_person",
+         "SELECT p.id, array_to_string(['boss'] || coalesce(list_sort(list_distinct(list('alias' || o_orderkey % 3) FILTER (o_orderkey IS NOT NULL))), []), '|') AS aliases FROM kb_person p LEFT JOIN orders ON o_custkey = p.id GROUP BY p.id")
 
 # --- conversations and streams ------------------------------------------------------------------------------------
 
 register("sessions", lambda v: conversations.sessions(v.message), "kb_message", "SELECT session_id, substr(trim(arg_min(content, timestamp) FILTER (role = 'user'), ' '), 1, 50) AS title, max(timestamp) AS updated_at, count(*) AS n_messages FROM kb_message GROUP BY 1")
 register("recent_messages", lambda v: conversations.recent_messages(v.message, 3).select("session_id", "timestamp", "role", F.col("position").cast("long").alias("position")), "kb_message", "SELECT session_id, timestamp, role, max(b) OVER (PARTITION BY session_id) - b AS position FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, role) AS b FROM kb_message) WHERE b <= 3")
-register("route_commands", lambda v: conversations.route_commands(v.message.withColumn("q", F.concat(F.when(F.col("timestamp") == 0, "/search ").when(F.col("timestamp") == 1, "/graph ").otherwise(""), F.substring("content", 1, 20))), F.col("q")).select("session_id", "timestamp", "route", "argument"), "kb_message", "SELECT session_id, timestamp, CASE timestamp WHEN 0 THEN 'search' WHEN 1 THEN 'graph' ELSE 'chat' END AS route, substr(content, 1, 20) AS argument FROM kb_message")
+register("route_commands", lambda v: conversations.route_commands(v.message.withColumn("q", F.concat(F.when(F.col("timestamp") == 0, "/search ").when(F.col("timestamp") == 1, "/graph ").otherwise(""), F.col("content"))), F.col("q")).select("session_id", "timestamp", "route", F.md5("argument").alias("argument")), "kb_message", "SELECT session_id, timestamp, CASE timestamp WHEN 0 THEN 'search' WHEN 1 THEN 'graph' ELSE 'chat' END AS route, md5(content) AS argument FROM kb_message")
 register("delete_sessions", lambda v: conversations.delete_sessions(conversations.sessions(v.message), v.message, v.message.where("session_id % 5 = 0").select("session_id").distinct())[1].select("session_id", "timestamp"), "kb_message", "SELECT session_id, timestamp FROM kb_message WHERE session_id % 5 <> 0")
 register("build_prompts", lambda v: conversations.build_prompts(v.query.select("query_id", F.col("query_id").alias("session_id"), F.lit("What is new?").alias("question")), found(v), conversations.recent_messages(v.message), "Answer from the sources.").select("query_id", F.length("prompt").alias("n_chars")))
 register("extraction_queue_status", lambda v: conversations.extraction_queue_status(v.table("events").select((F.col("event_id") % 1000).alias("id"), F.element_at(F.array(*map(F.lit, ("pending", "processing", "done"))), (F.col("user_id") % 3 + 1).cast("int")).alias("status"), F.col("ts").alias("at"))), None,
@@ -301,23 +301,14 @@ def stamped(v: Views) -> DataFrame:
 
 register("activity_windows", lambda v: jobs.activity_windows(stamped(v), "1 day").withColumn("start", F.unix_seconds("start")), None, "SELECT event_type, epoch(date_trunc('day', ts))::BIGINT AS start, count(*) AS n FROM events GROUP BY 1, 2")
 register("activity_sessions", lambda v: jobs.activity_sessions(stamped(v), "1 hour").withColumn("start", F.unix_micros("start")), None, "WITH e AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT user_id, min(epoch_us(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, g")
-register("debounce_changes", lambda v: jobs.debounce_batch(stamped(v).select((F.col("user_id") % 20).alias("path"), "ts", F.col("event_type").alias("event")), 600).withColumn("start", F.unix_micros("start")), None,
-         "WITH e AS (SELECT user_id % 20 AS path, ts, event_type AS event FROM events), f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY path ORDER BY ts, event) < 600000000 THEN 0 ELSE 1 END AS f FROM e), s AS (SELECT *, sum(f) OVER (PARTITION BY path ORDER BY ts, event ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT path, min(epoch_us(ts)) AS start, last(event ORDER BY ts, event) AS event, count(*) AS n FROM s GROUP BY path, g")
-
-# --- whole inputs -------------------------------------------------------------------------------------------------
-# Queries above are held to SQL that takes a part of their input; these take all of it.
-
-
-def widened(run: Query) -> Query:
-    def whole(v: Views) -> DataFrame:
-        v.query = v.every_query
-        return run(v)
-
-    return whole
+register("debounce_changes", lambda v: jobs.debounce_batch(stamped(v).select((F.col("user_id")).alias("path"), "ts", F.col("event_type").alias("event")), 600).withColumn("start", F.unix_micros("start")), None,
+         "WITH e AS (SELECT user_id AS path, ts, event_type AS event FROM events), f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY path ORDER BY ts, event) < 600000000 THEN 0 ELSE 1 END AS f FROM e), s AS (SELECT *, sum(f) OVER (PARTITION BY path ORDER BY ts, event ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT path, min(epoch_us(ts)) AS start, last(event ORDER BY ts, event) AS event, count(*) AS n FROM s GROUP BY path, g")
 
+# --- second names -------------------------------------------------------------------------------------------------
+# These took a part of their input once, and the names with _all the whole; both take the whole now.
 
 for _name in ("hybrid_search", "cosine_topk", "cosine_topk_blocks", "post_filter_sources", "recency_minmax", "retrieval_entities", "retrieval_relationships", "facet_source_types", "facet_months", "facet_entities", "facet_tags", "build_prompts"):
-    register(f"{_name}_all", widened(QUERIES[_name]), None, ORACLES[_name].replace(SQL["kb_query"], EVERY_QUERY) if _name in ORACLES else None)
+    register(f"{_name}_all", QUERIES[_name], None, ORACLES.get(_name))
 register("add_aliases_all", lambda v: resolution.add_aliases(v.person.select("id", F.lit("person").alias("type"), "name", F.array(F.lit("boss")).alias("aliases")), v.table("orders").select(F.col("o_custkey").alias("node_id"), F.concat(F.lit("alias"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))).select("id", joined("aliases")), "kb_person",
          "SELECT p.id, array_to_string(['boss'] || coalesce(list_sort(list_distinct(list('alias' || o_orderkey % 3) FILTER (o_orderkey IS NOT NULL))), []), '|') AS aliases FROM kb_person p LEFT JOIN orders ON o_custkey = p.id GROUP BY p.id")
 register("notes_from_relational_all", lambda v: normalise.notes_from_relational(
@@ -325,4 +316,4 @@ register("notes_from_relational_all", lambda v: normalise.notes_from_relational(
     "SELECT d.id, coalesce(nullif(trim(f.title, ' '), ''), 'Notes') AS folder, CASE WHEN d.id % 50 <> 1 THEN md5(d.content) END AS digest, d.id * 3600 + 978307200 AS created FROM kb_document d LEFT JOIN kb_document f ON f.id = d.id % 20 WHERE d.id % 9 <> 0")
 register("route_commands_all", lambda v: conversations.route_commands(v.message.withColumn("q", F.concat(F.when(F.col("timestamp") == 0, "/search ").when(F.col("timestamp") == 1, "/graph ").otherwise(""), F.col("content"))), F.col("q")).select("session_id", "timestamp", "route", F.md5("argument").alias("digest")), "kb_message",
          "SELECT session_id, timestamp, CASE timestamp WHEN 0 THEN 'search' WHEN 1 THEN 'graph' ELSE 'chat' END AS route, md5(content) AS digest FROM kb_message")
-register("debounce_changes_all", lambda v: jobs.debounce_batch(stamped(v).select(F.col("user_id").alias("path"), "ts", F.col("event_type").alias("event")), 600).withColumn("start", F.unix_micros("start")), None, ORACLES["debounce_changes"].replace("user_id % 20 AS path", "user_id AS path"))
+register("debounce_changes_all", QUERIES["debounce_changes"], None, ORACLES["debounce_changes"])

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: The source types, in the order of their enumeration.
 SOURCE_TYPES = ("teams_transcript", "obsidian_note", "outlook_email", "outlook_calendar", "jira_issue", "apple_note")
+#: Labels of both ends, and the view, of each relation.
+ENDS = {"TAGGED_WITH": ("Document", "Topic", "tagged_with"), "RELATED_TO": ("Document", "Document", "related_to"), "ASSIGNED_TO": ("ActionItem", "Person", "assigned_to"),
+        "BLOCKS": ("ActionItem", "ActionItem", "blocks"), "ATTENDED": ("Person", "Meeting", "attended"), "MENTIONED_IN": ("Person", "Document", "mentioned_in")}
 SCHEDULE_AS_OF = "2001-07-25 00:00:00"
 MEETING_AS_OF = "2024-01-15 10:00:00"
 
@@ -35,16 +38,16 @@ class Views:
 
     @cached_property
     def chunk(self) -> DataFrame:
-        e = self.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 3").alias("document_id"), F.col("embedding").alias("vector"))
-        d = self.document.select(F.col("id").alias("document_id"), "title", "source_type", "created_at", F.substring("content", 1, 500).alias("text"))
-        return e.join(d, "document_id").withColumn("url", F.lit(None).cast("string"))
+        e = self.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 3").alias("document_id"), F.col("embedding").alias("vector"), F.expr("int(vec_id % 3)").alias("part"))
+        d = self.document.select(F.col("id").alias("document_id"), "title", "source_type", "created_at", "content")
+        # a document's three chunks are the thirds of its text
+        n = F.length("content")
+        cut = lambda k: F.floor(n * k / 3).cast("int")
+        text = F.substring(F.col("content"), cut(F.col("part")) + 1, cut(F.col("part") + 1) - cut(F.col("part")))
+        return e.join(d, "document_id").withColumns({"text": text, "url": F.lit(None).cast("string")}).drop("content", "part")
 
     @cached_property
     def query(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-
-    @cached_property
-    def every_query(self) -> DataFrame:
         """The whole query set of a search: every row whose id is divisible by 100."""
         return self.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
@@ -102,14 +105,16 @@ class Views:
     @cached_property
     def edges(self) -> DataFrame:
         """All relations: rel_type, from_label, from_id, to_label, to_id."""
-        parts = (("TAGGED_WITH", "Document", self.tagged_with, "Topic"), ("RELATED_TO", "Document", self.related_to, "Document"), ("ASSIGNED_TO", "ActionItem", self.assigned_to, "Person"),
-                 ("BLOCKS", "ActionItem", self.blocks, "ActionItem"), ("ATTENDED", "Person", self.attended, "Meeting"), ("MENTIONED_IN", "Person", self.mentioned_in, "Document"))
-        rows = [e.select(F.lit(r).alias("rel_type"), F.lit(a).alias("from_label"), "from_id", F.lit(b).alias("to_label"), "to_id") for r, a, e, b in parts]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
+        out = None
+        for r in ENDS:
+            out = self.relation(r) if out is None else out.unionByName(self.relation(r))
         return out
 
+    def relation(self, rel_type: str) -> DataFrame:
+        """The edges of one type, so that a query reads no others."""
+        a, b, name = ENDS[rel_type]
+        return getattr(self, name).select(F.lit(rel_type).alias("rel_type"), F.lit(a).alias("from_label"), "from_id", F.lit(b).alias("to_label"), "to_id")
+
     @cached_property
     def nodes(self) -> DataFrame:
         """All nodes: label, id, name."""
@@ -163,8 +168,8 @@ class Views:
 #: The same views for DuckDB; queries name those they use.
 SQL = {
     "kb_document": "SELECT doc_id AS id, substr(text, 1, 40) AS title, " + str(list(SOURCE_TYPES)) + "[doc_id % 6 + 1] AS source_type, source AS source_id, [lang, source] AS tags, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at, text AS content FROM documents",
-    "kb_chunk": "SELECT e.vec_id AS chunk_id, e.vec_id // 3 AS document_id, e.embedding AS vector, d.title, d.source_type, d.created_at, substr(d.content, 1, 500) AS text FROM embeddings e JOIN kb_document d ON d.id = e.vec_id // 3",
-    "kb_query": "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id < 5",
+    "kb_chunk": "SELECT e.vec_id AS chunk_id, e.vec_id // 3 AS document_id, e.embedding AS vector, d.title, d.source_type, d.created_at, substr(d.content, (length(d.content) * (e.vec_id % 3)) // 3 + 1, (length(d.content) * (e.vec_id % 3 + 1)) // 3 - (length(d.content) * (e.vec_id % 3)) // 3) AS text FROM embeddings e JOIN kb_document d ON d.id = e.vec_id // 3",
+    "kb_query": "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0",
     "tagged_with": "SELECT DISTINCT vec_id // 3 AS from_id, label::BIGINT AS to_id FROM embeddings",
     "kb_topic": "SELECT DISTINCT label::BIGINT AS id, 'topic-' || label AS name FROM embeddings",
     "related_to": "SELECT * FROM (SELECT doc_id AS from_id, doc_id + 1 AS to_id FROM documents WHERE doc_id % 4 < 2 UNION ALL SELECT doc_id, doc_id + 7 FROM documents WHERE doc_id % 5 = 0) WHERE to_id IN (SELECT doc_id FROM documents)",
@@ -185,8 +190,6 @@ SQL = {
     "facts_old": "SELECT id AS entity_id, unnest(['status', 'due_date', 'assignee_id', 'description']) AS field, unnest([status, strftime(due_date, '%Y-%m-%d'), assignee_id::VARCHAR, description]) AS value FROM kb_action_item",
     "facts_new": "SELECT id AS entity_id, id % 1000 AS source_doc_id, unnest(['status', 'due_date', 'assignee_id', 'description']) AS field, unnest(['done', strftime(due_date, '%Y-%m-%d'), (assignee_id + 1)::VARCHAR, 'changed']) AS value FROM kb_action_item WHERE id % 10 = 0",
 }
-#: The whole query set, in the place of kb_query.
-EVERY_QUERY = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0"
 #: What a view is made of, besides tables.
 _NEEDS = {"kb_chunk": ["kb_document"], "facts_old": ["kb_action_item"], "facts_new": ["kb_action_item"],
           "edges": ["tagged_with", "related_to", "assigned_to", "blocks", "attended", "mentioned_in"], "nodes": ["kb_person", "kb_topic", "kb_action_item", "kb_meeting", "kb_document"]}

@@ -19,7 +19,8 @@ NOTE = "id string, name string, body string, folder string, created string, modi
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """An array in each file, or, where the files' names end in .jsonl, an object a line, which Spark can split."""
+    return spark.read.schema(schema).option("multiLine", not path.rstrip("*/").endswith(".jsonl")).option("mode", "PERMISSIVE").json(path)
 
 
 def read_mail_export(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +28,7 @@ def read_mail_export(spark: SparkSession, path: str) -> DataFrame:
     to = lambda c: F.coalesce(F.transform(c, address), F.array().cast("array<string>"))
     at = F.try_to_timestamp("receivedDateTime")
     return m.where("id is not null").select(F.col("id").alias("mail_id"), F.col("conversationId").alias("conversation_id"), "subject", F.col("body.content").alias("body"), F.col("body.contentType").alias("content_type"), F.col("sender.emailAddress.address").alias("sender"),
-                                            F.concat(to("toRecipients"), to("ccRecipients")).alias("recipients"), at.alias("received"), F.col("parentFolderId").alias("folder_id"), F.col("`@removed`.reason").alias("removed"))
+                                            F.concat(to("toRecipients"), to("ccRecipients")).alias("recipients"), at.alias("received"), F.col("receivedDateTime").alias("received_text"), F.col("parentFolderId").alias("folder_id"), F.col("`@removed`.reason").alias("removed"))
 
 
 def read_calendar_export(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.chunking import chunk_documents, embed_chunks, hashing_embedder
 from ..operators.sync import latest
 from ..sources.readers import write_version
 
@@ -44,9 +46,71 @@ def debounce_batch(events: DataFrame, gap_seconds: int = 2) -> DataFrame:
     return events.groupBy("path", F.session_window("ts", f"{gap_seconds} seconds").alias("w")).agg(F.max_by("event", F.struct("ts", "event")).alias("event"), F.count(F.lit(1)).alias("n")).select("path", F.col("w.start").alias("start"), "event", "n")
 
 
-def stream_dedupe(stream: DataFrame, time: str, within: str) -> DataFrame:
-    """Ids seen within the watermark are skipped; insert_if_absent against the table catches older ones."""
-    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(["id"])
+def stream_dedupe(stream: DataFrame, time: str, within: str, table: DataFrame | None = None) -> DataFrame:
+    """Ids that came within the watermark are skipped, and those of table (id, a static frame), whenever they came."""
+    new = stream if table is None else stream.join(table.select("id").distinct(), "id", "left_anti")
+    return new.withWatermark(time, within).dropDuplicatesWithinWatermark(["id"])
+
+
+def ingest(documents: DataFrame, embed: Callable = hashing_embedder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks with vectors, document nodes, extraction queue rows) of documents: chunk, embed, then what the tables get.
+
+    chunk_id is `document:index`, so ingesting a document again gives the same keys. A failing embedder fails the job
+    before anything is written. Documents without text have a node and no chunks.
+    """
+    chunks = embed_chunks(chunk_documents(documents), embed)
+    d = documents.select(F.col("id").alias("document_id"), "title", "source_type", "source_id", "created_at")
+    key = F.concat_ws(":", F.col("document_id").cast("string"), F.col("idx").cast("string")).alias("chunk_id")
+    nodes = documents.select(F.lit("Document").alias("label"), "id", F.col("title").alias("name"), "source_type", "source_id", "created_at")
+    queue = documents.select(F.col("id").alias("document_id"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"))
+    return chunks.join(d, "document_id").select(key, "document_id", "text", "vector", "title", "source_type", "source_id", "created_at"), nodes, queue
+
+
+def stream_sources(stream: DataFrame, root: str, checkpoint: str, embed: Callable = hashing_embedder) -> StreamingQuery:
+    """Documents (id, ..., deleted, version) of a source as they come: deletes first, then inserts, then the checkpoint.
+
+    Each micro-batch keeps the last version of each id and writes, under its own number, the ids that leave the tables and
+    the chunks, nodes and queue rows that enter. Structured Streaming commits the batch after that, so a failed batch comes
+    again and overwrites itself: the cursor never runs ahead of the tables.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        last = latest(batch, ["id"], [F.col("version")])
+        at = lambda name: f"{root.rstrip('/')}/{name}/batch={batch_id}"
+        last.select("id").write.mode("overwrite").parquet(at("gone"))
+        for name, rows in zip(("chunks", "nodes", "queue"), ingest(last.where(~F.coalesce("deleted", F.lit(False))), embed), strict=True):
+            rows.write.mode("overwrite").parquet(at(name))
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def source_table(spark: SparkSession, root: str, name: str, key: str = "document_id") -> DataFrame:
+    """The current rows of one table of stream_sources: those that no later batch has deleted or replaced."""
+    rows, gone = spark.read.parquet(f"{root.rstrip('/')}/{name}"), spark.read.parquet(f"{root.rstrip('/')}/gone")
+    last = gone.groupBy(F.col("id").alias(key)).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
+def stream_meeting_scan(ticks: DataFrame, scan: Callable[[str], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
+    """At each tick (a stream with a column `at`) the notifications of scan(as_of) that the table has not yet.
+
+    scan builds them for a moment, as meeting_prep_notifications does; ids that were written before are skipped, so a tick
+    that comes again adds nothing. The table's rows are kept a batch a folder.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        at = batch.agg(F.max("at").cast("string").alias("at")).first()["at"]
+        if at is None:
+            return
+        new, spark = scan(at), batch.sparkSession
+        try:
+            old = spark.read.parquet(f"{table.rstrip('/')}/batch=*").where(F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("long") != batch_id)
+            new = new.join(old.select("id"), "id", "left_anti")
+        except AnalysisException:  # no batch has been written yet
+            pass
+        new.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={batch_id}")
+
+    return ticks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity_windows(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

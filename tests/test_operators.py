@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import uuid
 from datetime import datetime, timedelta
 
@@ -30,6 +31,74 @@ def test_note_syntax(spark):
     assert d.s.startswith("See b and") and "#" not in d.s
 
 
+def test_note_syntax_cases(spark):
+    def read(f, texts):
+        return [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(f(F.col("t"))).collect()]
+
+    none = lambda t: C.extract_tags(t, F.lit(None).cast("array<string>"))
+    assert read(none, ["#2026 #v1.2 #_x #café x#no (#no) #a #a", "`#a` ```\n#b\n``` ~~~\n#c\n~~~ #d", "`#a\n#b` #c", "", None]) == [["2026", "v1.2", "_x", "café", "a"], ["d"], ["c"], [], None]
+    assert read(C.extract_wikilinks, ["[[ A |b]] [[|x]] [[ ]] ![[no]] [[a[b]] [[c]]", "~~~ [[x]] ~~~ `[[y\n]]` [[z]]"]) == [["A", "c"], ["z"]]
+    assert read(C.extract_embeds, ["![[a|b]] `![[in code]]` ![[ c ]]"]) == [["a", "in code", " c "]]
+    assert read(C.strip_note_syntax, ["\t![[gone|x]] [[T|shown ]] [[T]] #v1.2 #café a#b\n"]) == ["shown T v1.2 café a#b"]
+
+
+def test_voices_of_cues(spark):
+    cue = lambda body: f"00:00:01.000 --> 00:00:02.000\n{body}\n\n"
+    text = "WEBVTT\n\n" + "".join(map(cue, ["<v Ann>Hi</v> <v Bob>Yo</v>", "well <v Bob>yes\nno</v>", "<v Cy>open", "<v Di> </v>"])) + "1:00:00.000 --> 1:00:01.000\nshort hour"
+    got = [(r.speaker, r.text) for r in normalise.parse_vtt_segments(spark.createDataFrame([("m", text)], "meeting_id string, text string")).orderBy("seq").collect()]
+    assert got == [("Ann", "Hi"), ("Bob", "yes\nno"), ("Unknown", "<v Cy>open")]
+
+
+def test_mail_rules(spark):
+    m = spark.createDataFrame([("f", "a@x.io", None), ("f", None, None), ("f", "plain", None), ("g", "b@y.io", "bad")], "folder_id string, sender string, received string")
+    assert [r.sender for r in normalise.filter_mail(m, sender_domains=["x.io"]).collect()] == ["a@x.io"]
+    t = spark.createDataFrame([("c", 1, datetime(2026, 1, 1), "2026-01-01T00:00:00Z", "a@x.io", None, "", "one"), ("d", 1, datetime(2026, 1, 1), None, None, ["b@y.io", " "], " RE: Re: x", None)], "conversation_id string, mail_id int, received timestamp, received_text string, sender string, recipients array<string>, subject string, body string")
+    got = {r.conversation_id: r for r in normalise.mail_threads(t).collect()}
+    assert got["c"].title == "Email: No Subject" and got["c"].content == "From: a@x.io\nDate: 2026-01-01T00:00:00Z\nSubject: \n\none"
+    assert got["d"].title == "Email: Re: x" and got["d"].participants == ["b@y.io"] and normalise.threads_to_documents(normalise.mail_threads(t), AS_OF).count() == 2
+    stored = spark.createDataFrame([("old",), ("c",)], "conversation_id string")
+    dead = t.select("conversation_id").withColumn("removed", F.lit("deleted"))
+    assert sorted(r[0] for r in sync.split_delta(dead, stored)[1].collect()) == ["c", "d", "old"]
+
+
+def test_notification_texts(spark):
+    meetings = spark.createDataFrame([(1, "Plan"), (2, ""), (3, None)], "id long, title string")
+    none = spark.createDataFrame([], "meeting_id long, part string, id long, rank int")
+    people = spark.createDataFrame([], "id long, name string")
+    got = {r.id: r for r in proactive.meeting_prep_notifications(meetings, none, people, spark.createDataFrame([("meeting_prep_3",)], "id string")).collect()}
+    assert {k: (r.title, r.summary, json.loads(r.data)) for k, r in got.items()} == {"meeting_prep_1": ("Upcoming: Plan", "Meeting starting soon", {"meeting_id": "1"}), "meeting_prep_2": ("Upcoming: Meeting", "Meeting starting soon", {"meeting_id": "2"})}
+    c = spark.createDataFrame([("x", 1, "status", "open", "done", 9), ("y", 5, "due_date", "a", "b", 8)], "id string, entity_id long, field_name string, old_value string, new_value string, source_doc_id long")
+    nodes = spark.createDataFrame([("ActionItem", 1, "n" * 41)], "label string, id long, name string")
+    docs = spark.createDataFrame([(9, "T", "jira_issue", "P-1")], "id long, title string, source_type string, source_id string")
+    got = {r.id: r for r in proactive.contradiction_notifications(c, nodes, docs, meetings.select(F.col("title").alias("id")).limit(0)).collect()}
+    assert got["contradiction_x"].title == f"'status' conflict on '{'n' * 37}...' (action item)" and got["contradiction_x"].summary == "Field 'status' changed from 'open' to 'done'"
+    assert json.loads(got["contradiction_x"].data) == {"contradiction_id": "x", "entity_id": 1, "field_name": "status", "source_type": "jira_issue", "source_id": "P-1", "source_title": "T"}
+    assert got["contradiction_y"].title == "Contradiction: 'due_date' on unknown entity"
+
+
+def test_nodes_and_edges_of_extractions(spark):
+    e = [("i1", t, f"n {t}", {"email": "e", "description": "d", "status": "done", "assignee_id": "p", "context": "c", "keywords": '["k"]', "duration_minutes": "30"}) for t in resolution.ENTITY_TYPES] + [("i2", "topic", "t", {"keywords": "k"}), ("i3", "action_item", "a", {})]
+    n = {(r.id, r.type): r for r in resolution.build_nodes(spark.createDataFrame(e, "entity_id string, type string, name string, properties map<string,string>"), AS_OF).collect()}
+    assert n["i1", "action_item"].description == "n action_item" and n["i1", "action_item"].assignee_id == "p" and n["i3", "action_item"].status == "open"
+    assert n["i1", "topic"].keywords == ["k"] and n["i2", "topic"].keywords == [] and n["i1", "decision"].summary == "n decision" and n["i1", "decision"].context == "c" and n["i1", "project"].description == "d" and n["i1", "person"].aliases == []
+    r = spark.createDataFrame([("d", 0, "A", "WORKS_ON", "P", 0.5, None), ("d", 1, "a", "WORKS_ON", "P", 0.9, None), ("x", 0, "A", "WORKS_ON", "P", 0.9, None)], "doc_id string, position int, source_entity string, relationship_type string, target_entity string, confidence double, context string")
+    ids = spark.createDataFrame([("d", "A", "1"), ("d", "P", "2")], "doc_id string, name string, id string")
+    schema = spark.createDataFrame([("WORKS_ON", "person", "project")], "rel_type string, from_label string, to_label string")
+    kinds = spark.createDataFrame([("1", "person"), ("2", "project")], "id string, type string")
+    assert [(x.from_id, x.to_id, x.confidence) for x in resolution.build_edges(r, ids, schema, kinds).collect()] == [("1", "2", 0.5)]
+    assert len({x.entity_id for x in resolution.assign_entity_ids(spark.createDataFrame([("t", "a"), ("t", "b"), ("t", "a")], "type string, canonical string")).collect()}) == 2
+
+
+def test_long_chains_resolve(spark, tmp_path):
+    def keep(df):
+        df.write.parquet(p := str(tmp_path / uuid.uuid4().hex))
+        return spark.read.parquet(p)
+
+    names = ["a" * i for i in range(6, 130)]  # each within one edit of the next: a chain longer than any bound on rounds
+    got = {r.name: r.canonical for r in resolution.resolve_new(spark, spark.createDataFrame([("t", x) for x in names], "type string, name string"), keep).collect()}
+    assert got == dict.fromkeys(names, names[0])
+
+
 def test_offset_timestamps(spark):
     got = [r[0] for r in spark.createDataFrame([("2026-01-01T10:00:00.000+0000",), ("2026-01-01T10:00:00+05:30",), ("2026-01-01T10:00:00Z",), ("bad",), (None,)], "t string").select(C.parse_offset_timestamp(F.col("t")).cast("string")).collect()]
     assert got == ["2026-01-01 10:00:00", "2026-01-01 04:30:00", "2026-01-01 10:00:00", None, None]
@@ -112,6 +181,24 @@ def test_fuzzy_join_is_exact(spark, limit):
     assert got == {(a, b): d for a in words for b in words if (d := distance(a, b)) <= limit}
 
 
+def test_fuzzy_join_of_names_with_a_shared_prefix(spark):
+    rng = random.Random(5)
+    names = sorted({f"customer#{rng.randrange(10**6):09d}" for _ in range(3000)} | {"customer#", "customer", "custmer#000000001", ""})
+    df = spark.createDataFrame([("t", w) for w in names] + [("u", names[5]), (None, "x"), ("t", None)], "type string, name string")
+    resolution.fuzzy_join(df.limit(5), df.limit(5), 2).count()
+    took = time.time()
+    got = {(r.a_name, r.b_name): r.distance for r in resolution.fuzzy_join(df, df, 2).where("type = 't'").collect()}
+    took = time.time() - took
+    buckets = {}
+    for w in names:  # within two edits means a common leftover
+        for i in range(len(w) + 1):
+            for j in range(i, len(w) + 1):
+                buckets.setdefault(w[:i] + w[i + 1 : j] + w[j + 1 :], set()).add(w)
+    near = {(a, b) for own in buckets.values() for a in own for b in own}
+    assert got == {(a, b): d for a, b in near if (d := distance(a, b)) <= 2}
+    assert took < 15, took
+
+
 def test_matching_and_resolution(spark):
     m = spark.createDataFrame([(1, "person", "Bob", "X@y.z"), (2, "person", " ANN ", None), (3, "person", "Anm", ""), (4, "topic", "Ann", None)], "mention_id long, type string, name string, email string")
     n = spark.createDataFrame([(10, "person", "ann", "a@y.z"), (11, "person", "Robert", "x@Y.z")], "id long, type string, name string, email string")
@@ -198,3 +285,49 @@ def test_writers(spark, tmp_path):
     d = spark.createDataFrame([(1, "jira_issue")], "id long, source_type string")
     a, b = readers.write_documents(d, str(tmp_path)), readers.write_chunks(d, str(tmp_path))
     assert a != b and spark.read.parquet(a).count() == 1
+
+
+def test_sources_stream(spark, tmp_path):
+    schema = "id long, title string, source_type string, source_id string, created_at timestamp, content string, version long, deleted boolean"
+    now, root = datetime(2026, 1, 1), str(tmp_path / "kb")
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, "t", "jira_issue", "s", now, text, v, gone) for i, text, v, gone in rows], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_sources(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), root, str(tmp_path / "c")).awaitTermination(90)
+
+    arrive((1, "one two", 1, False), (2, "x", 1, False), (3, None, 1, False), (2, "newer", 2, False))
+    assert {r.document_id: r.text for r in jobs.source_table(spark, root, "chunks").collect()} == {1: "one two", 2: "newer"}
+    arrive((1, "changed", 2, False), (2, None, 3, True))
+    assert {(r.chunk_id, r.text) for r in jobs.source_table(spark, root, "chunks").collect()} == {("1:0", "changed")}
+    assert {r.id for r in jobs.source_table(spark, root, "nodes", "id").collect()} == {1, 3} and jobs.source_table(spark, root, "queue").count() == 2
+    failing = lambda t: 1 / 0
+    with pytest.raises(Exception, match="division"):
+        jobs.ingest(spark.createDataFrame([(1, "t", "j", "s", now, "x")], "id long, title string, source_type string, source_id string, created_at timestamp, content string"), failing)[0].collect()
+
+
+def test_meeting_scan_stream(spark, tmp_path):
+    table = str(tmp_path / "n")
+
+    def scan(at):
+        return spark.createDataFrame([("meeting_prep_1",), (f"meeting_prep_{at[14:16]}",)], "id string")
+
+    for minute in (10, 20):
+        spark.createDataFrame([(datetime(2026, 1, 1, 9, minute),)], "at timestamp").write.mode("append").parquet(str(tmp_path / "ticks"))
+        jobs.stream_meeting_scan(spark.readStream.schema("at timestamp").parquet(str(tmp_path / "ticks")), scan, table, str(tmp_path / "c")).awaitTermination(60)
+    assert sorted(r.id for r in spark.read.parquet(f"{table}/batch=*").collect()) == ["meeting_prep_1", "meeting_prep_10", "meeting_prep_20"]
+
+
+def test_dedupe_stream_knows_the_table(spark, tmp_path):
+    spark.createDataFrame([(i % 4, datetime(2026, 1, 1)) for i in range(9)], "id long, at timestamp").write.parquet(str(tmp_path / "in"))
+    s = jobs.stream_dedupe(spark.readStream.schema("id long, at timestamp").parquet(str(tmp_path / "in")), "at", "1 hour", spark.createDataFrame([(2,), (2,)], "id long"))
+    s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 3]
+
+
+def test_null_vectors_score_zero(spark):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [])], "chunk_id long, vector array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, vector array<float>")
+    want = [(1, 1, 1.0, 1), (1, 2, 0.0, 2), (1, 3, 0.0, 3), (2, 1, 0.0, 1), (2, 2, 0.0, 2), (2, 3, 0.0, 3)]
+    for f in (search.cosine_topk, search.cosine_topk_blocks):
+        assert sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in f(c, q, 3).collect()) == want
+    assert sorted((r.query_id, r.chunk_id) for r in search.cosine_topk_blocks(c, q, 3, chunk_block=1).collect()) == [(a, b) for a in (1, 2) for b in (1, 2, 3)]
