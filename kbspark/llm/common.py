@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -67,6 +68,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library; workers live on between tasks
+    if trim:
+        trim(0)
 
 
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
