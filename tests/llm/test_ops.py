@@ -697,3 +697,53 @@ def test_pipeline(spark, tmp_path, docs, labels):
         assert k == 4 or again.columns == now.columns
         now = again
     assert now.count() > 0 and now.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, library, personal):
+    """run() against the same chain, stage by stage, by brute force, SQL and the tokenizers library."""
+    rng = random.Random(41)
+    texts = [t for _, t in personal[:60]] + [" ".join(w + rng.choice(["&&&", "$$$"]) for w in prose(rng, 80).split()) for _ in range(40)]
+    texts += [t + " one more" for t in texts[:10]] + [texts[3], texts[4].upper(), None, "", prose(rng, 4000)]
+    data = [(i, t, "en", rng.choice(["a", "b", "b", None]), len(t or "")) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    marks = spark.createDataFrame([(i, int(i < 60)) for i in range(100)], "doc_id long, quality int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    good = {r.doc_id for r in classifier.query(spark.createDataFrame(data, schema), marks).collect() if r.predicted}
+    assert len(good & set(range(60))) >= 57 and len(good & set(range(60, 100))) <= 2
+    now = [r for r in data if r[0] in good]
+    groups = similar_by_brute_force([r[:2] for r in now])
+    now = [r for r in now if groups[r[0]] == r[0]]
+    assert len(now) < len(good) and {r[0] for r in now} == set(groups.values())
+    field = pii.fit(spark.createDataFrame(now, schema))
+    now = [(i, m := None if t is None else pii.masked(t, pii.find(t, field)[1]), lang, source, None if m is None else len(m)) for i, t, lang, source, _ in now]
+    assert any("[EMAIL]" in (r[1] or "") for r in now)
+    spark.createDataFrame(now, schema).write.parquet(str(tmp_path / "masked"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/masked/*.parquet'")
+    text, want = {r[0]: r[1] for r in now}, []
+    for i, copies in c.sql(f"select doc_id, CASE WHEN size = 0 THEN 0 ELSE taken // size END from ({mixing.SQL})").fetchall():
+        ids = ids_of(text[i], library)
+        want += copies * [(i, k, at, n, crc(ids[at : at + n])) for k, (at, n) in enumerate(packing.cut(len(ids), 2048))]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    same([r[:5] for r in got if text[r.doc_id]], want)
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for held in places.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and sum(held[-1]) <= 2048
+    lengths = collections.Counter(r.length for r in got)
+    assert len(places) <= packing.n_sequences(packing.best_fit({n: k for n, k in lengths.items() if n < 2048}, {}, 2048)) + lengths[2048]
+
+
+def test_pipeline_stages_on_empty_and_null(spark, tmp_path, none, labels):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    nulls = spark.createDataFrame([(None,) * 5] * 3 + [(1, None, None, "s", None), (1, "x", "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (none.select(columns), nulls):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() >= 0 and (name == "pack_sequences" or out.columns == columns)
+            assert docs is nulls or out.count() == 0
+    assert corpus_pipeline.STAGES[1][1](spark, nulls, str(tmp_path)).count() == 2
