@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import graph, normalise, resolution, sync
 from ..streaming import jobs
-from .queries import _CHUNKS, joined, register
+from .queries import _CHUNKS, joined, register, uuid_sql
 from .views import MEETING_AS_OF, Views
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -120,7 +120,7 @@ register("link_edges", lambda v: graph.link_edges(v.document.select("id", F.conc
          "WITH t AS (SELECT doc_id % 500 AS k, min(doc_id) AS to_id FROM documents GROUP BY 1) SELECT doc_id AS from_id, to_id FROM documents JOIN t ON k = (doc_id * 7) % 500 WHERE doc_id <> to_id")
 register("parse_offset_timestamp", lambda v: v.table("events").select("event_id", F.unix_seconds(C.parse_offset_timestamp(F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "+0530").otherwise("-02:00")))).alias("at")), None,
          "SELECT event_id, epoch_us(ts) // 1000000 - CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 19800 ELSE -7200 END AS at FROM events")
-register("document_id", lambda v: v.document.select("id", C.document_id("apple_note", F.col("id").cast("string")).alias("uuid")))
+register("document_id", lambda v: v.document.select("id", C.document_id("apple_note", F.col("id").cast("string")).alias("uuid")), "kb_document", f"SELECT id, {uuid_sql('apple_note', 'id::VARCHAR')} AS uuid FROM kb_document")
 
 # --- extraction -----------------------------------------------------------------------------------------------------
 

@@ -36,6 +36,13 @@ def joined(column: str) -> F.Column:
     return F.array_join(column, "|").alias(column)
 
 
+def uuid_sql(prefix: str, key: str) -> str:
+    """SQL twin of document_id."""
+    h = f"sha1(unhex('{C.OID}') || encode('{prefix}:' || {key}))"
+    at = lambda a, n: f"substr({h}, {a}, {n})"
+    return f"{at(1, 8)} || '-' || {at(9, 4)} || '-5' || {at(14, 3)} || '-' || substr('89ab', (instr('0123456789abcdef', {at(17, 1)}) - 1) % 4 + 1, 1) || {at(18, 3)} || '-' || {at(21, 12)}"
+
+
 T, M = f"TIMESTAMP '{SCHEDULE_AS_OF}'", f"TIMESTAMP '{MEETING_AS_OF}'"
 
 # --- search -------------------------------------------------------------------------------------------------------
@@ -249,9 +256,19 @@ register("mail_threads", lambda v: normalise.mail_threads(v.mail.withColumns({"r
 register("notes_from_relational", lambda v: normalise.notes_from_relational(
     v.document.select(F.col("id").alias("pk"), "title", (F.col("id") % 20).alias("folder_pk"), (F.col("id") * 3600).alias("created"), (F.col("id") * 7200).alias("modified"), (F.col("id") % 9 == 0).alias("deleted")), v.document.select(F.col("id").alias("note_pk"), F.col("content").alias("body"))).select("id", "folder", F.md5("body").alias("body"), F.unix_seconds("created").alias("created")), "kb_document",
     "SELECT d.id, coalesce(nullif(trim(f.title, ' '), ''), 'Notes') AS folder, md5(d.content) AS body, d.id * 3600 + 978307200 AS created FROM kb_document d LEFT JOIN kb_document f ON f.id = d.id % 20 WHERE d.id % 9 <> 0")
-register("html_to_text", lambda v: v.table("pages").select("page_id", F.sha2(normalise.html_to_text(F.col("html")), 256).alias("digest"), F.length(normalise.html_to_text(F.col("html"))).alias("n_chars")))
-register("html_notes_to_documents", lambda v: normalise.html_notes_to_documents(v.table("pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"), F.col("html").alias("body"), F.lit("Web").alias("folder"), F.lit("2024-01-01T00:00:00Z").alias("created"), F.lit("2024-01-02T00:00:00Z").alias("modified")), MEETING_AS_OF).select("id", "title", "source_id", F.length("content").alias("n_chars")))
-
+#: page_text: the pages' texts, plain and as Markdown, by patterns that hold for the driver's markup.
+_PAGES = r"""WITH raw AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '<!.*?>', '', 'gs'), '<(script|style)\b.*?</(script|style)>', '', 'gis') AS html FROM pages),
+headed AS (SELECT *, list_reduce([html, '1', '2', '3', '4', '5', '6'], lambda t, n: regexp_replace(t, '<(h' || n || ')\b([^>]*)>', '<\1\2>' || repeat('#', n::INT) || ' ', 'gi')) AS h FROM raw),
+bold AS (SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(h, '<li\b[^>]*>', '<li>- ', 'gi'), '</?(b|strong)\b[^>]*>', '**', 'gi'), '</?(i|em)\b[^>]*>', '_', 'gi') AS m FROM headed),
+forms AS (SELECT page_id, url, unnest([html, regexp_replace(m, '<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', '[\2](\1)', 'gis')]) AS t, unnest([false, true]) AS markdown FROM bold),
+bare AS (SELECT page_id, url, markdown, regexp_replace(regexp_replace(t, '</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS t FROM forms),
+told AS (SELECT page_id, url, markdown, string_split(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), chr(10)) AS lines FROM bare),
+page_text AS (SELECT page_id, url, markdown, array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM told)
+"""
+register("html_to_text", lambda v: v.table("pages").select("page_id", normalise.html_to_text(F.col("html")).alias("t")).select("page_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("n_chars")), None,
+         _PAGES + "SELECT page_id, sha256(t) AS digest, length(t) AS n_chars FROM page_text WHERE NOT markdown")
+register("html_notes_to_documents", lambda v: normalise.html_notes_to_documents(v.table("pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"), F.col("html").alias("body"), F.lit("Web").alias("folder"), F.lit("2024-01-01T00:00:00Z").alias("created"), F.lit("2024-01-02T00:00:00Z").alias("modified")), MEETING_AS_OF).select("id", "title", "source_id", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("digest")), None,
+         _PAGES + f", note AS (SELECT page_id::VARCHAR AS source_id, coalesce(nullif(trim(url), ''), 'Untitled Note') AS title, t FROM page_text WHERE markdown) SELECT {uuid_sql('apple_note', 'source_id')} AS id, title, source_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT *, coalesce(nullif(t, ''), title) AS c FROM note)")
 # --- chunks -------------------------------------------------------------------------------------------------------
 
 _CHUNKS = """+ w AS (SELECT id AS document_id, content, list_filter(regexp_split_to_array(content, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS words FROM kb_document),
@@ -260,8 +277,20 @@ ch AS (SELECT document_id, idx, CASE WHEN len(words) <= 512 THEN content ELSE ar
 """
 register("chunk_documents", lambda v: chunking.chunk_documents(v.document).select("document_id", "idx", F.md5("text").alias("digest")), "kb_document", _CHUNKS + "SELECT document_id, idx, md5(text) AS digest FROM ch")
 register("chunk_table", lambda v: chunking.chunk_table(v.document, chunking.chunk_documents(v.document)).select("chunk_id", "document_id", "source_type", "status"), "kb_document", _CHUNKS + "SELECT document_id || ':' || idx AS chunk_id, document_id, source_type, 'indexed' AS status FROM ch JOIN kb_document ON id = document_id")
-register("chunk_sentences", lambda v: chunking.chunk_sentences(v.document).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars")))
-register("embed_chunks", lambda v: chunking.embed_chunks(chunking.chunk_documents(v.document)).select("document_id", "idx", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm2")))
+register("chunk_sentences", lambda v: chunking.chunk_sentences(v.document).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars")), "kb_document", r"""+ parts AS (SELECT id AS document_id, list_transform(list_filter(string_split(regexp_replace(trim(regexp_replace(content, '[\s\v]', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: {'text': x, 'words': list_filter(string_split(x, ' '), lambda w: w <> '')}) AS parts FROM kb_document),
+pieces AS (SELECT document_id, flatten(list_transform(parts, lambda p: CASE WHEN len(p.words) <= 512 THEN [{'n': len(p.words), 'chars': length(p.text)}] ELSE list_transform(range(0, len(p.words), 512), lambda i: {'n': len(p.words[i + 1 : i + 512]), 'chars': length(array_to_string(p.words[i + 1 : i + 512], ' '))}) END)) AS p FROM parts),
+sums AS (SELECT document_id, p, len(p) AS n, list_transform(range(0, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1 : i], lambda x: x.n)), 0)::BIGINT) AS upto FROM pieces WHERE len(p) > 0),
+-- first piece of the open chunk last; before it, first and last piece of each whole one
+cuts AS (SELECT document_id, p, list_reduce([[1::BIGINT]] || list_transform(range(1, n + 1), lambda i: [i]), lambda s, x: CASE WHEN x[1] = s[-1] OR upto[x[1] + 1] - upto[s[-1]] <= 512 THEN s
+  ELSE s || [x[1] - 1, list_filter(range(s[-1], x[1] + 1), lambda k: upto[x[1]] - upto[k] <= 50 AND upto[x[1] + 1] - upto[k] <= 512)[1]] END) || [n] AS c FROM sums),
+spans AS (SELECT document_id, p, c, unnest(range(0, len(c), 2)) AS i FROM cuts)
+SELECT document_id, count(*) AS n, sum((list_sum(list_transform(p[c[i + 1] : c[i + 2]], lambda x: x.chars)) + c[i + 2] - c[i + 1]))::BIGINT AS n_chars FROM spans GROUP BY 1""")
+register("embed_chunks", lambda v: chunking.embed_chunks(chunking.chunk_documents(v.document)).select("document_id", "idx", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm2")), "kb_document", _CHUNKS + """, tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+said AS (SELECT document_id, idx, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS word FROM ch),
+spelt AS (SELECT word, list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::UBIGINT) AS bytes FROM (SELECT DISTINCT word FROM said)),
+hashed AS (SELECT word, xor(list_reduce([4294967295::UBIGINT] || bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS h FROM spelt, tab),
+cells AS (SELECT document_id, idx, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM said JOIN hashed USING (word) GROUP BY document_id, idx, h % 64)
+SELECT document_id, idx, round(sum(x * x)::DOUBLE, 3) AS norm2 FROM cells GROUP BY document_id, idx""")
 
 # --- resolution ---------------------------------------------------------------------------------------------------
 
@@ -288,7 +317,11 @@ register("sessions", lambda v: conversations.sessions(v.message), "kb_message",
 register("recent_messages", lambda v: conversations.recent_messages(v.message, 3).select("session_id", "timestamp", "role", F.col("position").cast("long").alias("position")), "kb_message", "SELECT session_id, timestamp, role, max(b) OVER (PARTITION BY session_id) - b AS position FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, role) AS b FROM kb_message) WHERE b <= 3")
 register("route_commands", lambda v: conversations.route_commands(v.message.withColumn("q", F.concat(F.when(F.col("timestamp") == 0, "/search ").when(F.col("timestamp") == 1, "/graph ").otherwise(""), F.col("content"))), F.col("q")).select("session_id", "timestamp", "route", F.md5("argument").alias("argument")), "kb_message", "SELECT session_id, timestamp, CASE timestamp WHEN 0 THEN 'search' WHEN 1 THEN 'graph' ELSE 'chat' END AS route, md5(content) AS argument FROM kb_message")
 register("delete_sessions", lambda v: conversations.delete_sessions(conversations.sessions(v.message), v.message, v.message.where("session_id % 5 = 0").select("session_id").distinct())[1].select("session_id", "timestamp"), "kb_message", "SELECT session_id, timestamp FROM kb_message WHERE session_id % 5 <> 0")
-register("build_prompts", lambda v: conversations.build_prompts(v.query.select("query_id", F.col("query_id").alias("session_id"), F.lit("What is new?").alias("question")), found(v), conversations.recent_messages(v.message), "Answer from the sources.").select("query_id", F.length("prompt").alias("n_chars")))
+register("build_prompts", lambda v: conversations.build_prompts(v.query.select("query_id", F.col("query_id").alias("session_id"), F.lit("What is new?").alias("question")), found(v), conversations.recent_messages(v.message), "Answer from the sources.").select("query_id", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("digest")),
+         _SEARCH + " kb_message", with_result(""", told AS (SELECT query_id, string_agg('[' || position || '] ' || coalesce(title, 'null') || chr(10) || coalesce(substr(text, 1, 200), 'null'), chr(10) || chr(10) ORDER BY position) AS told FROM result WHERE position <= 5 GROUP BY 1),
+past AS (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY b DESC) AS past FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, role) AS b FROM kb_message) WHERE b <= 10 GROUP BY 1),
+prompt AS (SELECT q.query_id, concat_ws(chr(10) || chr(10), 'Answer from the sources.', told, past, 'What is new?') AS p FROM kb_query q LEFT JOIN told USING (query_id) LEFT JOIN past ON session_id = q.query_id)
+SELECT query_id, length(p) AS n_chars, md5(p) AS digest FROM prompt"""))
 register("extraction_queue_status", lambda v: conversations.extraction_queue_status(v.table("events").select((F.col("event_id") % 1000).alias("id"), F.element_at(F.array(*map(F.lit, ("pending", "processing", "done"))), (F.col("user_id") % 3 + 1).cast("int")).alias("status"), F.col("ts").alias("at"))), None,
          "WITH l AS (SELECT event_id % 1000 AS id, ['pending', 'processing', 'done'][user_id % 3 + 1] AS status, ts FROM events), s AS (SELECT id, last(status ORDER BY ts, status) AS status FROM l GROUP BY 1) SELECT e.status, count(s.id) AS n FROM (SELECT unnest(['pending', 'processing', 'done', 'failed']) AS status) e LEFT JOIN s USING (status) GROUP BY 1")
 register("extraction_backlog", lambda v: conversations.extraction_backlog(v.document.select(F.col("id").alias("document_id"), F.col("created_at").alias("enqueued_at")), v.table("events").select((F.col("user_id") % 2000).alias("document_id"), F.when(F.col("event_id") % 50 == 0, "done").otherwise("failed").alias("status"))).drop("enqueued_at"), "kb_document",
