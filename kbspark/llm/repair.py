@@ -302,7 +302,9 @@ def edits(examined: DataFrame) -> DataFrame:
     """conv_id, place, before (roles of the turns to insert before that row; place n + 1 is after all), role (the row's new
     one, '' to keep it, null to delete it); place 0: audit, cost and illegal of the conversation."""
     light = examined.select("conv_id", "place", "gone", F.substring("role", 1, 1).alias("initial"), "fault")
-    ordered = light.repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    # a row is a few bytes but not a little work, so the number of partitions is held
+    tasks = int(examined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = light.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "place")
     return ordered.mapInArrow(_edit, "conv_id long, place int, before array<string>, role string, audit string, cost long, illegal long")
 
 

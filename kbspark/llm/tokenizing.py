@@ -51,8 +51,17 @@ def starts_of(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary file stands for: visible Latin-1 characters for themselves,
+    characters from 256 on for the other bytes in ascending order."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    def __init__(self, path: str, slots: int = SLOTS, pool: int = POOL):
+    def __init__(self, path: str, slots: int = SLOTS, pool: int = POOL, plain: bool = False):
+        """plain: the strings of special tokens are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -60,7 +69,8 @@ class Encoder:
         split = spec.get("pre_tokenizer") or {}
         plain = not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
         self.cuts = plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.added = [] if plain else [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.library.encode_special_tokens = plain
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
         # the files of byte-level tokenizers write each byte as one character
         self.size = np.zeros(self.n_ids, np.int64)
@@ -69,6 +79,16 @@ class Encoder:
         self.slots, self.most = slots, pool
         self.clear()
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        byte_of, out = byte_characters(), [b""] * self.n_ids
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            out[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        return out
+
+    def starts_of(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return starts_of(raw, ends)
+
     def clear(self) -> None:
         self.lo, self.hi = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
         self.at, self.count = np.zeros(self.slots, np.int64), np.full(self.slots, -1, np.int32)
@@ -145,7 +165,7 @@ class Encoder:
         ends = ends - ends[0]
         text = raw[: -2 * SHORT]
         whole = set(range(len(column))) if not self.cuts else self._with_added(text, ends)
-        starts = starts_of(text, ends) if self.cuts else np.zeros(0, np.int64)
+        starts = self.starts_of(text, ends) if self.cuts else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(text)))
         if whole and len(starts):
             own = ~np.isin(np.searchsorted(ends, starts, "right") - 1, list(whole))
@@ -189,3 +209,58 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
     return Encoder(path)
+
+
+class PieceEncoder(Encoder):
+    """Ids of texts that begin with a space, which stands for the one that a sentencepiece BPE model puts before a text.
+
+    No piece has a space after anything but spaces (checked), so each run of spaces and what follows it is a chunk.
+    """
+
+    def __init__(self, path: str, slots: int = SLOTS, pool: int = POOL):
+        from sentencepiece import SentencePieceProcessor
+
+        self.library, self.cuts, self.added = SentencePieceProcessor(model_file=path), True, []
+        self.n_ids = self.library.get_piece_size()
+        self.pieces = [self.library.id_to_piece(i) for i in range(self.n_ids)]
+        self.space = self.library.piece_to_id("\u2581")
+        if any("\u2581" in p.lstrip("\u2581") for p in self.pieces):
+            raise ValueError("a piece goes on after a space")
+        self.size = np.array([len(b) for b in self.token_bytes()], np.int64)
+        self.slots, self.most = slots, pool
+        self.clear()
+
+    def token_bytes(self) -> list[bytes]:
+        return [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(self.pieces)]
+
+    def starts_of(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        space = raw == 0x20
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        cut[ends[:-1][np.diff(ends) > 0]] = True
+        return np.flatnonzero(cut)
+
+    def _library(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library.encode([x[1:].decode() for x in chunks], num_threads=1)
+        # the model puts no space before an empty text
+        found = [own if x != b" " else [self.space] for x, own in zip(chunks, found, strict=True)]
+        count = np.fromiter(map(len, found), np.int32, len(found))
+        total = int(count.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + total] = [i for x in found for i in x]
+        at = self.used + np.cumsum(count, dtype=np.int64) - count
+        self.used += total
+        return at, count
+
+
+def n_pieces(path: str) -> int:
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path).get_piece_size()
+
+
+@lru_cache(maxsize=2)
+def pair_of_encoders(byte_path: str, piece_path: str) -> tuple[Encoder, PieceEncoder]:
+    """One pair for each worker process; both take texts with a space before them, special strings as text."""
+    return Encoder(byte_path, plain=True), PieceEncoder(piece_path)
