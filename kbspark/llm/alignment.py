@@ -254,6 +254,8 @@ def aligned(sides: Sides, texts: pa.Array) -> tuple[dict[str, np.ndarray | list[
 
 def runs(pairs: np.ndarray, document: np.ndarray, n_docs: int, n_b: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(part, run of pairs and document counts, run of documents and links) of a batch's links."""
+    if not len(pairs):
+        return
     keys, times = np.unique(pairs * n_docs + document, return_counts=True)
     pairs, document = keys // n_docs, keys % n_docs
     bucket = pairs // n_b % RADIX

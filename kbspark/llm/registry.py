@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, classifier, licenses, media, mixing, packing, pii, quality, repair, simhash, tokens
+from . import alignment, chat, classifier, licenses, media, mixing, ngram_join, packing, pii, quality, repair, simhash, tokens
 from .common import table
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack_sequences": lambda s, d: packing.query(docs(s, d), tokenizer_path()),
         "op9_token_files": lambda s, d: tokens.query(docs(s, d), tokenizer_path()),
         "op10_personal_data": lambda s, d: pii.query(docs(s, d)),
+        "op11_ngram_join": lambda s, d: ngram_join.query(docs(s, d)),
         "op12_align_tokenizers": lambda s, d: alignment.query(docs(s, d), tokenizer_path(), tokenizer_path(PIECES)),
         "op13_repair_turns": lambda s, d: repair.query(table(s, d, "conversations")),
     }
