@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kbspark.llm import chat, classifier, components, licenses, media, mixing, packing, pii, quality, simhash, similar, tokenizing, tokens, words
+from kbspark.llm import chat, classifier, components, licenses, media, mixing, ngram_join, packing, pii, quality, simhash, similar, tokenizing, tokens, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -355,21 +355,27 @@ def test_op6_one_crowd(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root.tolist()))
 
 
-def test_op6_block_joins_groups():
-    rng = random.Random(13)
-    texts = list(dict.fromkeys(crowd_of(rng, 120)))
-    sets = [similar.shingles(t.encode()) for t in texts]
-    root, _ = alike_by_brute_force(texts)
-    every = np.arange(len(sets))
-    for references in (1, 8):
-        links = similar.joined(every, every, every, sets, references)
-        top = list(range(len(sets)))
-        for u, v in links:
-            assert similar.alike(len(np.intersect1d(sets[u], sets[v])), len(sets[u]) + len(sets[v]))
-            lo, hi = sorted((top[u], top[v]))
-            top = [lo if x == hi else x for x in top]
-        assert len(links) < len(sets) and top == root.tolist()
-    assert similar.joined(every, every, root, sets) == []
+@pytest.mark.parametrize("changed", [3, 9])
+def test_op6_work_is_linear_in_a_crowd(spark, monkeypatch, changed):
+    rng, made = random.Random(14), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    inner = similar.materialise
+    for n in (200, 400):
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for at in rng.sample(range(160), changed):
+                w[at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+        rows = []
+        counting = lambda df, label, rows=rows: [t := inner(df, label), rows.append(t.count())][0]
+        for module in (similar, ngram_join):
+            monkeypatch.setattr(module, "materialise", counting)
+        got = similar.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(alike_by_brute_force(texts)[0].tolist()))
+        made.append(sum(rows))
+    # few keys of a small crowd are met; with all of them met each text meets a hub a key at most
+    assert made[1] < 2.6 * made[0] and made[1] < 4 * similar.BANDS * 400
 
 
 @pytest.mark.parametrize("crowd", [64, 3])
