@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 
 #: Relation types, and labels in the order in which a shared id is looked up.
 RELATIONS = ("ATTENDED", "MENTIONED_IN", "ASSIGNED_TO", "RELATED_TO", "DECIDED_IN", "WORKS_ON", "TAGGED_WITH", "FOLLOWED_UP_BY", "OWNS", "BLOCKS")
@@ -46,13 +47,46 @@ def entity_labels(nodes: DataFrame) -> DataFrame:
     return n.groupBy("id").agg(F.min(F.struct("_o", "label", "name")).alias("b")).select("id", "b.label", "b.name")
 
 
+def _examined(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each distinct pair (label, source, target) and its outcome."""
+    known = nodes.select("label", "id").distinct()
+    p = pairs.select("label", "source", "target").distinct()
+    for end in ("source", "target"):
+        p = p.join(known.select("label", F.col("id").alias(end), F.lit(True).alias(f"_{end}")), ["label", end], "left")
+    outcome = F.when(F.col("_source").isNull(), "source_not_found").when(F.col("_target").isNull(), "target_not_found").when(F.col("source") == F.col("target"), "self").otherwise("merged")
+    return p.select("label", "source", "target", outcome.alias("outcome"))
+
+
+def _ends(examined: DataFrame) -> DataFrame:
+    """label, id, root: the node that each node of a merged pair ends in."""
+    node = lambda c: F.struct("label", F.col(c).alias("id"))
+    joined = examined.where("outcome = 'merged'").select(node("source").alias("node"), node("target").alias("other"))
+    grouped = components(joined)
+    sources = joined.select("node").distinct().withColumn("_source", F.lit(1))
+    last = grouped.join(sources, "node", "left").groupBy("root").agg(F.coalesce(F.min(F.when(F.col("_source").isNull(), F.col("node"))), F.min("node")).alias("end"))
+    return grouped.join(last, "root").select("node.label", "node.id", F.col("end.id").alias("root"))
+
+
+def merge_outcomes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (label, source, target) -> each distinct pair with outcome, and root, the node that its source ends in.
+
+    Nodes that pairs join, directly or through others, become one: the least of those that are merged into nothing, or, in
+    a ring, the least of all. outcome: merged; self for a pair of a node with itself; source_not_found or target_not_found
+    for a pair with a node that is not there (or null), which joins nothing.
+    """
+    p = _examined(nodes, pairs)
+    ends = _ends(p).select("label", F.col("id").alias("source"), "root")
+    return p.join(ends, ["label", "source"], "left").select("label", "source", "target", F.when(F.col("outcome") == "merged", F.col("root")).alias("root"), "outcome")
+
+
 def merge_entities(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """pairs (label, source, target): edges move from source to target, sources go. Chains must be resolved before."""
-    known = pairs.join(nodes.select("label", F.col("id").alias("source")), ["label", "source"], "left_semi").join(nodes.select("label", F.col("id").alias("target")), ["label", "target"], "left_semi")
-    e = edges.join(known.select(F.col("label").alias("from_label"), F.col("source").alias("from_id"), F.col("target").alias("_f")), ["from_label", "from_id"], "left")
-    e = e.join(known.select(F.col("label").alias("to_label"), F.col("source").alias("to_id"), F.col("target").alias("_t")), ["to_label", "to_id"], "left")
-    e = e.select("rel_type", "from_label", F.coalesce("_f", "from_id").alias("from_id"), "to_label", F.coalesce("_t", "to_id").alias("to_id")).distinct()
-    return nodes.join(known.select("label", F.col("source").alias("id")), ["label", "id"], "left_anti"), e
+    """Nodes and edges after pairs (label, source, target): edges of merged nodes move to the node that these end in (see
+    merge_outcomes), equal edges become one, and merged nodes go."""
+    moved = _ends(_examined(nodes, pairs)).where("id <> root")
+    for end in ("from", "to"):
+        new = moved.select(F.col("label").alias(f"{end}_label"), F.col("id").alias(f"{end}_id"), F.col("root").alias("_root"))
+        edges = edges.join(new, [f"{end}_label", f"{end}_id"], "left").withColumn(f"{end}_id", F.coalesce("_root", f"{end}_id")).drop("_root")
+    return nodes.join(moved, ["label", "id"], "left_anti").select(nodes.columns), edges.select(EDGE).distinct()
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -108,12 +108,35 @@ register("entity_labels", lambda v: graph.entity_labels(v.nodes), "nodes", "SELE
 
 
 def merge_pairs(v: Views) -> DataFrame:
-    return v.person.where("id % 50 = 0").select(F.lit("Person").alias("label"), F.col("id").alias("source"), (F.col("id") - 1).alias("target"))
-
-
-register("merge_entities", lambda v: graph.merge_entities(v.nodes, v.edges, merge_pairs(v))[1], "edges kb_person",
-         "+ p AS (SELECT a.id AS source, a.id - 1 AS target FROM kb_person a JOIN kb_person b ON b.id = a.id - 1 WHERE a.id % 50 = 0) SELECT DISTINCT rel_type, from_label, coalesce(f.target, from_id) AS from_id, to_label, coalesce(t.target, to_id) AS to_id FROM edges LEFT JOIN p f ON from_label = 'Person' AND f.source = from_id LEFT JOIN p t ON to_label = 'Person' AND t.source = to_id")
-register("merged_nodes", lambda v: graph.merge_entities(v.nodes, v.edges, merge_pairs(v))[0], "nodes kb_person", "SELECT * FROM nodes WHERE NOT (label = 'Person' AND id % 50 = 0 AND id - 1 IN (SELECT id FROM kb_person))")
+    """Of each fifty persons: a chain of two, two targets of one source, a ring, a pair with itself, and two that name nobody."""
+    made = [(0, 0, -1), (49, 0, -1), (10, 0, 1), (10, 0, 2), (20, 0, 1), (21, 0, -1), (30, 0, 0), (40, 1_000_000_000, 0), (41, 0, 1_000_000_000)]
+    rest = F.col("id") % 50
+    pairs = F.array_compact(F.array(*[F.when(rest == r, F.struct((F.col("id") + a).alias("source"), (F.col("id") + b).alias("target"))) for r, a, b in made]))
+    return v.person.select(F.lit("Person").alias("label"), F.inline(pairs))
+
+
+#: Pairs as above; all that is reached from a node over pairs of known nodes, in both directions, and the node that they end in.
+_MERGE = """RECURSIVE kb_person AS (SELECT c_custkey AS id, c_name AS name FROM customer),
+made(r, a, b) AS (VALUES (0, 0, -1), (49, 0, -1), (10, 0, 1), (10, 0, 2), (20, 0, 1), (21, 0, -1), (30, 0, 0), (40, 1000000000, 0), (41, 0, 1000000000)),
+pairs AS (SELECT DISTINCT id + a AS source, id + b AS target FROM kb_person JOIN made ON id % 50 = r),
+told AS (SELECT source, target, CASE WHEN source NOT IN (SELECT id FROM kb_person) THEN 'source_not_found' WHEN target NOT IN (SELECT id FROM kb_person) THEN 'target_not_found' WHEN source = target THEN 'self' ELSE 'merged' END AS outcome FROM pairs),
+near AS (SELECT source AS x, target AS y FROM told WHERE outcome = 'merged' UNION SELECT target, source FROM told WHERE outcome = 'merged'),
+reach(x, y) AS (SELECT x, x FROM near UNION SELECT reach.x, near.y FROM reach JOIN near ON near.x = reach.y),
+ends AS (SELECT x AS id, coalesce(min(CASE WHEN y NOT IN (SELECT source FROM told WHERE outcome = 'merged') THEN y END), min(y)) AS root FROM reach GROUP BY x)"""
+
+
+def merge_sql(views: str, select: str) -> str:
+    own = {n: with_views(n, "").removeprefix("WITH ").strip() for n in views.split()}
+    rest = ", ".join(x for x in own.values())
+    return f"WITH {_MERGE}{', ' if rest else ''}{rest} {select}"
+
+
+register("merge_entities", lambda v: graph.merge_entities(v.nodes, v.edges, merge_pairs(v))[1], None,
+         merge_sql("edges", "SELECT DISTINCT rel_type, from_label, coalesce(f.root, from_id) AS from_id, to_label, coalesce(t.root, to_id) AS to_id FROM edges LEFT JOIN ends f ON from_label = 'Person' AND f.id = from_id LEFT JOIN ends t ON to_label = 'Person' AND t.id = to_id"))
+register("merged_nodes", lambda v: graph.merge_entities(v.nodes, v.edges, merge_pairs(v))[0], None,
+         merge_sql("", "SELECT 'Person' AS label, id, name FROM kb_person WHERE id NOT IN (SELECT id FROM ends WHERE id <> root) UNION ALL SELECT label, id, name FROM others").replace(" SELECT 'Person'", ", " + with_views("kb_topic kb_action_item kb_meeting kb_document", "").removeprefix("WITH ").strip() + ", others AS (SELECT 'Topic' AS label, id, name FROM kb_topic UNION ALL SELECT 'ActionItem', id, description FROM kb_action_item UNION ALL SELECT 'Meeting', id, title FROM kb_meeting UNION ALL SELECT 'Document', id, title FROM kb_document) SELECT 'Person'", 1))
+register("merge_outcomes", lambda v: graph.merge_outcomes(v.nodes, merge_pairs(v)), None,
+         merge_sql("", "SELECT 'Person' AS label, source, target, CASE WHEN outcome = 'merged' THEN root END AS root, outcome FROM told LEFT JOIN ends ON id = source"))
 register("subgraph", lambda v: graph.subgraph(v.nodes, v.edges, ["Person", "Meeting"])[1], "edges nodes", "SELECT *, rel_type || ':' || from_id || ':' || to_id AS link_id FROM edges e WHERE from_label IN ('Person', 'Meeting') AND to_label IN ('Person', 'Meeting') AND EXISTS (SELECT 1 FROM nodes n WHERE n.label = e.from_label AND n.id = e.from_id) AND EXISTS (SELECT 1 FROM nodes n WHERE n.label = e.to_label AND n.id = e.to_id)")
 register("path_query", lambda v: graph.path_query(v.relation("MENTIONED_IN").unionByName(v.relation("TAGGED_WITH")), "MENTIONED_IN", "TAGGED_WITH"), "mentioned_in tagged_with", "SELECT a.from_id, a.to_id AS via_id, b.to_id FROM mentioned_in a JOIN tagged_with b ON a.to_id = b.from_id")
 register("graph_stats", lambda v: graph.graph_stats(v.nodes, v.edges, v.chunk, v.document), "nodes edges kb_chunk", "SELECT CASE label WHEN 'Document' THEN 'documents' ELSE 'entities' END AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'relationships', count(*) FROM edges UNION ALL SELECT 'chunks', count(*) FROM kb_chunk UNION ALL SELECT 'source:' || source_type, count(*) FROM kb_document GROUP BY 1 UNION ALL SELECT 'node:' || label AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'edge:' || rel_type, count(*) FROM edges GROUP BY 1")
