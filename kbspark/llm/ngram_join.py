@@ -11,10 +11,10 @@ they differ in c * (a + b) elements or fewer. So:
    sets are cut into fragments of about FRAGMENT n-grams; the overlaps of each are counted in separate tasks and added up
    for each pair. What the segments differ in is kept: the class as seen from the hub, a small set if they are near.
 3. Crowds. Alike to one hub means one group, so a crowd of near-copies is never paired with itself. What is left are pairs
-   under one hub whose groups differ. If x or y is not alike to the hub but x and y are, what they differ from it in has
-   something in common (else their sizes would not fit), so they share one of the first few elements of these small sets,
-   rarest under the hub first. Elements that only one group has match nothing and count as differences from the start. So
-   copies that differ from a hub in ways of their own are told apart without a comparison.
+   under one hub, of keys with several groups beside it. If x or y is not alike to the hub but x and y are, what they
+   differ from it in has something in common (else their sizes would not fit), so they share one of the first few elements
+   of these small sets, rarest under the hub first. Elements that only one group has match nothing and count as differences
+   from the start. So copies that differ from a hub in ways of their own are told apart without a comparison.
 
 Links are exact but for hash collisions. Groups are connected components of links.
 
@@ -213,16 +213,28 @@ def across(counted: DataFrame, sizes: DataFrame, roots: DataFrame, alike: Alike)
     return links
 
 
-def meetings(members: DataFrame) -> DataFrame:
-    """members (key, cid, n) -> u, v, n_u, n_v, met: each class with the hubs of its keys, and at how many the hub is met."""
+def meetings(classes: DataFrame) -> DataFrame:
+    """classes (cid, n, keys) -> key, u, v, n_u, n_v, met: each class with the hub of each key that it shares, and at how
+    many classes the hub is met at least."""
+    # rows of all keys carry half of an id; two classes with the same half may be taken along, which does no harm
+    half = F.xxhash64("cid").alias("half")
+    members = classes.select(F.explode("keys").alias("key"), half)
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = materialise(members.join(sizes, "key"), "keyed")
+    shared = members.join(sizes, "key")
+    keyed = materialise(shared.join(classes.select("cid", "n", half), "half").select("key", "cid", "n", "size"), "keyed")
     centres = keyed.groupBy("cid").agg(F.sum("size").alias("centre"))
     hubs = keyed.join(centres, "cid").groupBy("key").agg(F.min(F.struct((-F.col("centre")).alias("order"), "cid", "n")).alias("hub"))
     met = keyed.join(hubs, "key").where("cid <> hub.cid")
-    pairs = materialise(met.select(F.col("cid").alias("u"), F.col("hub.cid").alias("v"), F.col("n").alias("n_u"), F.col("hub.n").alias("n_v"), (-F.col("hub.order")).alias("met")).distinct(), "pairs")
+    met = materialise(met.select("key", F.col("cid").alias("u"), F.col("hub.cid").alias("v"), F.col("n").alias("n_u"), F.col("hub.n").alias("n_v"), (-F.col("hub.order")).alias("met")), "met")
     forget(keyed)
-    return pairs
+    return met
+
+
+def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """u, v: classes beside the hub of a key under which two of different groups met. Alike classes that are not of one group have such a key."""
+    rooted = met.join(roots.select("u", F.col("v").alias("root")), "u", "left").select("key", "u", "v", F.coalesce("root", "u").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    return rooted.join(several.select("key"), "key", "left_semi").select("u", "v").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, alike: Alike | None = None) -> DataFrame:
@@ -233,16 +245,20 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, alike: Alike | None = None)
     signed = materialise(own.mapInArrow(_sign(shingle, alike), "doc_id long, at long, cid binary, n long, keys array<long>"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
     classes = materialise(signed.where("n > 0").groupBy("cid").agg(first, F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "sets")
-    pairs = meetings(classes.select("cid", "n", F.explode("keys").alias("key")))
+    met = meetings(classes)
+    pairs = materialise(met.drop("key").distinct(), "pairs")
     nodes = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
     wanted = classes.join(nodes, "cid").select(F.col("first.doc_id").alias("_id"), F.col("first.at").alias("_at"))
     mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at"))
     known = own.join(wanted, mine, "left_semi").select("text").mapInArrow(_known(shingle), "cid binary, hashes binary")
     known = materialise(known.groupBy("cid").agg(F.any_value("hashes").alias("hashes")), "hashes")
     counted = materialise(overlaps(pairs, known), "overlaps")
-    links = added(counted, pairs, alike)
-    roots = components(links, "groups")
-    more = across(counted, classes, roots, alike)
+    forget(known)
+    roots = components(added(counted, pairs, alike), "groups")
+    open_ = materialise(unsettled(met, roots), "open")
+    forget(met)
+    more = across(counted.join(open_, ["u", "v"], "left_semi"), classes, roots, alike)
+    forget(counted, pairs, open_)
     whole = components(roots.unionByName(more), "groups")
     rooted = classes.select("cid", "first.doc_id").join(whole.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cid", "component_id")
