@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ WEIGHTS = (0.6, 0.3, 0.1)
 MAX_CONNECTIONS = 5
 OVERFETCH = 2
 EXCERPT = 200
+TAGGED, RELATED = "tagged in document ", "document relationship"
 #: Queries and chunks in a block of the matrix form.
 QUERY_BLOCK = 1024
 CHUNK_BLOCK = 8192
@@ -109,6 +111,33 @@ def cosine_topk_blocks(chunks: DataFrame, queries: DataFrame, k: int, block: int
     return top(out, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
+@dataclass(frozen=True)
+class Filters:
+    """What a search is limited to. Dates are inclusive; documents need one of the tags, and an edge with one of the entities (names)."""
+
+    source_types: tuple[str, ...] = ()
+    date_from: str | None = None
+    date_to: str | None = None
+    tags: tuple[str, ...] = ()
+    entities: tuple[str, ...] = ()
+
+
+def apply_filters(chunks: DataFrame, filters: Filters, documents: DataFrame | None = None, edges: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Chunks that a search may return. One source type is applied here; several are for post_filter_sources, after the cut.
+
+    Tags need documents (id, tags), entities need edges and nodes besides; filters are joined by "and".
+    """
+    one = list(filters.source_types) if len(filters.source_types) == 1 else None
+    chunks = filter_chunks(chunks, one, filters.date_from, filters.date_to)
+    if not filters.tags and not filters.entities:
+        return chunks
+    if documents is None or filters.entities and (edges is None or nodes is None):
+        raise ValueError("tags need documents; entities need documents, edges and nodes")
+    own = filter_tags(documents, list(filters.tags)) if filters.tags else documents
+    own = filter_entities(own, edges, nodes, list(filters.entities)) if filters.entities else own
+    return chunks.join(own.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+
+
 def post_filter_sources(candidates: DataFrame, source_types: list[str]) -> DataFrame:
     """A filter after the candidate cut: may leave fewer than k."""
     return candidates.where(F.col("source_type").isin(*source_types))
@@ -147,29 +176,38 @@ def candidates(chunks: DataFrame, queries: DataFrame, k: int, factor: int = OVER
     return hits.join(chunks.drop("vector", "text"), "chunk_id")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 10, source_types: list[str] | None = None) -> DataFrame:
+def ranked_candidates(queries: DataFrame, chunks: DataFrame, k: int, filters: Filters = Filters(), documents: DataFrame | None = None, edges: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """The candidates of each query that its filters let through; topics and relations of a search are those of all of them."""
+    c = candidates(apply_filters(chunks, filters, documents, edges, nodes), queries, k)
+    return post_filter_sources(c, list(filters.source_types)) if len(filters.source_types) > 1 else c
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 10, filters: Filters = Filters(), documents: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query, with the scores that made the order and an excerpt."""
-    one = source_types if source_types and len(source_types) == 1 else None
-    c = candidates(filter_chunks(chunks, one), queries, k)
-    if source_types and not one:
-        c = post_filter_sources(c, source_types)
+    c = ranked_candidates(queries, chunks, k, filters, documents, edges, nodes)
     c = combined_score(recency_minmax(c.join(graph_boost(edges), "document_id", "left")))
     best = best_chunk_per_document(c, k)
     return attributions(best.join(chunks.select("chunk_id", "text"), "chunk_id"))
 
 
 def attributions(ranked: DataFrame, excerpt: int = EXCERPT) -> DataFrame:
-    return ranked.select("query_id", "position", "document_id", "chunk_id", "score", F.coalesce("graph", F.lit(0.0)).alias("graph"), F.round("recency", 6).alias("recency"), "combined", "title", "source_type", "created_at", F.substring("text", 1, excerpt).alias("excerpt"))
+    """What a search shows of each document; overall is the score of the query's first one."""
+    overall = F.max("combined").over(Window.partitionBy("query_id")).alias("overall")
+    return ranked.select("query_id", "position", "document_id", "chunk_id", "score", F.coalesce("graph", F.lit(0.0)).alias("graph"), F.round("recency", 6).alias("recency"), "combined", overall, "title", "source_type", "source_id", "url", "created_at", F.substring("text", 1, excerpt).alias("excerpt"))
 
 
 def retrieval_entities(found: DataFrame, tagged_with: DataFrame, topics: DataFrame) -> DataFrame:
+    """Topics of the documents of candidates, one row for each document and topic."""
     docs = found.select("query_id", "document_id").distinct()
     t = tagged_with.join(topics, F.col("to_id") == topics["id"]).select(F.col("from_id").alias("document_id"), F.col("to_id").alias("topic_id"), F.col("name"))
-    return docs.join(t, "document_id").select("query_id", "document_id", "topic_id", "name", F.lit("Topic").alias("type"))
+    context = F.concat(F.lit(TAGGED), F.col("document_id").cast("string")).alias("context")
+    return docs.join(t, "document_id").select("query_id", "document_id", "topic_id", "name", F.lit("Topic").alias("type"), context)
 
 
 def retrieval_relationships(found: DataFrame, related_to: DataFrame) -> DataFrame:
-    return found.select("query_id", F.col("document_id").alias("from_id")).distinct().join(related_to, "from_id").select("query_id", "from_id", "to_id")
+    """Relations that leave the documents of candidates."""
+    docs = found.select("query_id", F.col("document_id").alias("from_id")).distinct()
+    return docs.join(related_to, "from_id").select("query_id", "from_id", "to_id", F.lit("RELATED_TO").alias("type"), F.lit(RELATED).alias("context"))
 
 
 def facet_source_types(ranked: DataFrame) -> DataFrame:

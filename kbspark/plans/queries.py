@@ -48,10 +48,10 @@ T, M = f"TIMESTAMP '{SCHEDULE_AS_OF}'", f"TIMESTAMP '{MEETING_AS_OF}'"
 # --- search -------------------------------------------------------------------------------------------------------
 
 _COSINE = """+ scored AS (
-  SELECT query_id, chunk_id, document_id, title, source_type, created_at, text,
+  SELECT query_id, chunk_id, document_id, title, source_type, source_id, url, created_at, text,
          round(coalesce(list_sum(list_transform(list_zip(c.vector, q.vector), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))
            / nullif(sqrt(list_sum(list_transform(c.vector, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.vector, lambda x: x::DOUBLE * x::DOUBLE))), 0), 0), 9) AS score
-  FROM kb_chunk c, kb_query q),
+  FROM kb_chunk c, kb_query q WHERE true),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored),
 cand AS (SELECT * FROM ranked WHERE rank <= 20),
 boost AS (SELECT from_id AS document_id, least(count(*) / 5.0::DOUBLE, 1.0) AS graph FROM edges WHERE rel_type IN ('RELATED_TO', 'TAGGED_WITH') GROUP BY 1),
@@ -66,6 +66,14 @@ result AS (
 _SEARCH = "kb_chunk kb_query edges kb_topic"
 
 
+_SHOWN = "SELECT query_id, position, document_id, chunk_id, score, graph, round(recency, 6) AS recency, combined, max(combined) OVER (PARTITION BY query_id) AS overall, title, source_type, source_id, url, substr(text, 1, 200) AS excerpt FROM result"
+FILTERS = search.Filters(("jira_issue", "apple_note", "outlook_email"), "2024-01-03", "2024-03-01", ("en", "src1"), ("Topic-1", "topic-2", "topic-3"))
+
+
+def nearby(v: Views) -> DataFrame:
+    return search.candidates(v.chunk, v.query, 10)
+
+
 def found(v: Views) -> DataFrame:
     return search.hybrid_search(v.query, v.chunk, v.edges)
 
@@ -74,19 +82,21 @@ def with_result(select: str) -> str:
     return _COSINE + select
 
 
-register("hybrid_search", lambda v: found(v).drop("created_at"), _SEARCH, with_result("SELECT query_id, position, document_id, chunk_id, score, graph, round(recency, 6) AS recency, combined, title, source_type, substr(text, 1, 200) AS excerpt FROM result"))
+register("hybrid_search", lambda v: found(v).drop("created_at"), _SEARCH, with_result(_SHOWN))
+register("hybrid_search_filtered", lambda v: search.hybrid_search(v.query, v.chunk, v.edges, 10, FILTERS, v.document, v.nodes).drop("created_at"), _SEARCH + " nodes kb_document", with_result(_SHOWN).replace(
+    "WHERE true", "WHERE c.created_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-03-01' AND c.document_id IN (SELECT id FROM kb_document WHERE list_has_any(tags, ['en', 'src1'])) AND c.document_id IN (SELECT from_id FROM edges JOIN nodes n ON n.label = to_label AND n.id = to_id WHERE from_label = 'Document' AND lower(n.name) IN ('topic-1', 'topic-2', 'topic-3'))").replace("WHERE rank <= 20)", "WHERE rank <= 20 AND source_type IN ('jira_issue', 'apple_note', 'outlook_email'))"))
 register("cosine_topk", lambda v: search.cosine_topk(v.chunk, v.query, 10), _SEARCH, with_result("SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10"))
 register("cosine_topk_blocks", lambda v: search.cosine_topk_blocks(v.chunk, v.query, 10), _SEARCH, with_result("SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10"))
 register("filter_chunks", lambda v: search.filter_chunks(v.chunk, ["jira_issue"], "2024-01-02", "2024-01-20").select("chunk_id", "document_id"), "kb_chunk", "SELECT chunk_id, document_id FROM kb_chunk WHERE source_type = 'jira_issue' AND created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-20'")
 register("post_filter_sources", lambda v: search.post_filter_sources(search.candidates(v.chunk, v.query, 10), ["jira_issue", "apple_note"]).select("query_id", "chunk_id", "rank"), _SEARCH, with_result("SELECT query_id, chunk_id, rank FROM cand WHERE source_type IN ('jira_issue', 'apple_note')"))
 register("graph_boost", lambda v: search.graph_boost(v.edges), "edges", "SELECT from_id AS document_id, least(count(*) / 5.0::DOUBLE, 1.0) AS graph FROM edges WHERE rel_type IN ('RELATED_TO', 'TAGGED_WITH') GROUP BY 1")
 register("recency_minmax", lambda v: search.recency_minmax(search.candidates(v.chunk, v.query, 10)).select("query_id", "chunk_id", F.round("recency", 6).alias("recency")), _SEARCH, with_result("SELECT query_id, chunk_id, round(recency, 6) AS recency FROM rescored"))
-register("retrieval_entities", lambda v: search.retrieval_entities(found(v), v.tagged_with, v.topic), _SEARCH, with_result("SELECT DISTINCT query_id, document_id, kb_topic.id AS topic_id, name, 'Topic' AS type FROM result JOIN tagged_with ON from_id = document_id JOIN kb_topic ON kb_topic.id = to_id"))
-register("retrieval_relationships", lambda v: search.retrieval_relationships(found(v), v.related_to), _SEARCH, with_result("SELECT query_id, from_id, to_id FROM (SELECT DISTINCT query_id, document_id FROM result) JOIN related_to ON from_id = document_id"))
+register("retrieval_entities", lambda v: search.retrieval_entities(nearby(v), v.tagged_with, v.topic), _SEARCH, with_result("SELECT DISTINCT query_id, document_id, kb_topic.id AS topic_id, name, 'Topic' AS type, 'tagged in document ' || document_id AS context FROM cand JOIN tagged_with ON from_id = document_id JOIN kb_topic ON kb_topic.id = to_id"))
+register("retrieval_relationships", lambda v: search.retrieval_relationships(nearby(v), v.related_to), _SEARCH, with_result("SELECT query_id, from_id, to_id, 'RELATED_TO' AS type, 'document relationship' AS context FROM (SELECT DISTINCT query_id, document_id FROM cand) JOIN related_to ON from_id = document_id"))
 register("facet_source_types", lambda v: search.facet_source_types(found(v)), _SEARCH, with_result("SELECT query_id, source_type, count(*) AS n FROM result GROUP BY ALL"))
 register("facet_months", lambda v: search.facet_months(found(v)), _SEARCH, with_result("SELECT query_id, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM result GROUP BY ALL"))
-register("facet_entities", lambda v: search.facet_entities(search.retrieval_entities(found(v), v.tagged_with, v.topic)), _SEARCH, with_result(
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, name) AS rank FROM (SELECT query_id, name, count(*) AS n, 'Topic' AS type FROM result JOIN tagged_with ON from_id = document_id JOIN kb_topic ON kb_topic.id = to_id GROUP BY ALL)) WHERE rank <= 10"))
+register("facet_entities", lambda v: search.facet_entities(search.retrieval_entities(nearby(v), v.tagged_with, v.topic)), _SEARCH, with_result(
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, name) AS rank FROM (SELECT query_id, name, count(*) AS n, 'Topic' AS type FROM (SELECT DISTINCT query_id, document_id FROM cand) JOIN tagged_with ON from_id = document_id JOIN kb_topic ON kb_topic.id = to_id GROUP BY ALL)) WHERE rank <= 10"))
 register("facet_tags", lambda v: search.facet_tags(found(v), v.document), _SEARCH + " kb_document", with_result(
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, tag) AS rank FROM (SELECT query_id, tag, count(*) AS n FROM (SELECT query_id, unnest(tags) AS tag FROM result JOIN kb_document ON kb_document.id = document_id) GROUP BY ALL)) WHERE rank <= 10"))
 register("suggest", lambda v: search.suggest(v.table("region").select(F.substring("r_name", 1, 1).alias("prefix")).union(v.table("nation").where("n_nationkey = 0").select(F.lit("Customer#00000001"))).distinct(), v.nodes.where("label in ('Person', 'Topic')")), "nodes",

@@ -39,12 +39,12 @@ class Views:
     @cached_property
     def chunk(self) -> DataFrame:
         e = self.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 3").alias("document_id"), F.col("embedding").alias("vector"), F.expr("int(vec_id % 3)").alias("part"))
-        d = self.document.select(F.col("id").alias("document_id"), "title", "source_type", "created_at", "content")
+        d = self.document.select(F.col("id").alias("document_id"), "title", "source_type", "source_id", "created_at", "content")
         # a document's three chunks are the thirds of its text
         n = F.length("content")
         cut = lambda k: F.floor(n * k / 3).cast("int")
         text = F.substring(F.col("content"), cut(F.col("part")) + 1, cut(F.col("part") + 1) - cut(F.col("part")))
-        return e.join(d, "document_id").withColumns({"text": text, "url": F.lit(None).cast("string")}).drop("content", "part")
+        return e.join(d, "document_id").withColumns({"text": text, "url": F.when(F.col("source_type") == "jira_issue", F.concat(F.lit("https://example.org/"), F.col("document_id").cast("string")))}).drop("content", "part")
 
     @cached_property
     def query(self) -> DataFrame:
@@ -168,7 +168,7 @@ class Views:
 #: The same views for DuckDB; queries name those they use.
 SQL = {
     "kb_document": "SELECT doc_id AS id, substr(text, 1, 40) AS title, " + str(list(SOURCE_TYPES)) + "[doc_id % 6 + 1] AS source_type, source AS source_id, [lang, source] AS tags, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at, text AS content FROM documents",
-    "kb_chunk": "SELECT e.vec_id AS chunk_id, e.vec_id // 3 AS document_id, e.embedding AS vector, d.title, d.source_type, d.created_at, substr(d.content, (length(d.content) * (e.vec_id % 3)) // 3 + 1, (length(d.content) * (e.vec_id % 3 + 1)) // 3 - (length(d.content) * (e.vec_id % 3)) // 3) AS text FROM embeddings e JOIN kb_document d ON d.id = e.vec_id // 3",
+    "kb_chunk": "SELECT e.vec_id AS chunk_id, e.vec_id // 3 AS document_id, e.embedding AS vector, d.title, d.source_type, d.source_id, CASE WHEN d.source_type = 'jira_issue' THEN 'https://example.org/' || d.id END AS url, d.created_at, substr(d.content, (length(d.content) * (e.vec_id % 3)) // 3 + 1, (length(d.content) * (e.vec_id % 3 + 1)) // 3 - (length(d.content) * (e.vec_id % 3)) // 3) AS text FROM embeddings e JOIN kb_document d ON d.id = e.vec_id // 3",
     "kb_query": "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0",
     "tagged_with": "SELECT DISTINCT vec_id // 3 AS from_id, label::BIGINT AS to_id FROM embeddings",
     "kb_topic": "SELECT DISTINCT label::BIGINT AS id, 'topic-' || label AS name FROM embeddings",
