@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import chunking, contradictions, conversations, graph, normalise, proactive, resolution, schedule, search, sync
+from ..operators import chunking, contradictions, conversations, graph, mentions, normalise, proactive, resolution, schedule, search, sync, vector_index
 from ..streaming import jobs
 from .views import MEETING_AS_OF, SCHEDULE_AS_OF, SOURCE_TYPES, Views, with_views
 
@@ -87,6 +87,7 @@ register("hybrid_search_filtered", lambda v: search.hybrid_search(v.query, v.chu
     "WHERE true", "WHERE c.created_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-03-01' AND c.document_id IN (SELECT id FROM kb_document WHERE list_has_any(tags, ['en', 'src1'])) AND c.document_id IN (SELECT from_id FROM edges JOIN nodes n ON n.label = to_label AND n.id = to_id WHERE from_label = 'Document' AND lower(n.name) IN ('topic-1', 'topic-2', 'topic-3'))").replace("WHERE rank <= 20)", "WHERE rank <= 20 AND source_type IN ('jira_issue', 'apple_note', 'outlook_email'))"))
 register("cosine_topk", lambda v: search.cosine_topk(v.chunk, v.query, 10), _SEARCH, with_result("SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10"))
 register("cosine_topk_blocks", lambda v: search.cosine_topk_blocks(v.chunk, v.query, 10), _SEARCH, with_result("SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10"))
+register("cosine_topk_index", lambda v: vector_index.search(vector_index.build(v.chunk), v.query, 10), _SEARCH, with_result("SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10"))
 register("filter_chunks", lambda v: search.filter_chunks(v.chunk, ["jira_issue"], "2024-01-02", "2024-01-20").select("chunk_id", "document_id"), "kb_chunk", "SELECT chunk_id, document_id FROM kb_chunk WHERE source_type = 'jira_issue' AND created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-20'")
 register("post_filter_sources", lambda v: search.post_filter_sources(search.candidates(v.chunk, v.query, 10), ["jira_issue", "apple_note"]).select("query_id", "chunk_id", "rank"), _SEARCH, with_result("SELECT query_id, chunk_id, rank FROM cand WHERE source_type IN ('jira_issue', 'apple_note')"))
 register("graph_boost", lambda v: search.graph_boost(v.edges), "edges", "SELECT from_id AS document_id, least(count(*) / 5.0::DOUBLE, 1.0) AS graph FROM edges WHERE rel_type IN ('RELATED_TO', 'TAGGED_WITH') GROUP BY 1")
@@ -158,6 +159,30 @@ register("recent_edges", lambda v: graph.recent_edges(v.edges, v.document, MEETI
 register("document_edges", lambda v: graph.document_edges(v.document, v.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("name"))), "kb_document",
          "SELECT DISTINCT 'TAGGED_WITH' AS rel_type, 'Document' AS from_label, id AS from_id, 'Topic' AS to_label, n_nationkey::BIGINT AS to_id FROM (SELECT id, unnest(tags) AS tag FROM kb_document) JOIN nation ON tag = 'src' || n_nationkey")
 
+
+
+def named(v: Views) -> DataFrame:
+    """Names of persons, and longer ones for some."""
+    p = v.person.select("id", "name")
+    return p.unionByName(p.where("id % 5 = 0").select("id", F.concat("name", F.lit(", Senior")).alias("name"))).unionByName(p.where("id % 40 = 0").select((F.col("id") + 1).alias("id"), "name"))
+
+
+def naming(v: Views) -> DataFrame:
+    """Documents with a line that names a person of two, and the same one in every seventh."""
+    number = F.lpad((F.col("doc_id") % 100 + 1).cast("string"), 9, "0")
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nThanks, Customer#"), number, F.lit("! customer-"), number, F.lit("."))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" (CUSTOMER "), number, F.lit(" Senior)"))).otherwise("")
+    hot = F.when(F.col("doc_id") % 7 == 0, " customer#000000002").otherwise("")
+    return v.table("documents").select(F.col("doc_id").alias("id"), F.concat("text", line, hot).alias("content"))
+
+
+register("mention_edges", lambda v: mentions.mention_edges(naming(v), named(v)), "kb_person", """+ names AS (SELECT id, name FROM kb_person UNION ALL SELECT id, name || ', Senior' FROM kb_person WHERE id % 5 = 0 UNION ALL SELECT id + 1, name FROM kb_person WHERE id % 40 = 0),
+dict AS (SELECT DISTINCT id, name, array_to_string(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+'), ' ') AS gram, len(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS n FROM names),
+words AS (SELECT doc_id AS id, regexp_extract_all(lower(text || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'Thanks, Customer#' || lpad((doc_id % 100 + 1)::VARCHAR, 9, '0') || '! customer-' || lpad((doc_id % 100 + 1)::VARCHAR, 9, '0') || '.' WHEN 1 THEN ' (CUSTOMER ' || lpad((doc_id % 100 + 1)::VARCHAR, 9, '0') || ' Senior)' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' customer#000000002' ELSE '' END), '[\\p{L}\\p{N}]+') AS w FROM documents),
+runs AS (SELECT id, n, array_to_string(list_slice(w, place + 1, place + n), ' ') AS gram, place FROM (SELECT id, w, n, unnest(range(0, len(w) - n + 1)) AS place FROM words, (SELECT DISTINCT n FROM dict) WHERE len(w) >= n)),
+found AS (SELECT * FROM runs WHERE gram IN (SELECT gram FROM dict)),
+whole AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.id = f.id AND o.place <= f.place AND o.place + o.n >= f.place + f.n AND o.n > f.n))
+SELECT 'MENTIONED_IN' AS rel_type, 'Person' AS from_label, dict.id AS from_id, 'Document' AS to_label, whole.id AS to_id, min(name) AS context, count(DISTINCT place) AS n FROM whole JOIN dict USING (gram) GROUP BY ALL""".replace("\\\\", "\\"))
+
 # --- schedule -----------------------------------------------------------------------------------------------------
 
 _PRIORITY = f"""+ ends AS (SELECT from_id AS id FROM edges WHERE from_label = 'ActionItem' UNION ALL SELECT to_id FROM edges WHERE to_label = 'ActionItem'),
