@@ -50,8 +50,22 @@ def extraction_queue_status(log: DataFrame) -> DataFrame:
     return every.join(last, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def extraction_backlog(documents: DataFrame, attempts: DataFrame, max_failures: int = 3) -> DataFrame:
-    """documents (document_id, enqueued_at) without a success: state pending or failed (max_failures reached)."""
-    a = attempts.groupBy("document_id").agg(F.count_if(F.col("status") == "failed").alias("_f"), F.bool_or(F.col("status") == "done").alias("_done"))
+def extraction_backlog(documents: DataFrame, attempts: DataFrame, as_of: str | None = None, lease_minutes: int = 30, max_failures: int = 3) -> DataFrame:
+    """documents (document_id, enqueued_at) without a success, and the state of each: pending, processing or failed.
+
+    attempts (document_id, status, at) are folded in the order of their times (of equal ones by status). max_failures failures
+    make failed. A last attempt that says processing holds the document until its lease is over at as_of; then, or without
+    as_of or a time, the work counts as lost and the document is pending again.
+    """
+    a = attempts.groupBy("document_id").agg(F.count_if(F.col("status") == "failed").alias("_f"), F.bool_or(F.col("status") == "done").alias("_done"),
+                                            F.max_by(F.struct("status", "at"), F.struct("at", "status")).alias("_last"))
     j = documents.join(a, "document_id", "left").where(~F.coalesce("_done", F.lit(False)))
-    return j.select("document_id", "enqueued_at", F.when(F.coalesce("_f", F.lit(0)) >= max_failures, "failed").otherwise("pending").alias("state"))
+    expires = F.col("_last.at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lease_minutes))
+    held = F.coalesce((F.col("_last.status") == "processing") & (expires > F.lit(as_of).cast("timestamp")), F.lit(False))
+    state = F.when(F.coalesce("_f", F.lit(0)) >= max_failures, "failed").when(held, "processing").otherwise("pending")
+    return j.select("document_id", "enqueued_at", state.alias("state"))
+
+
+def claim_next(backlog: DataFrame, n: int) -> DataFrame:
+    """The n pending documents that have waited longest (a limit is the feature), of equal ones the smaller id."""
+    return backlog.where("state = 'pending'").orderBy(F.col("enqueued_at").asc_nulls_last(), "document_id").limit(n)

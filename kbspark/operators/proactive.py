@@ -14,6 +14,8 @@ RELATED_THRESHOLD = 0.7
 #: Thresholds from which candidates meet under rare entities alone.
 PREFIX = 0.5
 TITLE_LENGTH = 40
+#: Documents of an entity from which its rows are split.
+HUB = 4_096
 #: Kinds of entities as titles name them.
 FRIENDLY = {"Person": "person", "Project": "project", "Topic": "topic", "Decision": "decision", "ActionItem": "action item", "Meeting": "meeting", "Document": "document"}
 TICKETS, NOTES, MAILS = ("jira_issue",), ("obsidian_note", "apple_note"), ("outlook_email",)
@@ -26,26 +28,39 @@ def document_entities(edges: DataFrame, labels: tuple[str, ...] = ("Person", "To
     return out.unionByName(into).distinct()
 
 
-def related_documents(new_docs: DataFrame, entities: DataFrame, threshold: float = RELATED_THRESHOLD) -> DataFrame:
+def met_under_entities(own: DataFrame, other: DataFrame, often: DataFrame, hub: int = HUB) -> DataFrame:
+    """own (document_id, label, id) joined with other (other_id, label, id), as document_id, other_id for each shared entity.
+
+    An entity on more than hub documents (often: label, id, _often) is a heavy hitter: its rows of other are salted into
+    parts of about hub rows, and its rows of own are repeated for each, so no task gets more of one entity than of others.
+    """
+    heavy = often.where(F.col("_often") > hub).select("label", "id", F.ceil(F.col("_often") / hub).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = other.join(heavy, ["label", "id"], "left").withColumn("_part", F.pmod(F.xxhash64("other_id"), parts).cast("int")).drop("_parts")
+    repeated = own.join(heavy, ["label", "id"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return repeated.join(salted, ["label", "id", "_part"]).where("document_id <> other_id").select("document_id", "other_id")
+
+
+def related_documents(new_docs: DataFrame, entities: DataFrame, threshold: float = RELATED_THRESHOLD, hub: int = HUB) -> DataFrame:
     """new_docs (document_id): other documents with the share of the new one's entities that they have.
 
     A document that has a share of the new one's n entities has one of its rarest n - share * n + 1. From a threshold of
     PREFIX on, candidates meet under those alone, so an entity on very many documents pairs few; below, where the rarest
     are nearly all, documents meet under every entity. Both give the same rows. Null ids match nothing.
     """
-    own = entities.join(new_docs.select("document_id"), "document_id", "left_semi")
+    own = entities.join(new_docs.select("document_id").distinct(), "document_id", "left_semi")
     sizes = own.groupBy("document_id").agg(F.count(F.lit(1)).alias("size"))
     other = entities.select(F.col("document_id").alias("other_id"), "label", "id")
+    often = entities.groupBy("label", "id").agg(F.count(F.lit(1)).alias("_often"))
     if threshold >= PREFIX:
-        often = entities.groupBy("label", "id").agg(F.count(F.lit(1)).alias("_often"))
         ranked = own.join(often, ["label", "id"]).withColumn("_rank", F.row_number().over(Window.partitionBy("document_id").orderBy("_often", "label", "id")))
         # scores are rounded to six digits, so the bound gives way by as much
         least = F.ceil(F.col("size") * F.lit(threshold - 1e-6))
         rare = ranked.join(sizes, "document_id").where(F.col("_rank") <= F.col("size") - least + 1).select("document_id", "label", "id")
-        pairs = rare.join(other, ["label", "id"]).where("document_id <> other_id").select("document_id", "other_id").distinct()
+        pairs = met_under_entities(rare, other, often, hub).distinct()
         shared = pairs.join(own, "document_id").join(other, ["other_id", "label", "id"], "left_semi")
     else:
-        shared = own.join(other, ["label", "id"]).where("document_id <> other_id")
+        shared = met_under_entities(own, other, often, hub)
     shared = shared.groupBy("document_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
     return shared.join(sizes, "document_id").withColumn("score", F.round(F.col("shared") / F.col("size"), 6)).where(F.col("score") >= threshold).select("document_id", "other_id", "shared", "score")
 

@@ -26,11 +26,20 @@ def detect_changes_by_version(snapshot: DataFrame, state: DataFrame) -> DataFram
 
 
 def detect_changes_by_hash(snapshot: DataFrame, state: DataFrame) -> DataFrame:
-    """snapshot (key, mtime, text) against state (key, mtime, content_hash): skip, refresh, new or changed."""
-    s = snapshot.withColumn("content_hash", F.sha2("text", 256))
+    """snapshot (key, mtime, text) against state (key, mtime, content_hash): skip, refresh, new or changed.
+
+    Keys and times decide first. Only texts whose time moved are read on and hashed; a skipped row keeps its old hash.
+    """
     old = state.select("key", F.col("mtime").alias("_mtime"), F.col("content_hash").alias("_hash"), F.lit(True).alias("_known"))
-    action = F.when(F.col("_known").isNull(), "new").when(F.col("mtime").eqNullSafe(F.col("_mtime")), "skip").when(F.col("content_hash").eqNullSafe(F.col("_hash")), "refresh").otherwise("changed")
-    return s.join(old, "key", "left").withColumn("action", action).select("key", "mtime", "content_hash", "action")
+    timed = snapshot.select("key", "mtime").join(old, "key", "left")
+    still = F.col("_known").isNotNull() & F.col("mtime").eqNullSafe(F.col("_mtime"))
+    skipped = timed.where(still).select("key", "mtime", F.col("_hash").alias("content_hash"), F.lit("skip").alias("action"))
+    moved = timed.where(~still).select("key", "mtime", "_hash", "_known").distinct()
+    texts = snapshot.select(F.col("key").alias("_key"), F.col("mtime").alias("_at"), "text")
+    here = F.col("key").eqNullSafe(F.col("_key")) & F.col("mtime").eqNullSafe(F.col("_at"))
+    hashed = moved.join(texts, here).withColumn("content_hash", F.sha2("text", 256))
+    action = F.when(F.col("_known").isNull(), "new").when(F.col("content_hash").eqNullSafe(F.col("_hash")), "refresh").otherwise("changed")
+    return skipped.unionByName(hashed.select("key", "mtime", "content_hash", action.alias("action")))
 
 
 def detect_deletes(snapshot: DataFrame, state: DataFrame) -> DataFrame:
@@ -43,9 +52,9 @@ def next_sync_state(state: DataFrame, changed: DataFrame, deleted: DataFrame) ->
 
 
 def latest(df: DataFrame, key: list[str], sequence: list[Column]) -> DataFrame:
-    """One row a key: the last by sequence."""
-    names = df.columns
-    return df.groupBy(*key).agg(F.max_by(F.struct(*names), F.struct(*sequence)).alias("_row")).select("_row.*")
+    """One row a key: the last by sequence; of equal ones always the same, by a hash of the row."""
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+    return df.groupBy(*key).agg(F.max_by(F.struct(*[f"`{c}`" for c in df.columns]), F.struct(*sequence, tie)).alias("_row")).select("_row.*")
 
 
 def upsert_by_key(target: DataFrame, updates: DataFrame, key: list[str], sequence: list[Column]) -> DataFrame:
@@ -71,12 +80,17 @@ def reindex(documents: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return documents if state is None else detect_changes_by_version(documents, state).drop("action")
 
 
-def sync_summary(documents: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per source: documents synced, errors, health."""
+def sync_summary(documents: DataFrame, errors: DataFrame, listed: int = 100) -> DataFrame:
+    """Per source: documents synced, errors, health; where errors have a `message`, the first `listed` different ones by text."""
     d = documents.groupBy("source_type").agg(F.count(F.lit(1)).alias("documents"))
     e = errors.groupBy("source_type").agg(F.count(F.lit(1)).alias("errors"))
     j = d.join(e, "source_type", "full").select("source_type", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("errors", F.lit(0)).alias("errors"))
-    return j.withColumn("health", F.when(F.col("errors") > 0, "degraded").otherwise("healthy"))
+    j = j.withColumn("health", F.when(F.col("errors") > 0, "degraded").otherwise("healthy"))
+    if "message" not in errors.columns:
+        return j
+    first = top(errors.where("message is not null").select("source_type", "message").distinct(), ["source_type"], [F.col("message")], listed)
+    texts = first.groupBy("source_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "message"))), lambda x: x.message).alias("messages"))
+    return j.join(texts, "source_type", "left").withColumn("messages", F.coalesce("messages", F.array().cast("array<string>")))
 
 
 def validate_documents(df: DataFrame, source_types: tuple[str, ...]) -> DataFrame:

@@ -288,7 +288,7 @@ register("contradiction_notifications", lambda v: proactive.contradiction_notifi
 
 register("detect_changes_by_version", lambda v: sync.detect_changes_by_version(v.snapshot.drop("text"), v.state), "snapshot state", "SELECT s.key, s.version, CASE WHEN t.key IS NULL THEN 'new' ELSE 'changed' END AS action FROM snapshot s LEFT JOIN state t ON t.key = s.key WHERE t.key IS NULL OR t.version <> s.version")
 register("detect_changes_by_hash", lambda v: sync.detect_changes_by_hash(v.snapshot.withColumn("mtime", F.col("key") % 3), v.snapshot.where("key % 10 <> 3").select("key", F.lit(0).cast("long").alias("mtime"), F.when(F.col("key") % 10 == 5, "x").otherwise(F.sha2("text", 256)).alias("content_hash"))), "snapshot",
-         "SELECT key, key % 3 AS mtime, sha256(text) AS content_hash, CASE WHEN key % 10 = 3 THEN 'new' WHEN key % 3 = 0 THEN 'skip' WHEN key % 10 = 5 THEN 'changed' ELSE 'refresh' END AS action FROM snapshot")
+         "SELECT key, key % 3 AS mtime, CASE WHEN key % 3 = 0 AND key % 10 = 5 THEN 'x' ELSE sha256(text) END AS content_hash, CASE WHEN key % 10 = 3 THEN 'new' WHEN key % 3 = 0 THEN 'skip' WHEN key % 10 = 5 THEN 'changed' ELSE 'refresh' END AS action FROM snapshot")
 register("detect_deletes", lambda v: sync.detect_deletes(v.snapshot, v.state), "snapshot state", "SELECT key FROM state WHERE key NOT IN (SELECT key FROM snapshot)")
 register("next_sync_state", lambda v: sync.next_sync_state(v.state, sync.detect_changes_by_version(v.snapshot, v.state), sync.detect_deletes(v.snapshot, v.state)), "snapshot", "SELECT key, version FROM snapshot")
 register("upsert_by_key", lambda v: sync.upsert_by_key(v.state, v.snapshot.where("key % 2 = 0").select("key", "version").union(v.snapshot.where("key % 4 = 0").select("key", F.lit("0"))), ["key"], [F.length("version"), F.col("version")]), "snapshot state", "SELECT key, version FROM snapshot WHERE key % 2 = 0 UNION ALL SELECT key, version FROM state WHERE key NOT IN (SELECT key FROM snapshot WHERE key % 2 = 0)")
@@ -302,7 +302,8 @@ def deleted(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
 register("delete_document_chunks", lambda v: deleted(v)[0], "kb_chunk", "SELECT chunk_id, document_id FROM kb_chunk WHERE document_id % 10 <> 0")
 register("delete_document_nodes", lambda v: deleted(v)[1], "nodes", "SELECT * FROM nodes WHERE NOT (label = 'Document' AND id % 10 = 0)")
 register("delete_document_edges", lambda v: deleted(v)[2].select(graph.EDGE), "edges", "+ g AS (SELECT doc_id AS id FROM documents WHERE doc_id % 10 = 0) SELECT * FROM edges WHERE NOT (from_label = 'Document' AND from_id IN (SELECT id FROM g)) AND NOT (to_label = 'Document' AND to_id IN (SELECT id FROM g))")
-register("sync_summary", lambda v: sync.sync_summary(v.document, v.document.where("id % 12 = 1").select("source_type")), "kb_document", "SELECT source_type, count(*) AS documents, count(*) FILTER (id % 12 = 1) AS errors, CASE WHEN count(*) FILTER (id % 12 = 1) > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM kb_document GROUP BY 1")
+register("sync_summary", lambda v: sync.sync_summary(v.document, v.document.where("id % 12 = 1").select("source_type", F.concat(F.lit("failed on "), F.col("id").cast("string")).alias("message")), 5).withColumn("messages", F.array_join("messages", "|")), "kb_document",
+         "SELECT source_type, count(*) AS documents, count(*) FILTER (id % 12 = 1) AS errors, CASE WHEN count(*) FILTER (id % 12 = 1) > 0 THEN 'degraded' ELSE 'healthy' END AS health, array_to_string(list_slice(coalesce(list_sort(list('failed on ' || id) FILTER (id % 12 = 1)), []), 1, 5), '|') AS messages FROM kb_document GROUP BY 1")
 register("filter_lookback", lambda v: sync.filter_lookback(v.document, "created_at", None, "2024-01-20").select("id"), "kb_document", "SELECT id FROM kb_document WHERE created_at >= TIMESTAMP '2024-01-20'")
 register("filter_calendar_window", lambda v: sync.filter_calendar_window(v.meeting.withColumn("stop", F.col("date") + F.expr("interval 30 minutes")), "date", "stop", MEETING_AS_OF, 3).select("id"), "kb_meeting", f"SELECT id FROM kb_meeting WHERE date <= {M} + INTERVAL 3 DAY AND date + INTERVAL 30 MINUTE >= {M} - INTERVAL 3 DAY")
 register("validate_documents", lambda v: sync.validate_documents(v.document.withColumn("updated_at", F.when(F.col("id") % 11 != 0, F.col("created_at")).otherwise(F.col("created_at") - F.expr("interval 1 day"))).withColumn("source_type", F.when(F.col("id") % 7 == 0, "fax").otherwise(F.col("source_type"))), SOURCE_TYPES).select("id", joined("reasons")), "kb_document",
@@ -382,8 +383,25 @@ prompt AS (SELECT q.query_id, concat_ws(chr(10) || chr(10), 'Answer from the sou
 SELECT query_id, length(p) AS n_chars, md5(p) AS digest FROM prompt"""))
 register("extraction_queue_status", lambda v: conversations.extraction_queue_status(v.table("events").select((F.col("event_id") % 1000).alias("id"), F.element_at(F.array(*map(F.lit, ("pending", "processing", "done"))), (F.col("user_id") % 3 + 1).cast("int")).alias("status"), F.col("ts").alias("at"))), None,
          "WITH l AS (SELECT event_id % 1000 AS id, ['pending', 'processing', 'done'][user_id % 3 + 1] AS status, ts FROM events), s AS (SELECT id, last(status ORDER BY ts, status) AS status FROM l GROUP BY 1) SELECT e.status, count(s.id) AS n FROM (SELECT unnest(['pending', 'processing', 'done', 'failed']) AS status) e LEFT JOIN s USING (status) GROUP BY 1")
-register("extraction_backlog", lambda v: conversations.extraction_backlog(v.document.select(F.col("id").alias("document_id"), F.col("created_at").alias("enqueued_at")), v.table("events").select((F.col("user_id") % 2000).alias("document_id"), F.when(F.col("event_id") % 50 == 0, "done").otherwise("failed").alias("status"))).drop("enqueued_at"), "kb_document",
-         "+ a AS (SELECT user_id % 2000 AS document_id, count(*) FILTER (event_id % 50 <> 0) AS f, bool_or(event_id % 50 = 0) AS d FROM events GROUP BY 1) SELECT k.id AS document_id, CASE WHEN coalesce(f, 0) >= 3 THEN 'failed' ELSE 'pending' END AS state FROM kb_document k LEFT JOIN a ON a.document_id = k.id WHERE NOT coalesce(d, false)")
+
+
+def attempts(v: Views) -> DataFrame:
+    kind = F.when(F.col("event_id") % 50 == 0, "done").when(F.col("event_id") % 3 > 0, "processing").otherwise("failed")
+    return v.table("events").select((F.col("user_id") % 2000).alias("document_id"), kind.alias("status"), F.col("ts").cast("timestamp").alias("at"))
+
+
+def backlog(v: Views) -> DataFrame:
+    return conversations.extraction_backlog(v.document.select(F.col("id").alias("document_id"), F.col("created_at").alias("enqueued_at")), attempts(v), MEETING_AS_OF, 2_000)
+
+
+_BACKLOG = f"""+ l AS (SELECT user_id % 2000 AS document_id, CASE WHEN event_id % 50 = 0 THEN 'done' WHEN event_id % 3 > 0 THEN 'processing' ELSE 'failed' END AS status, ts::TIMESTAMP AS made FROM events),
+a AS (SELECT document_id, count(*) FILTER (status = 'failed') AS f, bool_or(status = 'done') AS d FROM l GROUP BY 1),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY made DESC, status DESC) AS r FROM l) WHERE r = 1),
+backlog AS (SELECT k.id AS document_id, created_at, CASE WHEN coalesce(f, 0) >= 3 THEN 'failed' WHEN o.status = 'processing' AND made + INTERVAL 2000 MINUTE > {M} THEN 'processing' ELSE 'pending' END AS state
+  FROM kb_document k LEFT JOIN a ON a.document_id = k.id LEFT JOIN o ON o.document_id = k.id WHERE NOT coalesce(d, false))
+"""
+register("extraction_backlog", lambda v: backlog(v).drop("enqueued_at"), "kb_document", _BACKLOG + "SELECT document_id, state FROM backlog")
+register("claim_next", lambda v: conversations.claim_next(backlog(v), 50).select("document_id"), "kb_document", _BACKLOG + "SELECT document_id FROM backlog WHERE state = 'pending' ORDER BY created_at, document_id LIMIT 50")
 
 
 def stamped(v: Views) -> DataFrame:

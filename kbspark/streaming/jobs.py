@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.chunking import chunk_documents, embed_chunks, hashing_embedder
 from ..operators.sync import latest
@@ -26,14 +27,61 @@ def stream_ingest(stream: DataFrame, root: str, checkpoint: str, key: list[str],
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingested(spark: SparkSession, root: str, key: list[str]) -> DataFrame:
-    """The current rows: the last batch's of each key, without deleted ones."""
-    t = latest(spark.read.parquet(f"{root.rstrip('/')}/batch=*"), key, [F.col("_batch")]).drop("_batch")
+def ingested(spark: SparkSession, root: str, key: list[str], sequence: list | None = None) -> DataFrame:
+    """The current rows: of each key the last by sequence, without deleted ones.
+
+    An older version that comes in a later batch replaces nothing; the batch's number decides between equal ones. Without
+    sequence the last batch's row counts.
+    """
+    t = latest(live_batches(spark, root), key, [*(sequence or []), F.col("_batch")]).drop("_batch")
     return t.where(~F.coalesce("deleted", F.lit(False))) if "deleted" in t.columns else t
 
 
-def compact(spark: SparkSession, root: str, out: str, key: list[str]) -> str:
-    return write_version(ingested(spark, root, key), out)
+def _folders(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the folders name=number under root that a writer has finished."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    found = [f.getPath() for f in store.listStatus(path) if f.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def live_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the newest fold, and of the batches after it."""
+    root = root.rstrip("/")
+    fold = max(_folders(spark, root, "fold"), default=-1)
+    batches = [f"{root}/batch={n}" for n in _folders(spark, root, "batch") if n > fold]
+    return spark.read.option("mergeSchema", "true").parquet(*([f"{root}/fold={fold}"] if fold >= 0 else []), *batches)
+
+
+def fold_batches(spark: SparkSession, root: str, key: list[str], sequence: list | None = None) -> int:
+    """Write the current rows of all batches so far as one folder, fold=<last batch>, and return that number.
+
+    Deleted keys stay in it as such, so that older versions that come late stay out. A fold counts for readers from the
+    moment it is whole; batches under it stay for readers that began before, until forget_folded().
+    """
+    root = root.rstrip("/")
+    last = max(_folders(spark, root, "batch"), default=-1)
+    if last > max(_folders(spark, root, "fold"), default=-1):
+        latest(live_batches(spark, root), key, [*(sequence or []), F.col("_batch")]).write.mode("overwrite").parquet(f"{root}/fold={last}")
+    return last
+
+
+def forget_folded(spark: SparkSession, root: str) -> list[str]:
+    """Delete folders of batches that the newest fold holds, and older folds. For times when no reader is under way."""
+    root, jvm = root.rstrip("/"), spark.sparkContext._jvm
+    fold = max(_folders(spark, root, "fold"), default=-1)
+    gone = [f"{root}/{name}={n}" for name in ("batch", "fold") for n in _folders(spark, root, name) if n < fold or n == fold and name == "batch"]
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
+def compact(spark: SparkSession, root: str, out: str, key: list[str], sequence: list | None = None) -> str:
+    return write_version(ingested(spark, root, key, sequence), out)
 
 
 def debounce_changes(stream: DataFrame, gap: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
@@ -52,6 +100,25 @@ def stream_dedupe(stream: DataFrame, time: str, within: str, table: DataFrame |
     return new.withWatermark(time, within).dropDuplicatesWithinWatermark(["id"])
 
 
+def stream_new(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Rows (id, ...) whose id no earlier batch has written, whenever that was: the written table is the memory.
+
+    Each batch reads the ids of all earlier ones anew and adds its new rows in a folder of its number, so a batch that
+    comes again overwrites itself and no id comes twice. Of rows of a batch with one id the first by a hash stays; rows
+    without an id are skipped.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark, root = batch.sparkSession, table.rstrip("/")
+        new = latest(batch.where("id is not null"), ["id"], [F.lit(0)])
+        done = [f"{root}/batch={n}" for n in _folders(spark, root, "batch") if n < batch_id]
+        if done:
+            new = new.join(spark.read.parquet(*done).select("id"), "id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest(documents: DataFrame, embed: Callable = hashing_embedder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks with vectors, document nodes, extraction queue rows) of documents: chunk, embed, then what the tables get.
 
@@ -77,7 +144,7 @@ def stream_sources(stream: DataFrame, root: str, checkpoint: str, embed: Callabl
     def put(batch: DataFrame, batch_id: int) -> None:
         last = latest(batch, ["id"], [F.col("version")])
         at = lambda name: f"{root.rstrip('/')}/{name}/batch={batch_id}"
-        last.select("id").write.mode("overwrite").parquet(at("gone"))
+        last.select("id", "version").write.mode("overwrite").parquet(at("gone"))
         for name, rows in zip(("chunks", "nodes", "queue"), ingest(last.where(~F.coalesce("deleted", F.lit(False))), embed), strict=True):
             rows.write.mode("overwrite").parquet(at(name))
 
@@ -85,34 +152,81 @@ def stream_sources(stream: DataFrame, root: str, checkpoint: str, embed: Callabl
 
 
 def source_table(spark: SparkSession, root: str, name: str, key: str = "document_id") -> DataFrame:
-    """The current rows of one table of stream_sources: those that no later batch has deleted or replaced."""
+    """The current rows of one table of stream_sources: of each id those of the batch that told its last version."""
     rows, gone = spark.read.parquet(f"{root.rstrip('/')}/{name}"), spark.read.parquet(f"{root.rstrip('/')}/gone")
-    last = gone.groupBy(F.col("id").alias(key)).agg(F.max("batch").alias("batch"))
+    last = gone.groupBy(F.col("id").alias(key)).agg(F.max_by("batch", F.struct("version", "batch")).alias("batch"))
     return rows.join(last, [key, "batch"], "left_semi").drop("batch")
 
 
 def stream_meeting_scan(ticks: DataFrame, scan: Callable[[str], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
     """At each tick (a stream with a column `at`) the notifications of scan(as_of) that the table has not yet.
 
-    scan builds them for a moment, as meeting_prep_notifications does; ids that were written before are skipped, so a tick
-    that comes again adds nothing. The table's rows are kept a batch a folder.
+    scan builds them for a moment, as meeting_prep_notifications does. After a pause a batch holds several ticks; each is
+    scanned, and of a notification that several of them make the first stays. Ids that were written before are skipped, so
+    a tick that comes again adds nothing. The table's rows are kept a batch a folder.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        at = batch.agg(F.max("at").cast("string").alias("at")).first()["at"]
-        if at is None:
+        spark, root = batch.sparkSession, table.rstrip("/")
+        # one row a scan interval since the last batch
+        times = [r.at for r in batch.where("at is not null").select(F.col("at").cast("string").alias("at")).distinct().orderBy("at").collect()]
+        if not times:
             return
-        new, spark = scan(at), batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{table.rstrip('/')}/batch=*").where(F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("long") != batch_id)
-            new = new.join(old.select("id"), "id", "left_anti")
-        except AnalysisException:  # no batch has been written yet
-            pass
-        new.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={batch_id}")
+        found = reduce(DataFrame.unionByName, [scan(at).withColumn("_tick", F.lit(at)) for at in times])
+        new = latest(found, ["id"], [F.lit(-1) * F.unix_micros(F.col("_tick").cast("timestamp"))]).drop("_tick")
+        done = [f"{root}/batch={n}" for n in _folders(spark, root, "batch") if n != batch_id]
+        if done:
+            new = new.join(spark.read.parquet(*done).select("id"), "id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return ticks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class MeetingTimer(StatefulProcessor):
+    """State of one meeting: its date by its latest row, and a timer at the start of its lead time."""
+
+    def __init__(self, lead_minutes: int):
+        self.lead = lead_minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "told timestamp, date timestamp, due long, sent boolean")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        held = self.known.get() if self.known.exists() else None
+        best = held
+        for frame in rows:
+            for told, date in zip(frame["at"], frame["date"], strict=True):
+                if not (told is None or date is None or pd.isna(told) or pd.isna(date)) and (best is None or (told, date) >= (pd.Timestamp(best[0]), pd.Timestamp(best[1]))):
+                    best = (told.to_pydatetime(), date.to_pydatetime(), int(date.timestamp() * 1000) - self.lead, bool(held and held[3] and date == pd.Timestamp(held[1])))
+        if best is not None and best != held:
+            if held is not None and not held[3]:
+                self.handle.deleteTimer(held[2])
+            self.known.update(best)
+            if not best[3]:
+                self.handle.registerTimer(best[2])
+        yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "date": pd.Series([], dtype="datetime64[ns]")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        told, date, due, _ = self.known.get()
+        self.known.update((told, date, due, True))
+        yield pd.DataFrame({"id": [key[0]], "date": [date]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_meeting_timers(meetings: DataFrame, lead_minutes: int = 60, late: str = "0 seconds") -> DataFrame:
+    """meetings (id, date, at) as they are told -> id, date of each when its lead time begins, once for each date.
+
+    Time is that of the rows (at): a timer of each meeting fires when the stream's watermark has come to date - lead, so no
+    pause loses a meeting. A meeting that is told anew with another date has its timer moved. Rows without a time or a date
+    move nothing. The state lies in RocksDB; set spark.sql.streaming.stateStore.providerClass to its provider.
+    """
+    keyed = meetings.withWatermark("at", late).groupBy("id")
+    return keyed.transformWithStateInPandas(MeetingTimer(lead_minutes), outputStructType="id long, date timestamp", outputMode="Append", timeMode="EventTime")
+
+
 def activity_windows(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Events of each type in tumbling or sliding windows; streams and batches alike."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
