@@ -73,23 +73,24 @@ def _goals(formatted: DataFrame) -> Column:
 
 
 def expand(formatted: DataFrame) -> DataFrame:
-    """One row an example: conv_id, example (from 0), formatted (all up to its reply's end), loss_start, loss_stop.
+    """One row an example: conv_id, example (from 0), formatted (all up to its reply's end), loss_start, loss_stop, loss_byte,
+    loss_bytes, last.
 
-    Positions are code points. A conversation that does not end in a reply has one more row, whose mask is null.
+    Positions are code points; loss_byte and loss_bytes are the same mask in bytes of UTF-8. last marks a conversation's last
+    example, which holds all of it. A conversation that does not end in a reply has one more row, whose mask is null.
     """
-    return formatted.select("conv_id", "formatted", F.posexplode(_goals(formatted)).alias("example", "goal")).select(
-        "conv_id", "example", F.substring(F.col("formatted"), F.lit(1), F.col("goal.end")).alias("formatted"), F.col("goal.start").alias("loss_start"), F.col("goal.stop").alias("loss_stop"))
+    # bytes are cut, as counting code points up to each end would take far longer than copying
+    n, raw = F.size("goals"), F.col("formatted").cast("binary")
+    rows = formatted.select("conv_id", raw.alias("raw"), _goals(formatted).alias("goals")).select("conv_id", "raw", n.alias("n"), F.posexplode("goals").alias("example", "goal"))
+    upto = F.coalesce(F.col("goal.byte") + F.col("goal.bytes") + len(CLOSE) + 1, F.octet_length("raw"))
+    return rows.select(
+        "conv_id", "example", F.substring(F.col("raw"), F.lit(1), upto).cast("string").alias("formatted"), F.col("goal.start").alias("loss_start"), F.col("goal.stop").alias("loss_stop"),
+        F.col("goal.byte").alias("loss_byte"), F.col("goal.bytes").alias("loss_bytes"), (F.col("example") == F.col("n") - 1).alias("last"))
 
 
-def replies(formatted: DataFrame) -> DataFrame:
-    """The rows of expand() with what each has beyond the one before: conv_id, example, reply (under its mask, unescaped;
-    null without one) and formatted, which only the last example of a conversation has, as it holds all the others."""
-    n = F.size("goals")
-    # bytes are cut, as counting code points up to each mask would grow with the square of the turns
-    reply = lambda g: unescape(F.substring(F.col("raw"), g.byte + 1, g.bytes).cast("string"))
-    raw = formatted.select("conv_id", "formatted", F.col("formatted").cast("binary").alias("raw"), _goals(formatted).alias("goals"))
-    rows = F.transform("goals", lambda g, i: F.struct(i.alias("example"), F.when(g.start.isNotNull(), reply(g)).alias("reply"), F.when(i == n - 1, F.col("formatted")).alias("formatted")))
-    return raw.select("conv_id", F.inline(rows))
+def trained(examples: DataFrame) -> Column:
+    """The text under the mask of an example, unescaped; null without a mask."""
+    return unescape(F.substring(examples["formatted"].cast("binary"), examples["loss_byte"] + 1, examples["loss_bytes"]).cast("string"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -108,7 +109,9 @@ def query(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """Digests of each conversation, read back from its examples."""
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ROLE).alias("role"), F.lit(PROBE).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
-    back = replies(format_conversations(rows)).groupBy("conv_id").agg(
+    examples = expand(format_conversations(rows))
+    read = examples.select("conv_id", "example", trained(examples).alias("reply"), F.when(F.col("last"), F.col("formatted")).alias("formatted"))
+    back = read.groupBy("conv_id").agg(
         F.max("formatted").alias("whole"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("reply").isNotNull(), F.struct("example", "reply")))), lambda r: r.reply), "").alias("loss"))
     turns = F.transform(read_turns(F.col("whole")), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))

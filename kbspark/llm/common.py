@@ -38,11 +38,26 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
+def hadoop_path(spark: SparkSession, uri: str) -> tuple:
+    """(file system, path) by Hadoop, on the driver: any store that Spark itself can write to."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def task_dir(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one for files that tasks write and read themselves; an error at once if they could not."""
+    store, path = hadoop_path(spark, shared_dir(spark, label))
+    store.mkdirs(path)
+    folder = store.resolvePath(path).toString()
+    opened(folder)
+    return folder
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of materialised tables that nothing reads any more."""
     for t in tables:
-        store, path = opened(t._written)
-        store.delete_dir(path)
+        store, path = hadoop_path(t.sparkSession, t._written)
+        store.delete(path, True)
 
 
 def n_words(text: Column) -> Column:

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import batch_of, shared_dir
+from .common import batch_of, task_dir
 from .files import opened, write_file
 
 ROW = 576
@@ -262,6 +262,6 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    folder = shared_dir(docs.sparkSession, "media")
+    folder = task_dir(docs.sparkSession, "media")
     archive(encoded(docs), folder)
     return features(read_archive(docs.sparkSession, folder))

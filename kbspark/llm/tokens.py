@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, shared_dir, short_batches, slices
+from .common import batch_of, task_dir, short_batches, slices
 from .files import opened
 from .tokenizing import encoder
 
@@ -105,7 +105,7 @@ class ShardReader:
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) -> list:
     """Encode docs (doc_id, text) into shards under folder; returns a row for each shard, in order of doc_id."""
-    folder = folder or shared_dir(docs.sparkSession, "tokens")
+    folder = folder or task_dir(docs.sparkSession, "tokens")
     short_batches(docs.sparkSession)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
