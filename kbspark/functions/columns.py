@@ -30,13 +30,15 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
-#: Links, embeds and tags of notes.
+#: Links, embeds, tags, code and callouts of notes.
 LINK, EMBED, TAG = r"(?<!!)\[\[([^\[\]]+?)\]\]", r"!\[\[([^\[\]|]+?)(?:\|[^\[\]]*?)?\]\]", r"(?U)(?<!\S)#([\w/][\w/.-]*)"
+FENCED, INLINE = r"(?s)```.*?```|~~~.*?~~~", r"`[^`]*`"
+CALLOUT = r"(?Umd)^>\s*\[!(\w+)\][ \t]*(.*?)[ \t]*$"
 
 
 def masked_code(text: Column) -> Column:
     """Code fenced by ``` or ~~~, then inline code (over line breaks too), gives way to a blank."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```|~~~.*?~~~", " "), r"`[^`]*`", " ")
+    return F.regexp_replace(F.regexp_replace(text, FENCED, " "), INLINE, " ")
 
 
 def extract_wikilinks(text: Column) -> Column:
@@ -57,7 +59,7 @@ def extract_tags(text: Column, front_matter: Column) -> Column:
 
 def extract_callouts(text: Column) -> Column:
     """Array of (type, title)."""
-    p = F.lit(r"(?Umd)^>\s*\[!(\w+)\][ \t]*(.*?)[ \t]*$")
+    p = F.lit(CALLOUT)
     return F.transform(F.arrays_zip(F.regexp_extract_all(text, p, 1).alias("a"), F.regexp_extract_all(text, p, 2).alias("b")), lambda x: F.struct(F.upper(x["a"]).alias("type"), x["b"].alias("title")))
 
 

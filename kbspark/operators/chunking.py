@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,23 +27,20 @@ def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50) -> Data
 
 def sentences(text: str, size: int, overlap: int) -> list[str]:
     """Greedy packs of sentences up to `size` words; up to `overlap` words of whole sentences are carried on."""
-    parts = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
     out: list[str] = []
-    pack: list[str] = []
-    fresh = False
-    count = lambda p: sum(len(s.split()) for s in p)
-    for s in parts:
+    pack: deque[tuple[str, int]] = deque()
+    held = 0  # words in the pack
+    for s in re.split(r"(?<=[.!?])\s+", text.strip()):
         words = s.split()
-        pieces = [" ".join(words[i : i + size]) for i in range(0, len(words), size)] if len(words) > size else [s]
-        for piece in pieces:
-            if pack and count(pack) + len(piece.split()) > size:
-                if fresh:
-                    out.append(" ".join(pack))
-                while pack and (count(pack) > overlap or count(pack) + len(piece.split()) > size):
-                    pack.pop(0)
-            pack.append(piece)
-            fresh = True
-    return [*out, " ".join(pack)] if pack and fresh else out
+        for piece in [" ".join(words[i : i + size]) for i in range(0, len(words), size)] if len(words) > size else [s] if s else []:
+            n = min(len(words), size) if len(words) <= size else len(piece.split())
+            if pack and held + n > size:
+                out.append(" ".join(p for p, _ in pack))
+                while pack and (held > overlap or held + n > size):
+                    held -= pack.popleft()[1]
+            pack.append((piece, n))
+            held += n
+    return [*out, " ".join(p for p, _ in pack)] if pack else out
 
 
 def chunk_sentences(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:

@@ -85,7 +85,7 @@ def filter_mail(mails: DataFrame, folders: DataFrame | None = None, allow: list[
 
     With a list of domains a mail without a sender's address goes.
     """
-    m = mails.join(F.broadcast(folders.select("folder_id", F.col("name").alias("_f"))), "folder_id", "left") if folders is not None else mails.withColumn("_f", F.lit(None).cast("string"))
+    m = mails.join(folders.select("folder_id", F.col("name").alias("_f")), "folder_id", "left") if folders is not None else mails.withColumn("_f", F.lit(None).cast("string"))
     name = F.coalesce("_f", F.lit(""))
     m = m.where(name.isin(*allow)) if allow else m
     m = m.where(~name.isin(*exclude)) if exclude else m

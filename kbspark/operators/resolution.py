@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import document_id, normalise_name
@@ -54,6 +54,18 @@ def _leftovers(name: str, most: int):
     return F.array_distinct(every)
 
 
+def _rare_pairs(a: DataFrame, b: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of names (type, name) of two tables: the rarest `most` pairs of neighbouring letters of each, as type, name, gram, nth
+    (the how manieth such pair of the name it is)."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring(F.col("name"), i, F.lit(2)))
+    both = a.unionByName(b).distinct().where(F.length("name") > most).select("type", "name", F.posexplode(pairs).alias("at", "gram"))
+    both = both.select("type", "name", "gram", F.row_number().over(Window.partitionBy("type", "name", "gram").orderBy("at")).alias("nth"))
+    often = both.groupBy("type", "gram", "nth").agg(F.count(F.lit(1)).alias("_often"))
+    rank = F.row_number().over(Window.partitionBy("type", "name").orderBy("_often", "gram", "nth"))
+    rare = both.join(often, ["type", "gram", "nth"]).withColumn("_rank", rank).where(F.col("_rank") <= most).select("type", "name", "gram", "nth")
+    return rare.join(a, ["type", "name"], "left_semi"), rare.join(b, ["type", "name"], "left_semi")
+
+
 def fuzzy_join(a: DataFrame, b: DataFrame, max_dist: int = 2, min_dist: int = 0) -> DataFrame:
     """a (type, name) and b (type, name) -> type, a_name, b_name, distance: all pairs of distinct names of a type within max_dist.
 
@@ -61,8 +73,9 @@ def fuzzy_join(a: DataFrame, b: DataFrame, max_dist: int = 2, min_dist: int = 0)
     a, moved by at most max_dist, and lengths differ by at most max_dist. Shorter names than segments meet by length.
     A segment that more than CROWD names of b share (a common prefix, say) is no key. For distances of 2 or less its names
     meet under what is left of both after at most max_dist letters are taken out, which two names within the distance
-    always share and few others do. For larger distances, where such leftovers would be too many, it stays a key: there
-    names that share most of their letters are mostly within the distance, so the result is as large.
+    always share and few others do. For larger distances, where such leftovers would be too many, its names meet under their
+    rarest pairs of letters: max_dist edits touch 2 * max_dist pairs at most, so of the 2 * max_dist + 1 rarest of either
+    name one is among those of the other. Names with too few pairs for that keep the segment as a key.
     Null names and types match nothing; repeated names are one; empty inputs give no rows.
     """
     parts = max_dist + 1
@@ -74,11 +87,16 @@ def fuzzy_join(a: DataFrame, b: DataFrame, max_dist: int = 2, min_dist: int = 0)
     begin, end = F.floor(F.col("no") * F.col("len") / parts).cast("int"), F.floor((F.col("no") + 1) * F.col("len") / parts).cast("int")
     probe = probe.where(begin + F.col("shift") >= 0).select("type", "a_name", "len", "no", F.substring("a_name", begin + F.col("shift") + 1, end - begin).alias("seg")).distinct()
     key = ["type", "len", "no", "seg"]
+    crowded = cuts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).drop("_n")
+    pairs = probe.join(cuts.join(crowded, key, "left_anti"), key).select("type", "a_name", "b_name")
     if max_dist > 2:
-        pairs = probe.join(cuts, key).select("type", "a_name", "b_name")
+        # at most max_dist letters longer or shorter, so both names of a pair are short or neither is
+        few = lambda c: F.length(c) <= 2 * max_dist + 1
+        inside = cuts.join(crowded, key, "left_semi")
+        pairs = pairs.unionByName(probe.where(F.col("len") <= 3 * max_dist + 1).join(inside, key).where(few("a_name") | few("b_name")).select("type", "a_name", "b_name"))
+        grams = _rare_pairs(probe.join(crowded, key, "left_semi").select("type", F.col("a_name").alias("name")).distinct(), inside.select("type", F.col("b_name").alias("name")).distinct(), 2 * max_dist + 1)
+        pairs = pairs.unionByName(grams[0].withColumnRenamed("name", "a_name").join(grams[1].withColumnRenamed("name", "b_name"), ["type", "gram", "nth"]).select("type", "a_name", "b_name"))
     else:
-        crowded = cuts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).drop("_n")
-        pairs = probe.join(cuts.join(crowded, key, "left_anti"), key).select("type", "a_name", "b_name")
         less = lambda df, name: df.join(crowded, key, "left_semi").select("type", name).distinct().select("type", name, F.explode(_leftovers(name, max_dist)).alias("left"))
         pairs = pairs.unionByName(less(probe, "a_name").join(less(cuts, "b_name"), ["type", "left"]).select("type", "a_name", "b_name"))
     short = right.where(F.length("b_name") < parts).select("type", "b_name", F.length("b_name").alias("len"))

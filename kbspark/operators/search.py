@@ -228,12 +228,19 @@ def facet_tags(ranked: DataFrame, documents: DataFrame, n: int = 10) -> DataFram
 
 
 def suggest(prefixes: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
-    """prefixes (prefix) x names (label, name): the first n names of each prefix, case ignored. Joined on first characters."""
-    p = prefixes.select("prefix", F.lower("prefix").alias("_p")).withColumn("_key", F.substring("_p", 1, 1))
-    d = names.where(F.col("name").isNotNull()).select("label", "name").distinct().withColumn("_n", F.lower("name")).withColumn("_key", F.substring("_n", 1, 1))
-    hits = d.join(p, "_key").where(F.col("_n").startswith(F.col("_p")))
-    each = top(hits, ["prefix", "label"], [F.col("name")], n)
-    return top(each.select("prefix", "name").distinct(), ["prefix"], [F.col("name")], n)
+    """prefixes (prefix) x names (label, name): the first n names of each prefix, case ignored.
+
+    Names give a row for each length that is asked for and meet the prefixes by equality; of each prefix and label n names
+    are left before anything else is done, so a prefix that very many names share costs no more than n of each task. Null
+    names and prefixes match nothing.
+    """
+    asked = prefixes.where("prefix is not null").select("prefix", F.lower("prefix").alias("_p")).distinct()
+    lengths = sorted(r[0] for r in asked.select(F.length("_p")).distinct().collect()) or [0]  # as many as the longest prefix has letters
+    d = names.where(F.col("name").isNotNull()).select("label", "name").distinct()
+    heads = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length(F.lower("name"))), lambda k: F.substring(F.lower("name"), F.lit(1), k))
+    keyed = d.select("label", "name", F.explode(heads).alias("_p")).join(asked.select("_p").distinct(), "_p", "left_semi")
+    each = top(keyed, ["_p", "label"], [F.col("name")], n).select("_p", "name").distinct()
+    return top(asked.join(each, "_p").select("prefix", "name").distinct(), ["prefix"], [F.col("name")], n)
 
 
 def filter_tags(documents: DataFrame, tags: list[str]) -> DataFrame:

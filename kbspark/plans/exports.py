@@ -91,8 +91,8 @@ def tickets(v: Views) -> DataFrame:
 
 register("tickets_to_documents", lambda v: normalise.tickets_to_documents(tickets(v), "https://j.example/", MEETING_AS_OF).select("source_id", "title", F.md5("content").alias("digest"), joined("tags"), joined("participants"), "url", F.unix_seconds("created_at").alias("created"), F.col("custom")["sprint"].alias("sprint"), F.col("custom")["story_points"].alias("points")), None,
          "SELECT 'P-' || o_orderkey AS source_id, 'P-' || o_orderkey || ': ' || o_orderpriority AS title, md5(concat_ws(chr(10) || chr(10), 'P-' || o_orderkey || ': ' || o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 'more' END, '[' || CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'Unknown' END || ' - ' || strftime(o_orderdate, '%Y-%m-%d') || ']: done')) AS digest, 'l|component:api' AS tags, concat_ws('|', o_custkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey + 1 END) AS participants, 'https://j.example/browse/P-' || o_orderkey AS url, epoch(o_orderdate::TIMESTAMP)::BIGINT AS created, 'S1' AS sprint, '3.0' AS points FROM orders")
-register("ticket_graph", lambda v: normalise.ticket_graph(tickets(v))[1].where("rel_type <> 'MENTIONED_IN'"), None,
-         "SELECT 'ASSIGNED_TO' AS rel_type, 'ActionItem' AS from_label, 'P-' || o_orderkey AS from_id, 'Person' AS to_label, (o_custkey + 1)::VARCHAR AS to_id FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT 'BLOCKS', 'ActionItem', 'P-' || (o_orderkey + 1), 'ActionItem', 'P-' || o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
+register("ticket_graph", lambda v: normalise.ticket_graph(tickets(v))[1], None,
+         f"SELECT 'MENTIONED_IN' AS rel_type, 'Person' AS from_label, o_custkey::VARCHAR AS from_id, 'Document' AS to_label, {uuid_sql('jira_issue', chr(39) + 'P-' + chr(39) + ' || o_orderkey')} AS to_id FROM orders UNION ALL SELECT 'ASSIGNED_TO' AS rel_type, 'ActionItem' AS from_label, 'P-' || o_orderkey AS from_id, 'Person' AS to_label, (o_custkey + 1)::VARCHAR AS to_id FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT 'BLOCKS', 'ActionItem', 'P-' || (o_orderkey + 1), 'ActionItem', 'P-' || o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
 register("ticket_nodes", lambda v: normalise.ticket_graph(tickets(v))[0], None,
          "SELECT 'ActionItem' AS label, 'P-' || o_orderkey AS id FROM orders UNION SELECT 'Person', o_custkey::VARCHAR FROM orders UNION SELECT 'Person', (o_custkey + 1)::VARCHAR FROM orders WHERE o_orderkey % 4 <> 0 UNION SELECT 'Project', 'P' FROM orders UNION SELECT 'Topic', 'S1' FROM orders")
 
@@ -114,6 +114,20 @@ register("extract_wikilinks", lambda v: notes(v).select("id", F.array_join(C.ext
          "SELECT id, source_id AS links, 'img' || id AS embeds, 'NOTE:T' || id AS callouts FROM kb_document")
 register("strip_note_syntax", lambda v: notes(v).select("id", F.md5(C.strip_note_syntax(F.concat(F.lit(" "), F.col("text")))).alias("digest")), "kb_document",
          f"SELECT id, md5(regexp_replace(regexp_replace('shown  `code no`' || chr(10) || '~~~' || chr(10) || 'no no' || chr(10) || '~~~' || chr(10) || '> [!note] T' || id || ' ' || chr(10) || 'v1.' || id || ' ' || source_id || '/é' || chr(10) || regexp_replace(' ' || coalesce(content, ''), '(^|[ \\t\\n\\r\\f\\v])#({_WORD})', '\\1\\2', 'g')[2:], '^[ \\t\\n\\r\\f\\v]+', ''), '[ \\t\\n\\r\\f\\v]+$', '')) AS digest FROM kb_document")
+
+
+def vault_files(v: Views) -> DataFrame:
+    """A file of each document: with front matter, with malformed front matter, or without."""
+    k = F.col("id").cast("string")
+    good = F.concat(F.lit('---\ntitle: "Note '), k, F.lit('"\ntags: [b'), k, F.lit(", a]\nn: 3\n---\n"))
+    head = F.when(F.col("id") % 3 == 0, good).when(F.col("id") % 3 == 1, "---\n: [bad\n---\n").otherwise("")
+    return v.document.select(F.concat(F.lit("Notes/"), "source_id", F.lit("/n"), k, F.lit(".md")).alias("path"), F.lit(MEETING_AS_OF).cast("timestamp").alias("mtime"), F.concat(head, F.lit("Start "), F.coalesce("content", F.lit(""))).alias("text"), "id")
+
+
+register("parse_front_matter", lambda v: normalise.parse_front_matter(vault_files(v)).select("id", F.col("front")["title"].alias("title"), F.col("front")["tags"].alias("tags"), F.col("front")["n"].alias("n"), F.md5("body").alias("digest")), "kb_document",
+         """SELECT id, CASE WHEN id % 3 = 0 THEN 'Note ' || id END AS title, CASE WHEN id % 3 = 0 THEN '["b' || id || '", "a"]' END AS tags, CASE WHEN id % 3 = 0 THEN '3' END AS n, md5('Start ' || coalesce(content, '')) AS digest FROM kb_document""")
+register("vault_to_documents", lambda v: normalise.vault_to_documents(vault_files(v), "V", MEETING_AS_OF).select("id", "title", "source_id", "url", F.array_join(F.slice("tags", 1, 2), "|").alias("tags"), F.unix_seconds("created_at").alias("created")).withColumn("tags", F.when(F.col("title").startswith("Note "), F.col("tags"))), "kb_document",
+         f"SELECT {uuid_sql('obsidian', chr(39) + 'Notes/' + chr(39) + ' || source_id || ' + chr(39) + '/n' + chr(39) + ' || id || ' + chr(39) + '.md' + chr(39))} AS id, CASE WHEN id % 3 = 0 THEN 'Note ' || id ELSE 'n' || id END AS title, 'Notes/' || source_id || '/n' || id || '.md' AS source_id, 'obsidian://open?vault=V&file=Notes%2F' || source_id || '%2Fn' || id || '.md' AS url, CASE WHEN id % 3 = 0 THEN 'b' || id || '|a' END AS tags, epoch(TIMESTAMP '{MEETING_AS_OF}')::BIGINT AS created FROM kb_document")
 register("filter_vault_paths", lambda v: normalise.filter_vault_paths(v.table("documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".md").otherwise(".txt"))).alias("path")), ["src1*", "fr/"], [".md"]), None,
          "SELECT concat_ws('/', source, lang, doc_id || CASE doc_id % 3 WHEN 0 THEN '.MD' ELSE '.md' END) AS path FROM documents WHERE NOT starts_with(coalesce(source, ''), 'src1') AND coalesce(lang, '') <> 'fr' AND doc_id % 3 <> 2")
 register("link_edges", lambda v: graph.link_edges(v.document.select("id", F.concat(F.lit("T"), (F.col("id") % 500).cast("string")).alias("title"), F.array(F.concat(F.lit("t"), ((F.col("id") * 7) % 500).cast("string")), F.lit("nowhere")).alias("links"))).select("from_id", "to_id"), None,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import chunking, contradictions, conversations, graph, mentions, normalise, proactive, resolution, schedule, search, sync, vector_index
+from ..operators.components import with_checkpoints
 from ..streaming import jobs
 from .views import MEETING_AS_OF, SCHEDULE_AS_OF, SOURCE_TYPES, Views, with_views
 
@@ -112,8 +113,8 @@ register("recency_decay", lambda v: v.document.select("id", F.round(C.recency_de
 
 register("get_relationships", lambda v: graph.get_relationships(v.edges, "RELATED_TO", from_id=5), "edges", "SELECT * FROM edges WHERE rel_type = 'RELATED_TO' AND from_id = 5")
 register("list_entities", lambda v: graph.list_entities(v.nodes, None, "-1"), "nodes", "SELECT * FROM nodes WHERE label <> 'Document' AND contains(lower(name), '-1')")
-register("entity_details", lambda v: graph.entity_details(v.nodes, v.edges).where("label in ('Person', 'Topic', 'Meeting')").select("label", "id", "name", joined("relations")), "nodes edges",
-         "SELECT label, id, name, coalesce((SELECT string_agg(r, '|' ORDER BY r) FROM (SELECT from_label, from_id, rel_type || ':' || to_label || ':' || to_id AS r FROM edges) e WHERE e.from_label = nodes.label AND e.from_id = nodes.id), '') AS relations FROM nodes WHERE label IN ('Person', 'Topic', 'Meeting')")
+register("entity_details", lambda v: graph.entity_details(v.nodes, v.edges).select("label", "id", "name", joined("relations")), "nodes edges",
+         "SELECT label, id, name, coalesce((SELECT string_agg(r, '|' ORDER BY r) FROM (SELECT from_label, from_id, rel_type || ':' || to_label || ':' || to_id AS r FROM edges) e WHERE e.from_label = nodes.label AND e.from_id = nodes.id), '') AS relations FROM nodes")
 register("relationships_touching", lambda v: graph.relationships_touching(v.edges, v.person.where("id % 10 = 0").select(F.lit("Person").alias("label"), "id")), "edges", "SELECT DISTINCT * FROM edges WHERE (from_label = 'Person' AND from_id % 10 = 0 AND from_id IN (SELECT c_custkey FROM customer)) OR (to_label = 'Person' AND to_id % 10 = 0 AND to_id IN (SELECT c_custkey FROM customer))")
 register("entity_labels", lambda v: graph.entity_labels(v.nodes), "nodes", "SELECT id, label, name FROM (SELECT id, label, coalesce(nullif(trim(name), ''), id::VARCHAR) AS name, row_number() OVER (PARTITION BY id ORDER BY list_position(['Person', 'Project', 'Topic', 'Decision', 'ActionItem', 'Meeting', 'Document'], label), label, coalesce(nullif(trim(name), ''), id::VARCHAR)) AS r FROM nodes) WHERE r = 1")
 
@@ -249,7 +250,7 @@ _CTX = "kb_meeting attended mentioned_in kb_document assigned_to kb_action_item
 register("meeting_context", context, _CTX, _CONTEXT + "SELECT * FROM ctx")
 register("meeting_prep_notifications", lambda v: proactive.meeting_prep_notifications(proactive.upcoming_meetings(v.meeting, MEETING_AS_OF, LEAD), context(v), v.person, v.meeting.where("id % 7 = 0").select(F.concat(F.lit("meeting_prep_"), F.col("id").cast("string")).alias("id"))), _CTX,
          _CONTEXT + ", n AS (SELECT meeting_id, string_agg(name, ', ' ORDER BY name) AS w FROM ctx JOIN kb_person p ON p.id = ctx.id WHERE part = 'attendee' AND rank <= 3 GROUP BY 1), c AS (SELECT meeting_id, count(*) AS k FROM ctx WHERE part = 'item' GROUP BY 1) SELECT 'meeting_prep_' || up.id AS id, 'meeting_prep' AS type, 'Upcoming: ' || coalesce(nullif(title, ''), 'Meeting') AS title, CASE WHEN w IS NULL AND k IS NULL THEN 'Meeting starting soon' ELSE concat_ws('; ', 'Attendees: ' || w, k || ' open action items') END AS summary, 'high' AS priority, '{\"meeting_id\":\"' || up.id || '\"}' AS data FROM up LEFT JOIN n ON n.meeting_id = up.id LEFT JOIN c ON c.meeting_id = up.id WHERE up.id % 7 <> 0")
-register("related_notifications", lambda v: proactive.related_notifications(proactive.related_alerts(related(v, 0.02)), v.document).withColumn("data", F.regexp_replace("data", ",\"connection_strength.*", "")), "edges kb_document", _RELATED + "SELECT 'related_' || document_id AS id, 'related_content' AS type, 'Related content: ' || coalesce(title, '') AS title, 'Connected to ' || n || ' existing document(s) via shared entities' AS summary, 'low' AS priority, '{\"new_doc_id\":' || document_id || ',\"related_doc_ids\":[' || o || ']' AS data FROM (SELECT document_id, count(*) AS n, string_agg(other_id, ',' ORDER BY score DESC, other_id) FILTER (r <= 5) AS o FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, other_id) AS r FROM related WHERE score >= 0.02) GROUP BY 1) JOIN kb_document d ON d.id = document_id")
+register("related_notifications", lambda v: proactive.related_notifications(proactive.related_alerts(related(v, 0.02)), v.document), "edges kb_document", _RELATED + "SELECT 'related_' || document_id AS id, 'related_content' AS type, 'Related content: ' || coalesce(title, '') AS title, 'Connected to ' || n || ' existing document(s) via shared entities' AS summary, 'low' AS priority, '{\"new_doc_id\":' || document_id || ',\"related_doc_ids\":[' || o || '],\"connection_strength\":' || strength || '}' AS data FROM (SELECT document_id, count(*) AS n, round(max(score), 3)::DOUBLE AS strength, string_agg(other_id, ',' ORDER BY score DESC, other_id) FILTER (r <= 5) AS o FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, other_id) AS r FROM related WHERE score >= 0.02) GROUP BY 1) JOIN kb_document d ON d.id = document_id")
 register("list_notifications", lambda v: proactive.list_notifications(v.notification, True, 20, 10).select("id", "type"), "kb_notification", "SELECT id, type FROM kb_notification WHERE NOT read ORDER BY created_at DESC, id LIMIT 20 OFFSET 10")
 register("unread_count", lambda v: proactive.unread_count(v.notification), "kb_notification", "SELECT count(*) FILTER (NOT read) AS unread FROM kb_notification")
 register("mark_read", lambda v: proactive.mark_read(v.notification, v.notification.where("id % 3 = 0").select("id")).select("id", "read"), "kb_notification", "SELECT id, read OR id % 3 = 0 AS read FROM kb_notification")
@@ -336,14 +337,20 @@ ch AS (SELECT document_id, idx, CASE WHEN len(words) <= 512 THEN content ELSE ar
 """
 register("chunk_documents", lambda v: chunking.chunk_documents(v.document).select("document_id", "idx", F.md5("text").alias("digest")), "kb_document", _CHUNKS + "SELECT document_id, idx, md5(text) AS digest FROM ch")
 register("chunk_table", lambda v: chunking.chunk_table(v.document, chunking.chunk_documents(v.document)).select("chunk_id", "document_id", "source_type", "status"), "kb_document", _CHUNKS + "SELECT document_id || ':' || idx AS chunk_id, document_id, source_type, 'indexed' AS status FROM ch JOIN kb_document ON id = document_id")
-register("chunk_sentences", lambda v: chunking.chunk_sentences(v.document).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars")), "kb_document", r"""+ parts AS (SELECT id AS document_id, list_transform(list_filter(string_split(regexp_replace(trim(regexp_replace(content, '[\s\v]', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: {'text': x, 'words': list_filter(string_split(x, ' '), lambda w: w <> '')}) AS parts FROM kb_document),
-pieces AS (SELECT document_id, flatten(list_transform(parts, lambda p: CASE WHEN len(p.words) <= 512 THEN [{'n': len(p.words), 'chars': length(p.text)}] ELSE list_transform(range(0, len(p.words), 512), lambda i: {'n': len(p.words[i + 1 : i + 512]), 'chars': length(array_to_string(p.words[i + 1 : i + 512], ' '))}) END)) AS p FROM parts),
+def whole_chunks(chunks: DataFrame) -> DataFrame:
+    """Of each document the number of chunks, and a digest of all of them in order, with each white space as a blank."""
+    texts = F.sort_array(F.collect_list(F.struct("idx", F.regexp_replace("text", r"[\s\x0b]", " ").alias("t"))))
+    return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(texts, lambda x: x.t), "|")).alias("digest"))
+
+
+register("chunk_sentences", lambda v: whole_chunks(chunking.chunk_sentences(v.document)), "kb_document", r"""+ parts AS (SELECT id AS document_id, list_transform(list_filter(string_split(regexp_replace(trim(regexp_replace(content, '[\s\v]', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: {'text': x, 'words': list_filter(string_split(x, ' '), lambda w: w <> '')}) AS parts FROM kb_document),
+pieces AS (SELECT document_id, flatten(list_transform(parts, lambda p: CASE WHEN len(p.words) <= 512 THEN [{'n': len(p.words), 'chars': p.text}] ELSE list_transform(range(0, len(p.words), 512), lambda i: {'n': len(p.words[i + 1 : i + 512]), 'chars': array_to_string(p.words[i + 1 : i + 512], ' ')}) END)) AS p FROM parts),
 sums AS (SELECT document_id, p, len(p) AS n, list_transform(range(0, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1 : i], lambda x: x.n)), 0)::BIGINT) AS upto FROM pieces WHERE len(p) > 0),
 -- first piece of the open chunk last; before it, first and last piece of each whole one
 cuts AS (SELECT document_id, p, list_reduce([[1::BIGINT]] || list_transform(range(1, n + 1), lambda i: [i]), lambda s, x: CASE WHEN x[1] = s[-1] OR upto[x[1] + 1] - upto[s[-1]] <= 512 THEN s
   ELSE s || [x[1] - 1, list_filter(range(s[-1], x[1] + 1), lambda k: upto[x[1]] - upto[k] <= 50 AND upto[x[1] + 1] - upto[k] <= 512)[1]] END) || [n] AS c FROM sums),
 spans AS (SELECT document_id, p, c, unnest(range(0, len(c), 2)) AS i FROM cuts)
-SELECT document_id, count(*) AS n, sum((list_sum(list_transform(p[c[i + 1] : c[i + 2]], lambda x: x.chars)) + c[i + 2] - c[i + 1]))::BIGINT AS n_chars FROM spans GROUP BY 1""")
+SELECT document_id, count(*) AS n, md5(string_agg(array_to_string(list_transform(p[c[i + 1] : c[i + 2]], lambda x: x.chars), ' '), '|' ORDER BY i)) AS digest FROM spans GROUP BY 1""")
 register("embed_chunks", lambda v: chunking.embed_chunks(chunking.chunk_documents(v.document)).select("document_id", "idx", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm2")), "kb_document", _CHUNKS + """, tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
 said AS (SELECT document_id, idx, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS word FROM ch),
 spelt AS (SELECT word, list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::UBIGINT) AS bytes FROM (SELECT DISTINCT word FROM said)),
@@ -367,6 +374,20 @@ register("fuzzy_join", lambda v: resolution.fuzzy_join(*names(v)), None, _NAMES
 register("ambiguous_pairs", lambda v: resolution.ambiguous_pairs(*names(v)), None, _NAMES + "SELECT 'topic' AS type, a_name, b_name, distance FROM pairs WHERE distance BETWEEN 3 AND 5")
 register("match_entities", lambda v: resolution.match_entities(names(v)[0].select(F.col("id").alias("mention_id"), "type", "name", F.lit("").alias("email")), names(v)[1].withColumn("email", F.lit(""))).withColumn("node_id", F.coalesce("node_id", F.lit(-1))), None,
          _NAMES + ", ids AS (SELECT name, min(id) AS node_id FROM n GROUP BY 1), hits AS (SELECT m.id AS mention_id, CASE WHEN distance = 0 THEN 1 ELSE 2 END AS p, distance, node_id FROM m JOIN pairs ON a_name = m.name JOIN ids ON ids.name = b_name WHERE distance <= 2), best AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY p, distance, node_id) AS r FROM hits) SELECT m.id AS mention_id, coalesce(node_id, -1) AS node_id, CASE p WHEN 1 THEN 'name' WHEN 2 THEN 'fuzzy' END AS method FROM m LEFT JOIN best ON mention_id = m.id AND r = 1")
+
+
+def entities(v: Views) -> DataFrame:
+    """Names of both tables, near ones as one, with ids."""
+    with_checkpoints(v.spark)
+    every = names(v)[0].select("type", "name").unionByName(names(v)[1].select("type", "name")).distinct()
+    return resolution.assign_entity_ids(resolution.resolve_new(v.spark, every, lambda df: df.checkpoint()))
+
+
+register("resolve_entities", entities, None, _NAMES.replace("WITH n AS", "WITH RECURSIVE n AS") + """, own AS (SELECT name FROM dm UNION SELECT name FROM dn),
+near AS (SELECT a.name AS x, b.name AS y FROM own a, own b WHERE abs(length(a.name) - length(b.name)) <= 2 AND a.name <> b.name AND levenshtein(a.name, b.name) <= 2),
+reach(x, y) AS (SELECT name, name FROM own UNION SELECT reach.x, near.y FROM reach JOIN near ON near.x = reach.y),
+least AS (SELECT x AS name, min(y) AS canonical FROM reach GROUP BY 1)
+SELECT 'topic' AS type, name, canonical, """ + uuid_sql("entity", "'topic:' || canonical") + " AS entity_id FROM least")
 register("add_aliases", lambda v: resolution.add_aliases(v.person.select("id", F.lit("person").alias("type"), "name", F.array(F.lit("boss")).alias("aliases")), v.table("orders").select(F.col("o_custkey").alias("node_id"), F.concat(F.lit("alias"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))).select("id", joined("aliases")), "kb_person",
          "SELECT p.id, array_to_string(['boss'] || coalesce(list_sort(list_distinct(list('alias' || o_orderkey % 3) FILTER (o_orderkey IS NOT NULL))), []), '|') AS aliases FROM kb_person p LEFT JOIN orders ON o_custkey = p.id GROUP BY p.id")
 
@@ -408,6 +429,7 @@ def stamped(v: Views) -> DataFrame:
     return v.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+register("activity_windows_sliding", lambda v: jobs.activity_windows(stamped(v), "1 day", "6 hours").withColumn("start", F.unix_seconds("start")), None, "SELECT event_type, (epoch(ts)::BIGINT // 21600 - k) * 21600 AS start, count(*) AS n FROM events, (SELECT unnest(range(4)) AS k) GROUP BY 1, 2")
 register("activity_windows", lambda v: jobs.activity_windows(stamped(v), "1 day").withColumn("start", F.unix_seconds("start")), None, "SELECT event_type, epoch(date_trunc('day', ts))::BIGINT AS start, count(*) AS n FROM events GROUP BY 1, 2")
 register("activity_sessions", lambda v: jobs.activity_sessions(stamped(v), "1 hour").withColumn("start", F.unix_micros("start")), None, "WITH e AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT user_id, min(epoch_us(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, g")
 register("debounce_changes", lambda v: jobs.debounce_batch(stamped(v).select((F.col("user_id")).alias("path"), "ts", F.col("event_type").alias("event")), 600).withColumn("start", F.unix_micros("start")), None,
