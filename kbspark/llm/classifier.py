@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, short_batches, slices, texts
+from .common import batch_of, give_back, short_batches, slices, texts
 from .words import Words, each, mixed
 
 WORDS, FORMS, WIDTH = 1 << 16, 1024, 32
@@ -242,7 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     x, y = np.zeros((len(rows), INPUTS), np.float32), np.array([r.y for r in rows], int)
     while rows:  # what has been copied goes at once
         x[len(rows) - 1] = np.frombuffer(rows.pop().x, np.float32)
-    return vectors, train(x, y)
+    net = train(x, y)
+    del x
+    give_back()
+    return vectors, net
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -77,15 +77,20 @@ def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the machine at once; workers and the driver live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Non-empty parts of batches: what a worker makes of one part stays small. A task's freed memory goes back at its end."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library; workers live on between tasks
-    if trim:
-        trim(0)
+    give_back()
 
 
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

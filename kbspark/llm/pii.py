@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, short_batches, slices
+from .common import batch_of, give_back, short_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -374,13 +374,13 @@ def train(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, see
     field = Field(np.zeros((FEATURES, n)), np.zeros((n, n)), np.zeros(n))
     if not (y > 0).any():
         return field
-    before, after, linked = np.full(len(y), -1), np.full(len(y), -1), np.zeros((len(y), n))
+    before, after, linked = np.full(len(y), -1, np.int8), np.full(len(y), -1, np.int8), np.zeros((len(y), n), np.float32)
     before[chain[:, 1]], after[chain[:, 0]] = y[chain[:, 0]], y[chain[:, 1]]
     for a, b in ((0, 1), (1, 0)):
         known = skip[y[skip[:, b]] >= 0]
         np.add.at(linked, (known[:, a], y[known[:, b]]), 1)
     rng, seen = np.random.default_rng(seed), [np.full_like(w, 1e-6) for w in (field.unary, field.bigram, field.agree)]
-    own = np.flatnonzero(y >= 0)
+    own = np.flatnonzero(y >= 0).astype(np.int32)
     for _ in range(EPOCHS):
         mix = rng.permutation(own)
         for at in range(0, len(mix), 512):
@@ -434,11 +434,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")  # `sample` ids at most
     least = known.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"))  # of a repeated doc_id, whatever the order of rows
     rows = sorted(least.mapInArrow(run, "doc_id long, k long, x binary, y binary, chain binary, skip binary").collect(), key=lambda r: (r.doc_id, r.k))
-    parts = [[np.frombuffer(v, kind) for v, kind in zip(r[2:], _KINDS, strict=True)] for r in rows]
-    del rows
-    first = np.cumsum([0, *(len(p[1]) for p in parts)])
-    joined = lambda k: np.concatenate([np.zeros(0, _KINDS[k]), *((p[k] + first[i] if k > 1 else p[k]) for i, p in enumerate(parts))])
-    return train(joined(0).reshape(-1, N_FEATURES), joined(1), joined(2).reshape(-1, 2), joined(3).reshape(-1, 2))
+    sizes = [len(r.y) for r in rows]  # a byte a label
+    first = np.cumsum([0, *sizes])
+    every = []
+    for k, kind in enumerate(_KINDS):  # one column after the other, so that little is held twice
+        own = [np.frombuffer(r[2 + k], kind) for r in rows]
+        every.append(np.concatenate([np.zeros(0, kind), *((v + first[i] if k > 1 else v).astype(kind, copy=False) for i, v in enumerate(own))]))
+    del rows, own
+    field = train(every[0].reshape(-1, N_FEATURES), every[1], every[2].reshape(-1, 2), every[3].reshape(-1, 2))
+    del every
+    give_back()
+    return field
 
 
 def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
