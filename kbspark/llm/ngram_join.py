@@ -118,9 +118,14 @@ def set_id(hashes: np.ndarray) -> bytes:
 
 def _sign(shingle: int, alike: Alike):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # of equal sets of a task one has keys, so a group of copies is nearly one before anything is shuffled
         for b in slices(batches):
             sets = [shingles(text, shingle) for text in texts(b)]
-            columns = [pa.array([set_id(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array([segment_keys(h, alike) for h in sets], pa.list_(pa.int64()))]
+            ids, keys = list(map(set_id, sets)), []
+            for own, h in zip(ids, sets, strict=True):
+                keys.append(None if own in seen else segment_keys(h, alike))
+                seen.add(own)
+            columns = [pa.array(ids, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("at").cast(pa.int64()), *columns], names=["doc_id", "at", "cid", "n", "keys"])
 
     return run
@@ -213,20 +218,22 @@ def across(counted: DataFrame, sizes: DataFrame, roots: DataFrame, alike: Alike)
     return links
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """classes (cid, n, keys) -> key, u, v, n_u, n_v, met: each class with the hub of each key that it shares, and at how
-    many classes the hub is met at least."""
+def meetings(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """signed (cid, keys; equal sets have them at least once), classes (cid, n) -> key, u, v, n_u, n_v, met: each class with the
+    hub of each key that it shares, and at how many classes the hub is met at least."""
     # rows of all keys carry half of an id; two classes with the same half may be taken along, which does no harm
     half = F.xxhash64("cid").alias("half")
-    members = classes.select(F.explode("keys").alias("key"), half)
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = members.join(sizes, "key")
-    keyed = materialise(shared.join(classes.select("cid", "n", half), "half").select("key", "cid", "n", "size"), "keyed")
+    members = signed.where("keys is not null").select(F.explode("keys").alias("key"), half)
+    often = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    shared = members.join(often, "key", "left_semi").distinct()
+    shared = materialise(shared.join(classes.select("cid", "n", half), "half").select("key", "cid", "n"), "shared")
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    keyed = materialise(shared.join(sizes, "key"), "keyed")
     centres = keyed.groupBy("cid").agg(F.sum("size").alias("centre"))
     hubs = keyed.join(centres, "cid").groupBy("key").agg(F.min(F.struct((-F.col("centre")).alias("order"), "cid", "n")).alias("hub"))
     met = keyed.join(hubs, "key").where("cid <> hub.cid")
     met = materialise(met.select("key", F.col("cid").alias("u"), F.col("hub.cid").alias("v"), F.col("n").alias("n_u"), F.col("hub.n").alias("n_v"), (-F.col("hub.order")).alias("met")), "met")
-    forget(keyed)
+    forget(shared, keyed)
     return met
 
 
@@ -244,8 +251,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, alike: Alike | None = None)
     own = docs.select("doc_id", F.xxhash64("text").alias("at"), "text")
     signed = materialise(own.mapInArrow(_sign(shingle, alike), "doc_id long, at long, cid binary, n long, keys array<long>"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
-    classes = materialise(signed.where("n > 0").groupBy("cid").agg(first, F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "sets")
-    met = meetings(classes)
+    classes = materialise(signed.where("n > 0").groupBy("cid").agg(first, F.any_value("n").alias("n")), "sets")
+    met = meetings(signed, classes)
     pairs = materialise(met.drop("key").distinct(), "pairs")
     nodes = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
     wanted = classes.join(nodes, "cid").select(F.col("first.doc_id").alias("_id"), F.col("first.at").alias("_at"))
