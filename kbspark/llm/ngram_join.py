@@ -42,6 +42,8 @@ from .words import mixed
 SHINGLE = 3
 #: n-grams of a fragment in which overlaps are counted; classes that are compared with one copy of a hub.
 FRAGMENT, SHARE = 512, 256
+#: Slots of the broadcast filter of texts that meet others (4 bytes each).
+SLOTS = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(32)
 
@@ -257,7 +259,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, alike: Alike | None = None)
     nodes = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
     wanted = classes.join(nodes, "cid").select(F.col("first.doc_id").alias("_id"), F.col("first.at").alias("_at"))
     mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at"))
-    known = own.join(wanted, mine, "left_semi").select("text").mapInArrow(_known(shingle), "cid binary, hashes binary")
+    # a broadcast set of SLOTS slots at most keeps most texts that no one asks for from being shuffled
+    slot = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(SLOTS)).cast("int").alias("_slot")
+    asked = own.select("*", slot("doc_id", "at")).join(F.broadcast(wanted.select(slot("_id", "_at")).distinct()), "_slot", "left_semi")
+    known = asked.join(wanted.hint("merge"), mine, "left_semi").select("text").mapInArrow(_known(shingle), "cid binary, hashes binary")
     known = materialise(known.groupBy("cid").agg(F.any_value("hashes").alias("hashes")), "hashes")
     counted = materialise(overlaps(pairs, known), "overlaps")
     forget(known)
