@@ -341,6 +341,32 @@ def test_op6_five_words(spark, docs, none):
     assert len(ids) == len(set(ids)) and {0, 1, None} <= set(ids) and not {60, 61, 64, 65, 66} & set(ids)
 
 
+def test_op6_parts_meet_by_fingerprints():
+    """Keys are fingerprints of parts of a set, by their pivot tables; sets at exactly 0.8 share one, unlike sets none."""
+    rng, missed, met, made = np.random.default_rng(3), 0, 0, 0
+    hashes = lambda n: rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)
+    for n in (9, 18, 31, 36, 63, 126, 252, 513):
+        for _ in range(250):
+            a = hashes(n)
+            b = np.concatenate([a[n // 9 :], hashes(n // 9)])
+            missed += not np.isin(similar.part_keys(a), similar.part_keys(b)).any()
+            met += np.isin(similar.part_keys(a), similar.part_keys(hashes(n))).any()
+            made += 1
+    assert missed <= made // 1000 and not met
+    assert not len(similar.part_keys(hashes(0))) and not len(similar.part_keys(hashes(3)))
+    h, distances = hashes(40), lambda fp: [bin(int(fp) ^ (r & (1 << 64) - 1)).count("1") for r in simhash.references(simhash.PIVOTS)]
+    numbers, prints = similar.part_prints(h, 6)
+    ranges = similar.ranges_of(6)[0]
+    parts = collections.defaultdict(list)
+    for order in range(-(-similar.BANDS // ranges)):
+        place = words.mixed(h ^ words.mixed(np.array([64 * 6 + order], np.uint64) * similar._STEP))
+        for x, at in zip(h, place, strict=True):
+            parts[(int(at) >> 32) * ranges // (1 << 32) + order * ranges].append(x)
+    want = {k: simhash.majority(np.array(v, np.uint64)) for k, v in parts.items() if k < similar.BANDS and len(v) >= similar.FEWEST}
+    assert dict(zip(numbers.tolist(), prints.tolist(), strict=True)) == want
+    assert np.bitwise_count(prints[:, None] ^ similar._PIVOTS).tolist() == [distances(fp) for fp in prints]
+
+
 def alike_by_brute_force(texts):
     """Positions -> least position reachable, by products of 0/1 rows over all shingles."""
     sets = [similar.shingles(t.encode()) for t in texts]
