@@ -85,11 +85,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     size = VOCABULARY // BLOCKS
     out = "block int, used binary, sums binary"
 
-    def as_blocks(sums: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-        for k, part in enumerate(sums.reshape(BLOCKS, size, WIDTH + 1)):
-            used = np.flatnonzero(part[:, WIDTH])
+    def as_blocks(total: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        for k, (signed, n) in enumerate(zip(total.reshape(BLOCKS, size, 2, WIDTH), seen.reshape(BLOCKS, size), strict=True)):
+            used = np.flatnonzero(n)
             if len(used):
-                yield k, used.astype(np.int32).tobytes(), part[used].tobytes()
+                own = signed[used]
+                yield k, used.astype(np.int32).tobytes(), np.concatenate([own[:, 0] - own[:, 1], n[used, None]], axis=1).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(VOCABULARY * 2 * WIDTH, np.int64), np.zeros(VOCABULARY, np.int64)
@@ -97,24 +98,21 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             last: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
             def use(owners: list[int], w: Words) -> None:
-                nonlocal last, seen, total
+                nonlocal last, seen
                 # the last word before comes first again, as it may be a neighbour in the same text
                 owner, *hashes = (np.concatenate(x) for x in zip(last, (np.array(owners)[w.part], w.hashes, form_hashes(w)), strict=True))
                 last = [owner[-1:], *(h[-1:] for h in hashes)]
                 a = np.flatnonzero(owner[1:] == owner[:-1])
-                flat = [np.zeros(0, np.int64)]
                 for rows, own in zip(rows_of(*hashes), hashes, strict=True):
                     cell = index_vectors(own)
                     for mine, other in ((a, a + 1), (a + 1, a)):
                         seen += np.bincount(rows[mine], minlength=VOCABULARY)
-                        flat += [rows[mine] * (2 * WIDTH) + cell[k, other] for k in range(NONZEROS)]
-                total += np.bincount(np.concatenate(flat), minlength=len(total))
+                        for k in range(NONZEROS):  # in place: counts of all cells beside the total would take as much again
+                            np.add.at(total, rows[mine] * (2 * WIDTH) + cell[k, other], 1)
 
             each(list(texts(b)), use)
-        signed = total.reshape(VOCABULARY, 2, WIDTH)
-        rows = list(as_blocks(np.concatenate([signed[:, 0] - signed[:, 1], seen[:, None]], axis=1)))
-        if rows:
-            yield batch_of(_BLOCKS, zip(*rows, strict=True))
+        for block in as_blocks(total, seen):
+            yield batch_of(_BLOCKS, zip(block, strict=True))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
