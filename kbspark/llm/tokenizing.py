@@ -67,8 +67,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
-        plain = not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
-        self.cuts = plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        as_is = not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+        self.cuts = as_is and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.added = [] if plain else [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.library.encode_special_tokens = plain
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)

@@ -534,6 +534,17 @@ def test_op8(docs, none, library):
     assert packing.query(none, PATH).count() == 0
 
 
+def test_added_tokens_in_texts(spark, library):
+    """Strings of the file's special tokens are their ids in operators 8 and 9, plain text in operator 12."""
+    texts = {1: "<|endoftext|> x", 2: "a<|endoftext|><|endoftext|>b", 3: "<|endoftext"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {i: (len(ids), crc(ids)) for i, t in texts.items() for ids in [ids_of(t, library)]}
+    assert [n for n, _ in want.values()][:2] == [3, 5]
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.query(df, PATH).collect()} == want
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.read_tokens(spark, tokens.write_tokens(df, PATH)).collect()} == want
+    assert 50256 not in next(tokenizing.Encoder(PATH, plain=True).documents(pa.array([texts[1]])))
+
+
 def n_planned(p, h):
     """Sequences of a plan, from the last piece of each of its runs."""
     most = 0
