@@ -5,8 +5,10 @@ in a fragment. Texts with equal sets are one class. With c = (1 - t) / (1 + t),
 they differ in c * (a + b) elements or fewer. So:
 
 1. Meeting. Sets of like sizes are cut into one fragment more than they may differ in, so alike sets have an equal segment;
-   classes meet under their segments. Spare fragments make up for empty segments; a set with more empty ones than these
-   meets the others of its kind under a key of their own. No alike pair is lost, and unlike texts seldom meet.
+   classes meet under their segments. A set gives the first of them alone, one more than it may differ in from its largest
+   partner there: two sets differ in no more than that, so they have an equal one among those that both give. Spare fragments
+   make up for empty segments; a set with more empty ones than these meets the others of its kind under a key of their own.
+   No alike pair is lost, and unlike texts seldom meet.
 2. Counting. Each class is compared with the hubs of its keys alone (a key's hub is its class with the most meetings). Both
    sets are cut into fragments of about FRAGMENT n-grams; the overlaps of each are counted in separate tasks and added up
    for each pair. What the segments differ in is kept: the class as seen from the hub, a small set if they are near.
@@ -31,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, materialise, short_batches, slices, texts
@@ -43,7 +45,7 @@ SHINGLE = 3
 #: n-grams of a fragment in which overlaps are counted; classes that are compared with one copy of a hub.
 FRAGMENT, SHARE = 512, 256
 #: Slots of the broadcast filter of texts that meet others (4 bytes each).
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(32)
 
@@ -94,7 +96,7 @@ def fragments_of(apart: int) -> tuple[int, int]:
 
 
 def segment_keys(hashes: np.ndarray, alike: Alike) -> np.ndarray:
-    """Keys of a set: its non-empty segments at its class of sizes, and at the next if it can have partners there."""
+    """Keys of a set: its first non-empty segments at its class of sizes, and at the next if it can have partners there."""
     n = len(hashes)
     if n < alike.least():
         return np.zeros(0, np.int64)
@@ -104,12 +106,15 @@ def segment_keys(hashes: np.ndarray, alike: Alike) -> np.ndarray:
         if level > number and alike.partner(n) <= last:
             continue
         fragments, spare = fragments_of(alike.apart(2 * most))
+        given = alike.apart(n + min(most, alike.partner(n))) + fragments - alike.apart(2 * most)
         own = cut(hashes, fragments)
+        own = own[: np.searchsorted(own, given)]
         first = np.flatnonzero(np.diff(own, prepend=-1))
         salt = mixed(np.array([2 * level + 1], np.uint64) * _STEP)
-        value = np.add.reduceat(mixed(hashes ^ salt), first)
-        keys.append(mixed(mixed(value + salt) + own[first].astype(np.uint64) * _STEP))
-        if fragments - len(first) > spare:
+        if len(first):
+            value = np.add.reduceat(mixed(hashes[: len(own)] ^ salt), first)
+            keys.append(mixed(mixed(value + salt) + own[first].astype(np.uint64) * _STEP))
+        if given - len(first) > spare:
             keys.append(mixed(salt + np.uint64(1)))
     return np.concatenate(keys).view(np.int64)
 
@@ -192,10 +197,12 @@ def added(counted: DataFrame, pairs: DataFrame, alike: Alike) -> DataFrame:
     return common.join(pairs.select("u", "v", "n_u", "n_v"), ["u", "v"]).where(near).select("u", "v")
 
 
-def across(counted: DataFrame, sizes: DataFrame, roots: DataFrame, alike: Alike) -> DataFrame:
-    """Links (u, v) between groups (roots: u, v) among classes that met one hub. sizes: cid and n of the classes."""
+def across(counted: DataFrame, open_: DataFrame, sizes: DataFrame, roots: DataFrame, alike: Alike) -> DataFrame:
+    """Links (u, v) between groups (roots: u, v) among classes that met one hub, of pairs open_ (u, v). sizes: cid and n of the classes."""
     root_of = lambda c: roots.select(F.col("u").alias(c), F.col("v").alias(f"root_{c}"))
-    whole = counted.groupBy("u", "v").agg(F.sum(F.size("apart")).cast("long").alias("d"))
+    # numbers of elements travel without the elements
+    open_ = open_.select("u", "v")
+    whole = counted.select("u", "v", F.size("apart").alias("d")).groupBy("u", "v").agg(F.sum("d").alias("d")).join(open_, ["u", "v"], "left_semi")
     rooted = whole.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").join(sizes.select(F.col("cid").alias("u"), "n"), "u")
     rooted = rooted.select("u", "v", "n", "d", F.coalesce("root_u", "u").alias("root"), (F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).alias("out"))
     # hubs under which no other group was met are done, and so are those with one class in all
@@ -226,8 +233,8 @@ def meetings(signed: DataFrame, classes: DataFrame) -> DataFrame:
     # rows of all keys carry half of an id; two classes with the same half may be taken along, which does no harm
     half = F.xxhash64("cid").alias("half")
     members = signed.where("keys is not null").select(F.explode("keys").alias("key"), half)
-    often = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    shared = members.join(often, "key", "left_semi").distinct()
+    own = Window.partitionBy("key")  # rows travel once; a count beside them would send as many again
+    shared = members.withColumns({"least": F.min("half").over(own), "most": F.max("half").over(own)}).where("least <> most").select("key", "half").distinct()
     shared = materialise(shared.join(classes.select("cid", "n", half), "half").select("key", "cid", "n"), "shared")
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     keyed = materialise(shared.join(sizes, "key"), "keyed")
@@ -255,6 +262,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, alike: Alike | None = None)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
     classes = materialise(signed.where("n > 0").groupBy("cid").agg(first, F.any_value("n").alias("n")), "sets")
     met = meetings(signed, classes)
+    rows = materialise(signed.drop("at", "keys"), "rows")
+    forget(signed)
     pairs = materialise(met.drop("key").distinct(), "pairs")
     nodes = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
     wanted = classes.join(nodes, "cid").select(F.col("first.doc_id").alias("_id"), F.col("first.at").alias("_at"))
@@ -269,12 +278,12 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, alike: Alike | None = None)
     roots = components(added(counted, pairs, alike), "groups")
     open_ = materialise(unsettled(met, roots), "open")
     forget(met)
-    more = across(counted.join(open_, ["u", "v"], "left_semi"), classes, roots, alike)
+    more = across(counted, open_, classes, roots, alike)
     forget(counted, pairs, open_)
     whole = components(roots.unionByName(more), "groups")
     rooted = classes.select("cid", "first.doc_id").join(whole.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cid", "component_id")
-    result = signed.select("doc_id", "cid", "n").join(ids, "cid", "left")
+    result = rows.join(ids, "cid", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -163,7 +163,7 @@ def _outside(met: DataFrame, roots: DataFrame, every: DataFrame, known: DataFram
     wanted = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
     sets = known.join(wanted, "cid", "left_semi").mapInArrow(_sets, "cid binary, hashes binary")
     counted = materialise(overlaps(pairs, sets), "counted")
-    found = materialise(added(counted, pairs, ALIKE).unionByName(across(counted, every, roots, ALIKE)), "more")
+    found = materialise(added(counted, pairs, ALIKE).unionByName(across(counted, pairs, every, roots, ALIKE)), "more")
     forget(pairs, counted)
     return found
 

@@ -129,3 +129,29 @@ def test_op11_work_is_linear_in_a_crowd(spark, changes, monkeypatch):
 
 def test_grams_are_folded_and_whole():
     assert np.array_equal(shingles(b"A b\tC", 3), shingles(b"a B c", 3)) and len(shingles(b"a b", 3)) == 1 and not len(shingles(b" \n", 3))
+
+
+def test_keys_are_those_that_partners_need():
+    """A set gives no more keys of a class of sizes than one and the spare ones beyond what it may differ in from its largest partner there."""
+    alike, rng, fewer = ngram_join.Alike(), np.random.default_rng(5), 0
+    for n in (9, 40, 200, 301, 700, 2_000):
+        number, _, last = ngram_join.level_of(n, alike)
+        sizes = [last, *([ngram_join.last_of(last + 1, alike)] if alike.partner(n) > last else [])]
+        most = [alike.apart(n + min(m, alike.partner(n))) + 1 + ngram_join.fragments_of(alike.apart(2 * m))[1] for m in sizes]
+        keys = ngram_join.segment_keys(np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)), alike)
+        assert len(keys) <= sum(most) + len(most)  # and one for sets with many empty segments
+        fewer += sum(ngram_join.fragments_of(alike.apart(2 * m))[0] for m in sizes) > sum(most)
+    assert fewer >= 3
+
+
+def test_keys_meet_at_all_sizes():
+    """Sets that differ in as much as alike ones may have a key in common, at and over the edges of classes of sizes."""
+    alike, rng = ngram_join.Alike(), np.random.default_rng(6)
+    for a in (9, 10, 30, 99, 180, 250, 313, 390, 800):
+        for b in {a, (a + alike.partner(a)) // 2, alike.partner(a)}:
+            common = -(-alike.num * (a + b) // (alike.den + alike.num))
+            for _ in range(20):
+                h = rng.permutation(rng.integers(0, 1 << 63, a + b - common, np.uint64) * np.uint64(2))
+                x, y = np.sort(h[:a]), np.sort(np.concatenate([h[:common], h[a:]]))
+                assert len(x) == a and len(y) == b
+                assert np.isin(ngram_join.segment_keys(x, alike), ngram_join.segment_keys(y, alike)).any(), (a, b)
