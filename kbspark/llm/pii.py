@@ -419,6 +419,29 @@ def lessons(texts: Iterable[tuple[int, str]], copies: int = COPIES) -> Iterator[
                 yield g.features, y, g.chain, g.skip
 
 
+def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Lessons as one: links are moved to where their tokens are now."""
+    first = np.cumsum([0, *(len(p[1]) for p in parts)])
+    return [np.concatenate([p[k] + first[i] if k > 1 else p[k] for i, p in enumerate(parts)]).astype(kind, copy=False) for k, kind in enumerate(_KINDS)]
+
+
+def taken(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> list[np.ndarray]:
+    """The same of rows of bytes, the last row first. What has been copied goes at once: rows is empty then."""
+    every = [np.empty(sum(len(r[k]) for r in rows) // np.dtype(kind).itemsize, kind) for k, kind in enumerate(_KINDS)]
+    at, first = [0] * len(_KINDS), 0
+    while rows:
+        row = rows.pop()
+        for k, kind in enumerate(_KINDS):
+            own = np.frombuffer(row[k], kind)
+            every[k][at[k] : at[k] + len(own)] = own + first if k > 1 else own
+            at[k] += len(own)
+        first += len(row[1])  # a byte a label
+        if len(rows) % 256 == 0:
+            del row, own
+            give_back()
+    return [every[0].reshape(-1, N_FEATURES), every[1], every[2].reshape(-1, 2), every[3].reshape(-1, 2)]
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     short_batches(docs.sparkSession)
     marked = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
@@ -427,21 +450,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows = [[a.astype(kind).tobytes() for a, kind in zip(r, _KINDS, strict=True)] for r in lessons([(doc_id, x)])]
-                if rows:
-                    yield pa.RecordBatch.from_pydict({"doc_id": [doc_id] * len(rows), "k": list(range(len(rows)))} | {c: pa.array([r[j] for r in rows], pa.binary()) for j, c in enumerate(("x", "y", "chain", "skip"))})
+                if parts := list(lessons([(doc_id, x)])):  # a row a document, as each has its price on the driver
+                    yield pa.RecordBatch.from_pydict({"doc_id": [doc_id]} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in zip(("x", "y", "chain", "skip"), joined(parts), strict=True)})
 
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")  # `sample` ids at most
     least = known.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"))  # of a repeated doc_id, whatever the order of rows
-    rows = sorted(least.mapInArrow(run, "doc_id long, k long, x binary, y binary, chain binary, skip binary").collect(), key=lambda r: (r.doc_id, r.k))
-    sizes = [len(r.y) for r in rows]  # a byte a label
-    first = np.cumsum([0, *sizes])
-    every = []
-    for k, kind in enumerate(_KINDS):  # one column after the other, so that little is held twice
-        own = [np.frombuffer(r[2 + k], kind) for r in rows]
-        every.append(np.concatenate([np.zeros(0, kind), *((v + first[i] if k > 1 else v).astype(kind, copy=False) for i, v in enumerate(own))]))
-    del rows, own
-    field = train(every[0].reshape(-1, N_FEATURES), every[1], every[2].reshape(-1, 2), every[3].reshape(-1, 2))
+    rows = least.mapInArrow(run, "doc_id long, x binary, y binary, chain binary, skip binary").collect()
+    rows.sort(key=lambda r: r.doc_id, reverse=True)
+    rows = [tuple(r)[1:] for r in rows]
+    every = taken(rows)
+    field = train(*every)
     del every
     give_back()
     return field

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 
-from kbspark.llm import classifier, media
+from kbspark.llm import classifier, media, pii
 from kbspark.llm.words import Words
 
 
@@ -103,3 +103,17 @@ def test_op5_vectors_and_pooling_equal_plain_loops(spark):
     assert np.allclose(vectors, want, atol=1e-6) and np.abs(want).sum() > 0
     got = classifier.pooled([t.encode() for t in texts], vectors)
     assert np.allclose(got, [plain_pool(t, vectors) for t in texts], atol=1e-6)
+
+
+def test_lessons_travel_as_one_row_a_document():
+    """Operator 10: what the driver gets of each document, added up, is the lessons of all one after the other; rows go as they are copied."""
+    value = "write to ann.lee@example.org or call +1 555 010 0123 from 10.0.0.1, card 4111 1111 1111 1111 today"
+    texts = [(i, f"{value} number {i}") for i in range(5)] + [(5, "room 12 at 10:30"), (6, "nothing")]
+    own = [parts for t in texts if (parts := list(pii.lessons([t])))]
+    every = [p for parts in own for p in parts]
+    first = np.cumsum([0, *(len(p[1]) for p in every)])
+    rows = [tuple(v.tobytes() for v in pii.joined(parts)) for parts in own][::-1]
+    assert len(rows) < len(every)
+    for k, got in enumerate(pii.taken(rows)):
+        assert np.array_equal(got, np.concatenate([p[k] + first[i] if k > 1 else p[k] for i, p in enumerate(every)])) and len(got)
+    assert not rows and [len(x) for x in pii.taken([])] == [0] * 4
