@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 
 from kbspark import registry
@@ -56,3 +57,18 @@ def test_whole_bodies_and_messages(spark, tmp_path):
 def test_each_user_has_bursts(spark, tmp_path):
     spark.sql("select id as event_id, timestamp_seconds(id) as ts, id as user_id, 'view' as event_type from range(60)").write.parquet(f"{tmp_path}/events.parquet")
     assert sorted((r.path, r.start, r.n) for r in registry.queries()["debounce_changes_all"](spark, str(tmp_path)).collect()) == [(i, i * 1_000_000, 1) for i in range(60)]
+
+
+def as_sql(spark, folder, name, table):
+    """The rows of a query, and those of its SQL, over one table."""
+    df, duck = registry.queries()[name](spark, str(folder)), duckdb.connect()
+    duck.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    want = duck.sql(registry.oracle_sql()[name])
+    return sorted(map(tuple, df.select(*want.columns).collect())), sorted(want.fetchall())
+
+
+def test_sliding_windows_take_the_nearest_second(spark, tmp_path):
+    times = ["2024-01-01 05:59:59.6", "2024-01-01 05:59:59.4", "2024-01-01 05:59:59.5", "2024-01-01 17:59:58.5", "2024-01-02 00:00:00.5", "1969-12-31 23:59:59.5", "2024-01-01 12:00:00"]
+    spark.createDataFrame([(f"{i % 2}", t) for i, t in enumerate(times)], "event_type string, ts string").selectExpr("event_type", "cast(ts as timestamp_ntz) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = as_sql(spark, tmp_path, "activity_windows_sliding", "events")
+    assert got == want and sum(r[2] for r in got) == 4 * len(times)
