@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from kbspark import registry
 from kbspark.operators import search
@@ -72,3 +73,12 @@ def test_sliding_windows_take_the_nearest_second(spark, tmp_path):
     spark.createDataFrame([(f"{i % 2}", t) for i, t in enumerate(times)], "event_type string, ts string").selectExpr("event_type", "cast(ts as timestamp_ntz) as ts").write.parquet(f"{tmp_path}/events.parquet")
     got, want = as_sql(spark, tmp_path, "activity_windows_sliding", "events")
     assert got == want and sum(r[2] for r in got) == 4 * len(times)
+
+
+@pytest.mark.parametrize("name", ["html_notes_to_documents"])
+def test_references_that_were_cut(spark, tmp_path, name):
+    texts = ["a &quot", "a &quo", "&quot;b&quot;", "c &amp", "&ampd &amp;quot; &ampquot;", "&copy &copy; &middot;", "&#x27;e &#x2 &#39;", "&nbsp;f &lt;g&gt &lt", "&", "A&B &AMP; &"]
+    pages = [(i, f"u{i}", f'<html><title>{t}</title><h1>{t}</h1><p>{t} end<br>{t}</p><a href="/x?a=1&b=2">{t}</a></html>') for i, t in enumerate(texts)]
+    spark.createDataFrame([*pages, (99, "none", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = as_sql(spark, tmp_path, name, "pages")
+    assert got == want and len(got) == len(texts) + 1
