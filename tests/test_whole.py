@@ -75,7 +75,7 @@ def test_sliding_windows_take_the_nearest_second(spark, tmp_path):
     assert got == want and sum(r[2] for r in got) == 4 * len(times)
 
 
-@pytest.mark.parametrize("name", ["html_notes_to_documents"])
+@pytest.mark.parametrize("name", ["html_to_text", "html_notes_to_documents"])
 def test_references_that_were_cut(spark, tmp_path, name):
     texts = ["a &quot", "a &quo", "&quot;b&quot;", "c &amp", "&ampd &amp;quot; &ampquot;", "&copy &copy; &middot;", "&#x27;e &#x2 &#39;", "&nbsp;f &lt;g&gt &lt", "&", "A&B &AMP; &"]
     pages = [(i, f"u{i}", f'<html><title>{t}</title><h1>{t}</h1><p>{t} end<br>{t}</p><a href="/x?a=1&b=2">{t}</a></html>') for i, t in enumerate(texts)]
