@@ -341,6 +341,15 @@ def test_op6_five_words(spark, docs, none):
     assert len(ids) == len(set(ids)) and {0, 1, None} <= set(ids) and not {60, 61, 64, 65, 66} & set(ids)
 
 
+def test_op6_broadcasts_no_keys(spark, monkeypatch):
+    """Spark sizes keys by the files before an explode, so small inputs show the plan that a few hundred thousand texts would get."""
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: df)
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2} w{i + 3}") for i in range(50)], "doc_id long, text string")
+    for df, joins in ((simhash.links(simhash.fingerprints(docs).select("fp").distinct()), 4), (simhash.groups(docs), 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= joins
+
+
 def test_op6_parts_meet_by_fingerprints():
     """Keys are fingerprints of parts of a set, by their pivot tables; sets at exactly 0.8 share one, unlike sets none."""
     rng, missed, met, made = np.random.default_rng(3), 0, 0, 0
