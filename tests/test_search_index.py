@@ -77,3 +77,30 @@ def test_hot_name_is_split(spark):
     assert found.count() == 3_000
     salts = docs.groupBy(F.pmod(F.xxhash64("id"), F.lit(mentions.SALTS))).count().agg(F.max("count"), F.min("count")).first()
     assert salts[0] < 1.5 * 3_000 / mentions.SALTS and salts[1] > 0
+
+
+def test_sieve_of_a_large_dictionary(spark):
+    """Every value of a dictionary passes, and of others few, however many names it has."""
+    names = spark.range(300_000).select(F.concat(F.lit("ann "), F.col("id").cast("string")).alias("value"))
+    n = mentions.buckets_for(300_000)
+    filled = mentions.sieve(names, n)
+    assert filled.count() <= n and mentions.buckets_for(10**12) * 64 * mentions.LONGS == mentions.SLOTS
+    passed = lambda rows: mentions.sieved(rows, F.col("value"), filled, n).count()
+    assert passed(names) == 300_000
+    assert passed(names.select(F.concat("value", F.lit("x")).alias("value"))) < 6_000
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 2])
+def test_edges_of_common_names_equal_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(mentions, "HOT", hot)
+    rng = random.Random(6)
+    names = [(i, f"Ann {i % 7}") for i in range(60)] + [(i, f"ann {i % 7} Lee") for i in range(30)] + [(3, "ANN 3"), (4, "Lee")]
+    docs = [(i % 150, " ".join(rng.choice(["Ann", "3", "4", "lee", "Lee!", "x"]) for _ in range(12))) for i in range(151)]
+    docs[150] = docs[0]  # a row that comes twice
+    want = {}
+    for d, at, _, i, name in plain_mentions(docs[:150], names):
+        want.setdefault((i, d), []).append((name, at))
+    want = sorted((i, d, min(x for x, _ in v), len({at for _, at in v})) for (i, d), v in want.items())
+    got = mentions.mention_edges(spark.createDataFrame(docs, "id long, content string"), spark.createDataFrame(names, "id long, name string"))
+    assert sorted((r.from_id, r.to_id, r.context, r.n) for r in got.collect()) == want and len(want) > 500
+    assert dict(got.dtypes)["n"] == "bigint"
