@@ -60,10 +60,11 @@ def test_each_user_has_bursts(spark, tmp_path):
     assert sorted((r.path, r.start, r.n) for r in registry.queries()["debounce_changes_all"](spark, str(tmp_path)).collect()) == [(i, i * 1_000_000, 1) for i in range(60)]
 
 
-def as_sql(spark, folder, name, table):
-    """The rows of a query, and those of its SQL, over one table."""
+def as_sql(spark, folder, name, *tables):
+    """The rows of a query, and those of its SQL, over small tables."""
     df, duck = registry.queries()[name](spark, str(folder)), duckdb.connect()
-    duck.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    for t in tables:
+        duck.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     want = duck.sql(registry.oracle_sql()[name])
     return sorted(map(tuple, df.select(*want.columns).collect())), sorted(want.fetchall())
 
@@ -82,3 +83,17 @@ def test_references_that_were_cut(spark, tmp_path, name):
     spark.createDataFrame([*pages, (99, "none", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got, want = as_sql(spark, tmp_path, name, "pages")
     assert got == want and len(got) == len(texts) + 1
+
+
+@pytest.mark.parametrize("name", ["cosine_topk"])
+def test_searches_make_no_row_for_each_pair(spark, tmp_path, name):
+    rng = random.Random(8)
+    e = [(i, [float(rng.randrange(-3, 4)) for _ in range(8)], i % 3) for i in range(900)]  # many equal scores
+    spark.createDataFrame(e, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for t, columns in (("orders", "o_orderkey, o_custkey"), ("lineitem", "l_orderkey, l_partkey"), ("events", "event_id, user_id")):  # of views that the SQL names
+        spark.sql("select " + ", ".join(f"1L as {c}" for c in columns.split(", ")) + ", 'view' as event_type").write.parquet(f"{tmp_path}/{t}.parquet")
+    got, want = as_sql(spark, tmp_path, name, "embeddings", "documents", "orders", "lineitem", "events")
+    assert got == want and len(got) == 90
+    plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "inline(block" not in plan
