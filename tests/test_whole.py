@@ -85,7 +85,7 @@ def test_references_that_were_cut(spark, tmp_path, name):
     assert got == want and len(got) == len(texts) + 1
 
 
-@pytest.mark.parametrize("name", ["cosine_topk"])
+@pytest.mark.parametrize("name", ["cosine_topk", "cosine_topk_all"])
 def test_searches_make_no_row_for_each_pair(spark, tmp_path, name):
     rng = random.Random(8)
     e = [(i, [float(rng.randrange(-3, 4)) for _ in range(8)], i % 3) for i in range(900)]  # many equal scores
